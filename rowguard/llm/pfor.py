@@ -38,6 +38,7 @@ from .tokens import encoder
 
 MAGIC = np.frombuffer(b"PFR1", "<u4")[0]
 BLOCK, LANES = 128, 4
+CHUNK_BYTES = 1 << 20
 ROUNDS = BLOCK // LANES
 CHUNKS = "part int, chunk int, first long, n_docs int, n_tokens long, doc_ids binary, lengths binary, ids binary"
 
@@ -124,7 +125,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first = TaskContext.get().partitionId(), 0
-        for chunk, batch in enumerate(slices(batches, "text")):
+        for chunk, batch in enumerate(slices(batches, "text", CHUNK_BYTES)):
             ids, lengths = encoder(vocabulary).encode(texts_of(batch), end)
             own = batch.column(0)
             numbers = pa.compute.fill_null(own, 0).to_numpy(zero_copy_only=False).astype("<i8")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from . import pfor, token_counts
+from . import decontam, langid, lzprint, pfor, quality, simhash, token_counts
 from .common import new_path
 
 
@@ -16,7 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@F.pandas_udf("long")
+def remainder(n: int):
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(remainder(3) != 1)
+    found = quality.classify(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, remainder(4) != 2, ["doc_id", "lang"])
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@F.pandas_udf(LongType())
 def ids_crc32(ids: pd.Series) -> pd.Series:
     return ids.map(pfor.unsigned_crc32)
 
@@ -32,9 +50,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=3), bits=3)
+    return found.select("doc_id", simhash.hex_of("fingerprint").alias("fingerprint"), "component_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lzprint.with_next(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op3_token_files": op3_token_files,
     "op5_token_counts": op5_token_counts,
+    "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
+    "op10_lz_fingerprints": op10_lz_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -37,8 +37,8 @@ from tokenizers.models import BPE
 from .common import slices, texts_of
 from .tokens import _PIECES, _PLAIN, WordEncoder, letters, split_words
 
-CACHED_WORDS = 300_000
-CACHED_PREFIXES = 400_000
+CACHED_WORDS = 600_000
+CACHED_PREFIXES = 700_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, width int, changes binary"
 
 
@@ -50,7 +50,7 @@ class PrefixCounter(dict):
     def __init__(self, path: str | None = None):
         super().__init__()
         own = WordEncoder(path)
-        self.tokenizer, self.model, self.special = own.tokenizer, own.model, own.special
+        self.tokenizer, self.model, self.has_special = own.tokenizer, own.model, own.has_special
         self.vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.end = self.model.end_of_word_suffix or ""
         self.longest = max(map(len, self.vocab))
@@ -123,7 +123,7 @@ class PrefixCounter(dict):
     def counts(self, word: str) -> list[int]:
         """The count of tokens of each prefix of `word`."""
         kinds = [self.kind(c) for c in word]
-        if any(k == "?" for _, k in kinds) or any(s in word for s in self.special) or not unicodedata.is_normalized("NFC", word):
+        if any(k == "?" for _, k in kinds) or self.has_special(word) or not unicodedata.is_normalized("NFC", word):
             return [len(self.tokenizer.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)]
         form = "".join(f for f, _ in kinds)
         out, base, i = [], 0, 0
@@ -151,7 +151,9 @@ class PrefixCounter(dict):
         return out
 
     def changes(self, word: str) -> bytes:
-        if _PLAIN.match(word) and not any(s in word for s in self.special):
+        if word[-1:] in ".," and word[:-1].isascii() and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]] if len(word) <= 127 else self.packed(word, self.counts(word))
+        if _PLAIN.match(word) and not self.has_special(word):
             pieces = _PIECES.findall(word.lower())
             if pieces != [word]:  # each piece starts from the count before it
                 return b"".join([self[p] for p in pieces]) if len(word) <= 127 else self.packed(word, self.counts(word))

@@ -15,7 +15,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_200_000
 
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*\Z")
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -50,7 +50,8 @@ class WordEncoder(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self.most = most
         self.seen = array("q")
         self.forget()
@@ -71,7 +72,9 @@ class WordEncoder(dict):
         if word.isascii() and word.isalpha():
             low = word.lower()
             ids = [t.id for t in self.model.tokenize(low)] if low == word else self.ids_of(low)
-        elif not _PLAIN.match(word) or any(s in word for s in self.special):
+        elif word[-1:] in ".," and word[:-1].isascii() and word[:-1].isalpha():
+            ids = self.ids_of(word[:-1]) + self.ids_of(word[-1])
+        elif not _PLAIN.match(word) or self.has_special(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         else:
             pieces = _PIECES.findall(word.lower())
@@ -87,6 +90,7 @@ class WordEncoder(dict):
 
     def ids_of(self, piece: str) -> array:
         number = self[piece]
+        self.seen[number] += 1
         return self.ids[self.starts[number] : self.starts[number + 1]]
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
