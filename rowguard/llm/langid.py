@@ -13,8 +13,8 @@ that, not by the corpus; it works out the log probabilities once, in sorted
 arrays of slots that tasks search. Scoring shuffles nothing.
 
 The prediction is the language of the lowest cross-entropy per letter. It is
-rejected where that exceeds what the language's own learning rows show: their
-mean by more than `tolerance` standard deviations. Null texts and texts
+rejected where that exceeds the highest that the language's own learning rows
+show by more than `tolerance` of their standard deviations. Null texts and texts
 without a letter get `und`, score 0, and are rejected. Ties go to the language
 that sorts first. With nothing to learn from all are `und`. Repeated rows are
 each scored; rows with null language are scored, not learned from.
@@ -211,18 +211,18 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return own.mapInArrow(run, f"{schema}, {SCORES}")
 
 
-def calibrate(scored: DataFrame, lang: str, learned: Column, tolerance: float = 6.0) -> DataFrame:
+def calibrate(scored: DataFrame, lang: str, learned: Column, tolerance: float = 3.0) -> DataFrame:
     """`scored` with rejected: und, or an entropy beyond what the language's learning rows have."""
     right = scored.filter(learned & (F.col(lang) == F.col("lang_pred")))
     # A row for each language.
-    limits = right.groupBy("lang_pred").agg((F.avg("entropy") + tolerance * F.stddev_pop("entropy")).alias("most")).collect()
+    limits = right.groupBy("lang_pred").agg((F.max("entropy") + tolerance * F.stddev_pop("entropy")).alias("most")).collect()
     most = F.lit(None).cast("double")
     for row in limits:
         most = F.when(F.col("lang_pred") == row.lang_pred, F.lit(row.most)).otherwise(most)
     return scored.withColumn("rejected", F.coalesce((F.col("lang_pred") == "und") | (F.col("entropy") > most), F.lit(False)))
 
 
-def identify(docs: DataFrame, learned: Column, keep: list[str], lang: str = "lang", tolerance: float = 6.0) -> DataFrame:
+def identify(docs: DataFrame, learned: Column, keep: list[str], lang: str = "lang", tolerance: float = 3.0) -> DataFrame:
     """Learn from the rows where `learned` holds and score all: `keep`, SCORES and rejected. `keep` has to name `lang`."""
     model = learn(docs.filter(learned), lang)
     return calibrate(cut(score(docs, model, keep)), lang, learned, tolerance)

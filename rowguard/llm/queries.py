@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import decontam, langid, lzprint, pfor, quality, simhash, token_counts
+from . import chat, decontam, langid, licenses, lzprint, packing, pfor, quality, simhash, token_counts
 from .common import new_path
 
 
@@ -45,11 +45,49 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(spark, path).select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identifiers found, as often as they are, by place; words inside them; the best coverage."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_found"),
+        F.array_join(F.transform("found", lambda f: f["license"]), ",").alias("licenses"),
+        F.array_join(F.transform("found", lambda f: f["first_word"].cast("string")), ",").alias("first_words"),
+        F.aggregate("found", F.lit(0).cast("long"), lambda n, f: n + f["n_words"]).alias("n_words"),
+        F.coalesce(F.array_max(F.transform("found", lambda f: f["coverage"])), F.lit(0.0)).alias("coverage"),
+    )
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    whole = chat.format_conversations(rows.unionByName(more))
+    turns = chat.parse(F.col("formatted"))
+    loss = chat.under_mask(F.col("formatted"), F.col("loss_mask"))
+    text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return whole.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(text.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(simhash.fingerprints(table(spark, sf_dir, "documents"), shingle=3), bits=3)
     return found.select("doc_id", simhash.hex_of("fingerprint").alias("fingerprint"), "component_id")
@@ -70,10 +108,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_token_files": op3_token_files,
+    "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_licenses": op6_licenses,
+    "op7_chat": op7_chat,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_lz_fingerprints": op10_lz_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), turns AS (
+            SELECT *, CASE WHEN contains(text, '###') OR contains(text, '</turn>') OR regexp_matches(text, '(?s)\\.')
+                           THEN replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '#', '\#') ELSE text END AS body
+            FROM rows
+        ), conversations_ AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS all_text,
+                   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                   sum(length('### ' || role || ': ' || body || '</turn>' || chr(10))) AS formatted_chars
+            FROM turns GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+               sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+        FROM conversations_
+    """,
+}
