@@ -211,14 +211,17 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return own.mapInArrow(run, f"{schema}, {SCORES}")
 
 
+def highest(scored: DataFrame, lang: str, learned: Column, tolerance: float) -> list[tuple[str, float]]:
+    """The entropy up to which each language is accepted: a row for each language."""
+    right = scored.filter(learned & (F.col(lang) == F.col("lang_pred")))
+    return [tuple(r) for r in right.groupBy("lang_pred").agg(F.max("entropy") + tolerance * F.stddev_pop("entropy")).collect()]
+
+
 def calibrate(scored: DataFrame, lang: str, learned: Column, tolerance: float = 3.0) -> DataFrame:
     """`scored` with rejected: und, or an entropy beyond what the language's learning rows have."""
-    right = scored.filter(learned & (F.col(lang) == F.col("lang_pred")))
-    # A row for each language.
-    limits = right.groupBy("lang_pred").agg((F.max("entropy") + tolerance * F.stddev_pop("entropy")).alias("most")).collect()
     most = F.lit(None).cast("double")
-    for row in limits:
-        most = F.when(F.col("lang_pred") == row.lang_pred, F.lit(row.most)).otherwise(most)
+    for name, limit in highest(scored, lang, learned, tolerance):
+        most = F.when(F.col("lang_pred") == name, F.lit(limit)).otherwise(most)
     return scored.withColumn("rejected", F.coalesce((F.col("lang_pred") == "und") | (F.col("entropy") > most), F.lit(False)))
 
 
@@ -226,3 +229,22 @@ def identify(docs: DataFrame, learned: Column, keep: list[str], lang: str = "lan
     """Learn from the rows where `learned` holds and score all: `keep`, SCORES and rejected. `keep` has to name `lang`."""
     model = learn(docs.filter(learned), lang)
     return calibrate(cut(score(docs, model, keep)), lang, learned, tolerance)
+
+
+def keep_known(docs: DataFrame, lang: str = "lang", tolerance: float = 3.0) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not rejected, learned from all rows with a language."""
+    model = learn(docs, lang)
+    limits = dict(highest(score(docs, model, [lang]), lang, F.lit(True), tolerance))
+    sent = docs.sparkSession.sparkContext.broadcast((model, limits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, most = sent.value
+        for batch in slices(batches, "text"):
+            kept = np.zeros(batch.num_rows, bool)
+            if own.langs:
+                h, n = own.entropies(texts_of(batch))
+                limit = np.array([most.get(name, np.inf) for name in own.langs])
+                kept = (n > 0) & (h.min(axis=1) <= limit[h.argmin(axis=1)])
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
