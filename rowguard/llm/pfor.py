@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, spans, texts_of
-from .tokens import encoder
+from .tokens import encoder, forget_encoders
 
 MAGIC = np.frombuffer(b"PFR1", "<u4")[0]
 BLOCK, LANES = 128, 4
@@ -143,8 +143,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of each document in the files."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 ids, lengths = unpack(row["ids"]), unpack(row["lengths"])
                 ends = spans(lengths)
                 yield pa.RecordBatch.from_arrays(
