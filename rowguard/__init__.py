@@ -1 +1,24 @@
 """Structural validation of rows as Spark column expressions."""
+
+from .functions.registry import DEFAULT, TypeRegistry, UnknownTypeError
+from .operators.frame import (
+    ValidationError,
+    as_type,
+    assert_type,
+    check_structure,
+    error_report,
+    invalid_rows,
+    is_,
+    parse,
+    safe_parse,
+    valid_rows,
+    validate,
+    with_validation,
+)
+from .operators.guard import expect
+from .plans.schema import Schema, UnsupportedTypeError, to_struct_type
+
+__all__ = [
+    "DEFAULT", "Schema", "TypeRegistry", "UnknownTypeError", "UnsupportedTypeError", "ValidationError", "as_type", "assert_type", "check_structure",
+    "error_report", "expect", "invalid_rows", "is_", "parse", "safe_parse", "to_struct_type", "valid_rows", "validate", "with_validation",
+]

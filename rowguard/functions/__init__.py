@@ -1 +1 @@
-""""""
+"""Values, types and validators as column expressions."""

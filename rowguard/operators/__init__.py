@@ -1 +1 @@
-""""""
+"""Validation of DataFrames."""

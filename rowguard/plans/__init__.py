@@ -1 +1 @@
-""""""
+"""Schemas and what they compile to."""

@@ -1 +1 @@
-""""""
+"""Validation of streams."""
