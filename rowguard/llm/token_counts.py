@@ -23,6 +23,7 @@ such a word.
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -37,11 +38,20 @@ from tokenizers.models import BPE
 from .common import slices, texts_of
 from .tokens import _PIECES, _PLAIN, WordEncoder, letters, split_words
 
-CACHED_WORDS = 600_000
-CACHED_PREFIXES = 700_000
+CACHED_WORDS = 900_000
+CACHED_PREFIXES = 1_200_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, width int, changes binary"
 
 
+def sizes_by_tail(tokens: frozenset[str]) -> dict[str, tuple[int, ...]]:
+    """Which lengths tokens have that end in the same three letters, and the lengths below."""
+    out: dict[str, set[int]] = {}
+    for token in tokens:
+        if len(token) > 2:
+            out.setdefault(token[-3:], set()).add(len(token))
+    return {tail: (*sorted(sizes, reverse=True), 2, 1) for tail, sizes in out.items()}
+
+
 class PrefixCounter(dict):
     """word -> one signed byte for each code point: the change of the count there."""
 
@@ -58,6 +68,7 @@ class PrefixCounter(dict):
         self.inner = BPE(vocab=self.vocab, merges=merges)
         cores = frozenset(t.removesuffix(self.end) for t in self.vocab if self.end and t.endswith(self.end)) if self.end else frozenset(self.vocab)
         self.tokens = frozenset(self.vocab), cores
+        self.sizes = tuple(map(sizes_by_tail, self.tokens))
         self.stands: tuple[dict, dict] = {}, {}
         self.states: dict[str, tuple] = {}
         self.kinds: dict[str, tuple] = {}
@@ -76,13 +87,15 @@ class PrefixCounter(dict):
 
     def state(self, s: str, states: list[tuple]) -> tuple[str, int, int]:
         """For the prefix `s`: its last token and count within a word, and its count as a whole word."""
-        n, found = len(s), []
+        n, tail, found = len(s), s[-3:], []
         for last in (False, True):
             tokens, stands = self.tokens[last], self.stands[last]
-            for start in range(n - self.longest if n > self.longest else 0, n):
-                token = s[start:]
+            for size in self.sizes[last].get(tail, (2, 1)):
+                if size > n:
+                    continue
+                token = s[n - size :]
                 if token in tokens:
-                    before = states[start]
+                    before = states[n - size]
                     key = before[0], token
                     known = stands.get(key)
                     if self.pair(key, last) if known is None else known:
@@ -211,6 +224,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and the prefix table (width, changes) of each document. Nothing is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the tables hold no cycles
         counter = _counters.get(vocabulary) or _counters.setdefault(vocabulary, PrefixCounter(vocabulary))
         for batch in slices(batches, "text"):
             tables = [counter.table(t) for t in texts_of(batch)]
