@@ -47,7 +47,7 @@ def escape(text: Column) -> Column:
 
 
 def escape_all(text: Column) -> Column:
-    return F.regexp_replace(text, "(?s)(.)", r"\\\\$1")
+    return F.regexp_replace(text, "(?s)(.)", r"\\$1")
 
 
 def head(role: Column) -> Column:

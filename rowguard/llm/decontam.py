@@ -20,6 +20,7 @@ documents, once in the benchmark's item_ids. An empty benchmark leaves all.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,12 +185,13 @@ class Search:
     def __init__(self, bench: DataFrame, window: int = WINDOW):
         context = bench.sparkSession.sparkContext
         self.window = window
-        self.blocks = [context.broadcast(block) for block in blocks_of(bench)]
+        self.blocks = [(uuid.uuid4().hex, context.broadcast(block)) for block in blocks_of(bench)]
 
     def block(self, number: int) -> Benchmark:
-        key = self.blocks[number].id if hasattr(self.blocks[number], "id") else id(self.blocks[number]), self.window
+        """The block as this worker holds it: one at a time."""
+        key, sent = self.blocks[number]
         if Search.held[0] != key:
-            Search.held = key, Benchmark(self.blocks[number].value, self.window)
+            Search.held = key, Benchmark(sent.value, self.window)
         return Search.held[1]
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list]]:

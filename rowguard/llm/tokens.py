@@ -35,7 +35,7 @@ _LETTERS = byte_alphabet()
 
 def letters(piece: str) -> str:
     """The UTF-8 bytes of `piece` in the byte-level alphabet."""
-    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+    return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_LETTERS)
 
 
 def split_words(text: str) -> list[str]:
