@@ -272,10 +272,25 @@ class Variant(Value):
         "array_buffer": ("BINARY",),
     }
 
-    def __init__(self, column: Column):
-        self.column = column
+    #: Names in messages, and results of typeof, by kind.
+    NAMES = {raw: kind if kind in ("string", "number", "boolean", "array", "date") else "object" for kind, raws in KINDS.items() for raw in raws} | {"VOID": "null"}
+    TYPEOF = {raw: name if name in ("string", "number", "boolean") else "object" for raw, name in NAMES.items()}
+
+    def __init__(self, column: Column, root: Column | None = None, path: str = "$"):
+        """`column`, which is what is found at `path` of `root`."""
+        self.column, self.origin, self.path = column, column if root is None else root, path
         self.raw_kind = F.regexp_extract(F.schema_of_variant(column), "^[A-Z_]+", 0)
 
+    def _named(self, names: dict[str, str]) -> Column:
+        table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        return F.coalesce(F.try_element_at(table, self.raw_kind), F.when(self.column.isNull(), "undefined").otherwise("object"))
+
+    def kind_name(self) -> Text:
+        return self._named(self.NAMES)
+
+    def typeof(self) -> Text:
+        return self._named(self.TYPEOF)
+
     def missing(self) -> Truth:
         return self.column.isNull()
 
@@ -310,7 +325,8 @@ class Variant(Value):
     def field(self, key: str) -> Value:
         if '"' in key or "\\" in key:
             return Variant(F.try_element_at(self._entries(), F.lit(key)))
-        return Variant(F.try_variant_get(self.column, f'$["{key}"]', "variant"))
+        path = f'{self.path}["{key}"]'
+        return Variant(F.try_variant_get(self.origin, path, "variant"), self.origin, path)
 
     def extra_keys(self, known: list[str]) -> list[str] | Column:
         return F.coalesce(F.array_except(F.map_keys(self._entries()), F.array(*map(F.lit, known)).cast("array<string>")), F.array().cast("array<string>"))

@@ -1,8 +1,8 @@
 """From a schema and a value to the errors that it has there, as one expression.
 
-The compiler runs on the driver and gives a list of findings, in the order of
-the schema, depth first, extras last: a condition and a message each, or for
-arrays a column of messages. What the column types decide is gone before
+The compiler runs on the driver and gives findings in the order of the schema,
+depth first, extras last, nested as the schema is: what lies in an object is
+only looked at where there is one. What the column types decide is gone before
 Spark sees it. `valid` is a predicate of its own, so that filters on it reach
 the scan; the error array is only built where it is selected.
 
@@ -28,30 +28,36 @@ _NONE = "array<string>"
 
 @dataclass
 class Findings:
-    """Pairs (condition, message) and (condition, column of messages), in order."""
+    """What may be wrong, in order: a condition with a message, a column of messages, or more findings."""
 
-    items: list[tuple[Truth, Text | None, Column | None]] = field(default_factory=list)
+    items: list[tuple[Truth, Text | Column | Findings, str]] = field(default_factory=list)
 
     def add(self, bad: Truth, message: Text) -> None:
         if bad is not False:
-            self.items.append((bad, message, None))
+            self.items.append((bad, message, "one"))
 
-    def add_all(self, there: Truth, messages: Column) -> None:
-        if there is not False:
-            self.items.append((there, None, messages))
+    def add_all(self, messages: Column) -> None:
+        self.items.append((True, messages, "all"))
+
+    def group(self, there: Truth, inner: Findings) -> None:
+        """Findings that only are any where `there` holds."""
+        if there is True:
+            self.items += inner.items
+        elif there is not False and inner.items:
+            self.items.append((there, inner, "group"))
 
     def errors(self) -> Column:
         parts = []
-        for test, message, messages in self.items:
-            own = F.array(column(message)) if messages is None else F.coalesce(messages, F.array().cast(_NONE))
+        for test, what, kind in self.items:
+            own = F.array(column(what)) if kind == "one" else F.coalesce(what, F.array().cast(_NONE)) if kind == "all" else what.errors()
             parts.append(own if test is True else F.when(test, own).otherwise(F.array().cast(_NONE)))
-        return F.concat(*parts) if parts else F.array().cast(_NONE)
+        return F.array().cast(_NONE) if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
 
     def valid(self) -> Truth:
         out: Truth = True
-        for test, _, messages in self.items:
-            bad = test if messages is None else both(test, F.coalesce(F.size(messages) > 0, F.lit(False)))
-            out = both(out, negated(bad))
+        for test, what, kind in self.items:
+            fine = negated(test) if kind == "one" else F.coalesce(F.size(what) == 0, F.lit(True)) if kind == "all" else either(negated(test), what.valid())
+            out = both(out, fine)
         return out
 
 
@@ -64,45 +70,45 @@ class Compiler:
         self.parse, self.strict, self.registry = dialect == "parse", strict, registry
 
     def root(self, schema: dict, v: Value) -> Findings:
-        out = Findings()
+        out, inner = Findings(), Findings()
         if not isinstance(schema, dict):
             out.add(True, "Invalid schema: must be a non-null object")
             return out
         nested = v.is_nested()
         out.add(negated(nested), joined("Invalid object: must be a non-null object, got ", v.kind_name()))
-        self.object(schema, v, "", nested, out)
+        self.object(schema, v, "", inner)
+        out.group(nested, inner)
         return out
 
-    def object(self, schema: dict, v: Value, path: Text, there: Truth, out: Findings) -> None:
+    def object(self, schema: dict, v: Value, path: Text, out: Findings) -> None:
         for key, definition in schema.items():
-            self.entry(definition, v.field(key), key if isinstance(path, str) and not path else joined(path, ".", key), there, out)
+            self.entry(definition, v.field(key), key if isinstance(path, str) and not path else joined(path, ".", key), out)
         if not self.strict:
             return
         extra = v.extra_keys(list(schema))
         before = joined('Unexpected key "', path, "" if isinstance(path, str) and not path else ".")
         if isinstance(extra, list):
             for key in extra:
-                out.add(there, joined(before, key, '" in strict mode'))
+                out.add(True, joined(before, key, '" in strict mode'))
         else:
-            out.add_all(there, F.transform(extra, lambda k: F.concat(column(before), k, F.lit('" in strict mode'))))
+            out.add_all(F.transform(extra, lambda k: F.concat(column(before), k, F.lit('" in strict mode'))))
 
-    def entry(self, definition, v: Value, path: Text, there: Truth, out: Findings) -> None:
+    def entry(self, definition, v: Value, path: Text, out: Findings) -> None:
         """A key of an object: what may be missing."""
         if callable(definition):
-            self.element(definition, v, path, there, out)
+            self.element(definition, v, path, out)
             return
         if self.parse and (wrong := self.definition_error(definition, path)) is not None:
-            out.add(there, wrong)
+            out.add(True, wrong)
             return
         optional = isinstance(definition, str) and definition.endswith("?")
         missing = v.missing()
         if not optional:
-            out.add(both(there, missing), joined('Missing required key "', path, '"'))
-        present = both(there, negated(missing))
-        if optional:
-            present = both(present, negated(v.null()))
-            definition = definition if self.parse else definition[:-1]
-        self.element(definition, v, path, present, out)
+            out.add(missing, joined('Missing required key "', path, '"'))
+        present = negated(either(missing, v.null()) if optional else missing)
+        inner = Findings()
+        self.element(definition[:-1] if optional and not self.parse else definition, v, path, inner)
+        out.group(present, inner)
 
     def definition_error(self, definition, path: Text) -> Text | None:
         """What is wrong with a definition whatever the value."""
@@ -124,44 +130,41 @@ class Compiler:
             return None
         return joined(at("Invalid schema definition"), f": expected string, array, or object, got {kind_of_definition(definition)}")
 
-    def element(self, definition, v: Value, path: Text, there: Truth, out: Findings) -> None:
+    def element(self, definition, v: Value, path: Text, out: Findings) -> None:
         """A value that is there, or an element of an array."""
-        if there is False:
-            return
         if callable(definition):
             check = definition(v)
-            out.add(both(there, negated(check.ok)), joined('Validation failed at "', path, '": ', check.message))
+            out.add(negated(check.ok), joined('Validation failed at "', path, '": ', check.message))
             return
-        wrong = self.definition_error(definition, path)
+        wrong, inner = self.definition_error(definition, path), Findings()
         if wrong is not None:
-            out.add(there, wrong)
+            out.add(True, wrong)
         elif isinstance(definition, str):
-            self.names(definition, v, path, there, out)
+            self.names(definition, v, path, out)
         elif isinstance(definition, dict):
             nested = v.is_nested()
-            out.add(both(there, negated(nested)), joined('Expected "', path, '" to be an object, got ', v.kind_name()))
-            self.object(definition, v, path, both(there, nested), out)
+            out.add(negated(nested), joined('Expected "', path, '" to be an object, got ', v.kind_name()))
+            if nested is not False:
+                self.object(definition, v, path, inner)
+                out.group(nested, inner)
         else:
-            array = v.is_kind("array")
-            out.add(both(there, negated(array)), joined('Expected "', path, '" to be an array, got ', v.kind_name()))
-            own, inner = definition[0], both(there, array)
+            array, own = v.is_kind("array"), definition[0]
+            out.add(negated(array), joined('Expected "', path, '" to be an array, got ', v.kind_name()))
             if not isinstance(own, (str, dict)) and not callable(own):
-                out.add(inner, joined('Array element type must be a string at "', path, '"'))
-            elif inner is not False:
-                self.elements(own, v, path, inner, out)
-
-    def elements(self, definition, v: Value, path: Text, there: Truth, out: Findings) -> None:
-        def each(x: Value, i: Column) -> Column:
-            found = Findings()
-            self.element(definition, x, F.concat(column(path), F.lit("["), i.cast("string"), F.lit("]")), True, found)
-            return found.errors()
-
-        out.add_all(there, F.flatten(v.each(each)))
-
-    def names(self, definition: str, v: Value, path: Text, there: Truth, out: Findings) -> None:
-        optional = self.parse and definition.endswith("?")
-        if optional:
-            there = both(there, negated(either(v.null(), v.missing())))
+                inner.add(True, joined('Array element type must be a string at "', path, '"'))
+            elif array is not False:
+                inner.add_all(F.flatten(v.each(lambda x, i: self.errors_of(own, x, path, i))))
+            out.group(array, inner)
+
+    def errors_of(self, definition, x: Value, path: Text, i: Column) -> Column:
+        found = Findings()
+        self.element(definition, x, F.concat(column(path), F.lit("["), i.cast("string"), F.lit("]")), found)
+        return found.errors()
+
+    def names(self, definition: str, v: Value, path: Text, out: Findings) -> None:
+        there: Truth = True
+        if self.parse and definition.endswith("?"):
+            there = negated(either(v.null(), v.missing()))
             definition = definition[:-1]
         names = type_names(definition)
         wanted = names[0] if len(names) == 1 else f"one of [{', '.join(names)}]"
@@ -174,7 +177,9 @@ class Compiler:
                 says = f"Unknown type: {name}"
                 break
             ok = either(ok, of_type(name, v, self.registry).ok)
-        out.add(both(there, negated(ok)), says)
+        inner = Findings()
+        inner.add(negated(ok), says)
+        out.group(there, inner)
 
 
 def flat(schema: dict, v: Value, registry: TypeRegistry = DEFAULT) -> Findings:
