@@ -39,6 +39,7 @@ from .pfor import unsigned_crc32
 from .tokens import encoder
 
 BLOCK, ISLANDS, ROUNDS = 1500, 3, 2
+TASK = 8  # islands for a task, of some 0.1 s each
 POPULATION, CHILDREN = 4, 8
 KEEP = 0.98
 
@@ -215,9 +216,10 @@ def _pack_blocks(rows: DataFrame, capacity: int) -> DataFrame:
     blocks = cut(dealt.groupBy("block").agg(F.collect_list("item").alias("items")))  # about BLOCK, by a random number
     lengths = blocks.select("block", F.transform("items", lambda i: i["length"]).alias("lengths"))
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
+    tasks = -(-n_blocks * ISLANDS // TASK)  # by work: in bytes an island is next to nothing
     elites = lengths.withColumn("elites", F.lit(None).cast("array<binary>"))
     for round_ in range(ROUNDS):
-        spread = elites.select("block", islands, "lengths", "elites").repartition("block", "island")
+        spread = elites.select("block", islands, "lengths", "elites").repartition(tasks, "block", "island")
         evolved = spread.mapInArrow(_evolve_rows(capacity, round_), "block long, island int, elite binary, bins long, filled double")
         by_block = evolved.groupBy("block").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("island", "elite"))), lambda e: e["elite"]).alias("elites"),
