@@ -38,7 +38,7 @@ from .common import cut, slices, spans, texts_of
 from .components import components
 
 PIVOTS = 24
-MOST = 2048
+MOST = 512
 _BYTES = np.uint64(0x0101010101010101)
 
 
