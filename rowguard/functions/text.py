@@ -44,16 +44,22 @@ def json_array(text: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(closed), "$", "array<variant>")
 
 
+def is_whole(parts: Column) -> Column:
+    """Whether what `json_array` gave is one value and the mark."""
+    return F.coalesce((F.size(parts) == 2) & (F.try_variant_get(F.try_element_at(parts, F.lit(-1)), "$", "string") == EOF), F.lit(False))
+
+
+def first_of(parts: Column) -> Column:
+    return F.when(is_whole(parts), F.try_element_at(parts, F.lit(1)))
+
+
 def json_value(text: Column) -> Column:
     """The text as VARIANT, null unless all of it is one JSON value."""
-    parts = json_array(text)
-    sound = (F.size(parts) == 2) & (F.try_variant_get(F.try_element_at(parts, F.lit(-1)), "$", "string") == EOF)
-    return F.when(sound, F.try_element_at(parts, F.lit(1)))
+    return first_of(json_array(text))
 
 
 def is_json(text: Column) -> Column:
-    parts = json_array(text)
-    return F.coalesce((F.size(parts) == 2) & (F.try_variant_get(F.try_element_at(parts, F.lit(-1)), "$", "string") == EOF), F.lit(False))
+    return is_whole(json_array(text))
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.checks import Check, Validator, is_type, matches_type
 from ..functions.logic import column, negated
 from ..functions.registry import DEFAULT, TypeRegistry
-from ..functions.text import json_value
+from ..functions.text import first_of, json_array, json_value
 from ..functions.values import Row, Typed, Value, Variant, value, value_of
 from ..plans.compile import Findings, compile_schema
 
@@ -41,15 +41,40 @@ def carrier(frame: DataFrame, source: str | None = None, kind: str = "typed") ->
     return own
 
 
+def prepared(frame: DataFrame, source: str | None = None, carrier_kind: str = "typed") -> tuple[DataFrame, str | None]:
+    """The frame with JSON text of `source` parsed into a column of its own, once for each row, and that column's name.
+
+    Whatever looks at the text many times should look at this instead. The
+    column comes last; nothing is added where `source` is no text.
+    """
+    if source is None or carrier_kind != "variant":
+        return frame, source
+    own = value(frame, source)
+    if not isinstance(own, Typed) or own.kind != "string":
+        return frame, source
+    name = "_payload"
+    while name in frame.columns or name + "_" in frame.columns:
+        name += "_"
+    # A generator of one row each: a filter further up is not moved below it, where it would parse the text anew for each mention.
+    once = lambda c: F.explode(F.array(c))
+    parts = frame.select("*", once(json_array(own.column)).alias(name + "_"))
+    return parts.select(*frame.columns, once(first_of(F.col(name + "_"))).alias(name)), name
+
+
 def findings(frame: DataFrame, schema, *, source: str | None = None, carrier_kind: str = "typed", dialect: str = "structure", strict: bool = False, registry: TypeRegistry = DEFAULT) -> Findings:
     key = (frame.schema.json() if source is None else frame.schema[source.split(".")[0] if source not in frame.columns else source].json(), source, carrier_kind)
     return compile_schema(schema, carrier(frame, source, carrier_kind), dialect, strict, registry, key)
 
 
+def _ready(frame: DataFrame, schema, how: dict) -> tuple[DataFrame, Findings]:
+    rows, source = prepared(frame, how.get("source"), how.get("carrier_kind", "typed"))
+    return rows, findings(rows, schema, **{**how, "source": source})
+
+
 def with_validation(frame: DataFrame, schema, *, valid: str = "is_valid", errors: str = "errors", **how) -> DataFrame:
     """The rows with is_valid and errors."""
-    found = findings(frame, schema, **how)
-    return frame.withColumns({valid: column(found.valid()), errors: found.errors()})
+    rows, found = _ready(frame, schema, how)
+    return rows.select(*frame.columns, column(found.valid()).alias(valid), found.errors().alias(errors))
 
 
 def check_structure(frame: DataFrame, schema, **how) -> Column:
@@ -60,19 +85,20 @@ def check_structure(frame: DataFrame, schema, **how) -> Column:
 
 def valid_rows(frame: DataFrame, schema, **how) -> DataFrame:
     """By the predicate alone: what a scan can skip, it does."""
-    return frame.filter(column(findings(frame, schema, **how).valid()))
+    rows, found = _ready(frame, schema, how)
+    return rows.filter(column(found.valid())).select(*frame.columns)
 
 
 def invalid_rows(frame: DataFrame, schema, **how) -> DataFrame:
     """The rows that are not valid, with their errors."""
-    found = findings(frame, schema, **how)
-    return frame.filter(column(negated(found.valid()))).withColumn("errors", found.errors())
+    rows, found = _ready(frame, schema, how)
+    return rows.filter(column(negated(found.valid()))).select(*frame.columns, found.errors().alias("errors"))
 
 
 def error_report(frame: DataFrame, schema, **how) -> DataFrame:
     """How often each error is found."""
-    found = findings(frame, schema, **how)
-    return frame.select(F.explode(found.errors()).alias("error")).groupBy("error").agg(F.count("*").alias("count"))
+    rows, found = _ready(frame, schema, how)
+    return rows.select(F.explode(found.errors()).alias("error")).groupBy("error").agg(F.count("*").alias("count"))
 
 
 def validate(frame: DataFrame, schema: dict, **how) -> Column:
@@ -146,4 +172,4 @@ def warn(seen: Observation, source: str, types: str | list[str]) -> int:
     return failed
 
 
-__all__ = ["ValidationError", "apply", "as_type", "assert_type", "carrier", "check_structure", "error_report", "findings", "invalid_rows", "is_", "parse", "safe_parse", "valid_rows", "validate", "value_of", "warn", "with_validation"]
+__all__ = ["ValidationError", "apply", "as_type", "assert_type", "carrier", "check_structure", "error_report", "findings", "invalid_rows", "is_", "parse", "prepared", "safe_parse", "valid_rows", "validate", "value_of", "warn", "with_validation"]

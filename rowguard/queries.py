@@ -291,7 +291,8 @@ def _payloads(spark: SparkSession, sf_dir: str, text: str = _SOILED) -> DataFram
 
 
 def _errors(rows: DataFrame, schema, **how) -> DataFrame:
-    found = fr.findings(rows, schema, source="payload", carrier_kind="variant", **how)
+    rows, source = fr.prepared(rows, "payload", "variant")
+    found = fr.findings(rows, schema, source=source, carrier_kind="variant", **how)
     return rows.select("event_id", F.posexplode(found.errors()).alias("place", "error")).select("event_id", F.col("place").cast("long").alias("place"), "error")
 
 
@@ -355,9 +356,9 @@ def parse_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT event_id, event_id % 7 > 3 AS success, CASE WHEN event_id % 7 < 4 THEN 'Validation failed:' || chr(10) || '  - ' || CASE event_id % 7 WHEN 0 THEN 'Expected "k" to be number, got string' WHEN 1 THEN 'Missing required key "k"'
       WHEN 2 THEN 'Expected "k" to be number, got null' ELSE 'Invalid object: must be a non-null object, got array' END END AS error, CASE WHEN event_id % 7 > 3 THEN {_SOILED} END AS data FROM events""")
 def safe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _payloads(spark, sf_dir)
-    found = fr.safe_parse(rows, {"k": "number"}, source="payload", carrier_kind="variant")
-    return rows.select("event_id", found["success"].alias("success"), found["error"].alias("error"), found["data"].alias("data"))
+    rows, source = fr.prepared(_payloads(spark, sf_dir), "payload", "variant")
+    found = fr.safe_parse(rows, {"k": "number"}, source=source, carrier_kind="variant")
+    return rows.select("event_id", found["success"].alias("success"), found["error"].alias("error"), F.when(found["success"], F.col("payload")).alias("data"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Expected \"c_name\" to be of type string, got object;' ELSE '' END || 'Expected \"c_acctbal\" to be of type string,boolean, got number;Expected \"gone\" to be of type number, got undefined' AS errors FROM customer")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_json, json_value
-from ..operators.frame import findings
-from ..functions.logic import column
+from ..functions.text import first_of, is_whole, json_array, json_value
+from ..operators.frame import invalid_rows, valid_rows
 
 
 def allow_duplicate_keys(spark: SparkSession) -> None:
@@ -17,8 +16,8 @@ def allow_duplicate_keys(spark: SparkSession) -> None:
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """A line each: raw, payload (VARIANT, null if it is no JSON), is_json."""
-    raw = spark.read.text(path).select(F.col("value").alias("raw"))
-    return raw.select("raw", json_value(F.col("raw")).alias("payload"), is_json(F.col("raw")).alias("is_json"))
+    raw = spark.read.text(path).select(F.col("value").alias("raw"), json_array(F.col("value")).alias("parts"))
+    return raw.select("raw", first_of(F.col("parts")).alias("payload"), is_whole(F.col("parts")).alias("is_json"))
 
 
 def with_payload(frame: DataFrame, text: str, payload: str = "payload") -> DataFrame:
@@ -27,6 +26,5 @@ def with_payload(frame: DataFrame, text: str, payload: str = "payload") -> DataF
 
 def write_split(frame: DataFrame, schema, path: str, quarantine: str, **how) -> None:
     """Valid rows to `path`, the others with their errors to `quarantine`, both as Parquet."""
-    found = findings(frame, schema, **how)
-    frame.filter(column(found.valid())).write.parquet(path)
-    frame.filter(~column(found.valid())).withColumn("errors", found.errors()).write.parquet(quarantine)
+    valid_rows(frame, schema, **how).write.parquet(path)
+    invalid_rows(frame, schema, **how).write.parquet(quarantine)

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.logic import column
-from ..operators.frame import findings, with_validation
+from ..operators.frame import findings, invalid_rows, prepared, valid_rows, with_validation
 
 
 def validated(stream: DataFrame, schema, **how) -> DataFrame:
@@ -17,8 +16,9 @@ def validated(stream: DataFrame, schema, **how) -> DataFrame:
 
 def error_counts(stream: DataFrame, schema, time: str, window: str, delay: str, **how) -> DataFrame:
     """How often each error comes in each window of event time. Rows later than `delay` are not counted."""
-    found = findings(stream, schema, **how)
-    errors = stream.select(F.col(time).cast("timestamp").alias("at"), F.explode(found.errors()).alias("error"))
+    rows, source = prepared(stream, how.pop("source", None), how.get("carrier_kind", "typed"))
+    found = findings(rows, schema, source=source, **how)
+    errors = rows.select(F.col(time).cast("timestamp").alias("at"), F.explode(found.errors()).alias("error"))
     return errors.withWatermark("at", delay).groupBy(F.window("at", window), "error").agg(F.count("*").alias("count"))
 
 
@@ -27,11 +27,9 @@ def split_to(stream: DataFrame, schema, path: str, quarantine: str, checkpoint:
 
     A batch that is done again overwrites what it wrote before.
     """
-    found = findings(stream, schema, **how)
-    ok, errors = column(found.valid()), found.errors()
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.filter(ok).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.filter(~ok).withColumn("errors", errors).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        valid_rows(batch, schema, **how).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        invalid_rows(batch, schema, **how).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
