@@ -15,9 +15,10 @@ different tasks:
 * Fewer bins are fitter, then those that are fuller squared. After each round
   the elite of an island migrates to the next one of its block, in a shuffle.
 
-Bins of the best packing of each block that stay below KEEP of the capacity are
-opened again and their pieces dealt out anew among each other, once more.
-So what one block leaves over meets what others do, and no task sees more than
+Bins of the best packing of each block that stay below KEEP of the capacity,
+and one in MIXED of the others for their small pieces, are opened again and
+their pieces dealt out anew among each other, and so on for LEVELS levels. So
+what one block leaves over meets what others do, and no task sees more than
 its block, however many documents there are.
 
 Null and empty texts have the end token only. Repeated rows are packed each.
@@ -41,7 +42,8 @@ from .tokens import encoder
 BLOCK, ISLANDS, ROUNDS = 1500, 3, 2
 TASK = 8  # islands for a task, of some 0.1 s each
 POPULATION, CHILDREN = 4, 8
-KEEP = 0.98
+KEEP = 0.9995
+LEVELS, MIXED = 3, 16
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end: int = 0, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -241,10 +243,10 @@ def pack(cut_up: DataFrame, capacity: int = 2048) -> DataFrame:
     own = -1 - F.monotonically_increasing_id()
     out = rows.filter(full).select(*columns, own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = rows.filter(~full)
-    for level in (0, 1):
+    for level in range(LEVELS):
         packed = _pack_blocks(left, capacity)
+        settled = F.lit(level == LEVELS - 1) | (F.col("fill") >= KEEP * capacity) & (F.col("bin") % MIXED != 0)
         number = F.lit(level << 60) + F.shiftleft("block", 24) + F.col("bin")
-        settled = packed if level else packed.filter(F.col("fill") >= KEEP * capacity)
-        out = out.unionByName(settled.select(*columns, number.cast("long").alias("sequence_id"), "offset"))
-        left = packed.filter(F.col("fill") < KEEP * capacity).select(*columns)
+        out = out.unionByName(packed.filter(settled).select(*columns, number.cast("long").alias("sequence_id"), "offset"))
+        left = packed.filter(~settled).select(*columns)
     return out
