@@ -7,6 +7,7 @@ report shuffles, and that one counts of messages.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..functions.checks import Check, Validator, is_type, matches_type
 from ..functions.logic import column, negated
 from ..functions.registry import DEFAULT, TypeRegistry
 from ..functions.text import first_of, json_array, json_value
-from ..functions.values import Row, Typed, Value, Variant, value, value_of
+from ..functions.values import Row, Typed, Value, Variant, value
 from ..plans.compile import Findings, compile_schema
 
 log = logging.getLogger("rowguard")
@@ -153,6 +154,23 @@ def as_type(frame: DataFrame, source: str, types: str | list[str], registry: Typ
     return F.when(column(check.ok), own.column).otherwise(F.raise_error(column(check.message)))
 
 
+def _guards(name: str) -> tuple[Callable[[DataFrame, str], Column], Callable[[DataFrame, str], Column]]:
+    """(whether a column's values are of a type, the values or the query fails)."""
+    return lambda frame, source: is_(frame, source, name), lambda frame, source: as_type(frame, source, name)
+
+
+is_string, as_string = _guards("string")
+is_number, as_number = _guards("number")
+is_boolean, as_boolean = _guards("boolean")
+is_array, as_array = _guards("array")
+is_object, as_object = _guards("object")
+
+
+def kind_name(frame: DataFrame, source: str) -> Column:
+    """The kind of each value as messages name it."""
+    return column(value(frame, source).kind_name())
+
+
 def assert_type(frame: DataFrame, source: str, types: str | list[str], registry: TypeRegistry = DEFAULT) -> tuple[DataFrame, Observation]:
     """The frame as it is, and what it counts while some action runs over it: `failed` rows.
 
@@ -170,6 +188,3 @@ def warn(seen: Observation, source: str, types: str | list[str]) -> int:
         shown = types if isinstance(types, str) else ",".join(types)
         log.warning("Assertion failed: Expected %s in %s: %d rows", shown, source, failed)
     return failed
-
-
-__all__ = ["ValidationError", "apply", "as_type", "assert_type", "carrier", "check_structure", "error_report", "findings", "invalid_rows", "is_", "parse", "prepared", "safe_parse", "valid_rows", "validate", "value_of", "warn", "with_validation"]

@@ -167,6 +167,15 @@ def test_as_type(spark):
     assert [r[0] for r in rows.select(fr.is_(rows, "s", [])).collect()] == [False, False]
 
 
+def test_guards(spark):
+    rows = spark.createDataFrame([("a", 1, True, [1], {"k": 1})], "s string, n int, b boolean, a array<int>, m map<string,int>")
+    got = rows.select(fr.is_string(rows, "s"), fr.is_number(rows, "n"), fr.is_boolean(rows, "b"), fr.is_array(rows, "a"), fr.is_object(rows, "m"), fr.is_object(rows, "a")).first()
+    assert list(got) == [True] * 5 + [False]
+    got = rows.select(fr.as_string(rows, "s"), fr.as_number(rows, "n"), fr.as_boolean(rows, "b"), fr.as_array(rows, "a"), fr.as_object(rows, "m")).first()
+    assert list(got) == ["a", 1, True, [1], {"k": 1}]
+    assert list(rows.select(*[fr.kind_name(rows, c) for c in "snbam"]).first()) == ["string", "number", "boolean", "array", "map"]
+
+
 def test_expect(spark):
     rows = spark.createDataFrame([(2.0, 3.0, "x")], "a double, b double, s string")
     times = expect(lambda a, b: a * b, {"paramTypes": ["number", "number"], "returnType": "number"})
