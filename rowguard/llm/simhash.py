@@ -125,30 +125,22 @@ def hang_together(group: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarra
     starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
     sizes = np.diff(np.append(starts, n))
     last = np.repeat(starts + sizes - 1, sizes)
-    left, right = [], []
-    rows, step = np.arange(n), 0
+    label, rows, step = np.arange(n), np.arange(n), 0
     while True:
         step += 1
         rows = rows[rows + step <= last[rows]]
         if not len(rows):
-            break
-        near = rows[np.abs(table[rows, 0] - table[rows + step, 0]) <= bits]
+            return label
+        near = rows[label[rows] != label[rows + step]]  # what hangs together already needs no further link
+        near = near[np.abs(table[near, 0] - table[near + step, 0]) <= bits]
         near = near[(np.abs(table[near] - table[near + step]) <= bits).all(axis=1)]
         near = near[np.bitwise_count(prints[near] ^ prints[near + step]).sum(axis=1, dtype=np.int64) <= bits]
-        left.append(near)
-        right.append(near + step)
-    label = np.arange(n)
-    if not left:
-        return label
-    a, b = np.concatenate(left), np.concatenate(right)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
+        while len(near):
+            one, other = label[near], label[near + step]
+            np.minimum.at(label, np.maximum(one, other), np.minimum(one, other))
+            while (label != label[label]).any():
+                label = label[label]
+            near = near[label[near] != label[near + step]]
 
 
 def links_in(dealt: DataFrame, bits: int) -> DataFrame:
