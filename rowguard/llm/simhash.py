@@ -25,7 +25,8 @@ are all returned, in one group. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -143,10 +144,12 @@ def hang_together(group: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarra
             near = near[label[near] != label[near + step]]
 
 
-def links_in(dealt: DataFrame, bits: int) -> DataFrame:
+def links_in(dealt: DataFrame, bits: int, members: bool = False) -> DataFrame:
     """Edges (u, v) that join the nodes which links within a common key (t, key) join.
 
     `dealt` has t, key, node and print: a long, or its words of 64 bits as binary.
+    With `members`, instead the nodes of each set that hangs together in a key, as
+    (c, node): c is a hash of the nodes, so that a set found in several keys is one.
     """
     shared = dealt.withColumn("n", F.count("*").over(W.partitionBy("t", "key"))).filter("n > 1")
     parts = F.ceil(F.col("n") / MOST).cast("int")
@@ -174,10 +177,18 @@ def links_in(dealt: DataFrame, bits: int) -> DataFrame:
                 continue
             first = hang_together(groups[:whole], prints[:whole], bits)
             joined = np.flatnonzero(first != np.arange(whole))
+            if members:
+                some = np.isin(np.arange(whole), first[joined])
+                some[joined] = True
+                sums = np.zeros(whole, np.uint64)
+                np.add.at(sums, first[some], _mixed(nodes[:whole][some].view(np.uint64), 2000))
+                yield pa.RecordBatch.from_arrays([pa.array(sums[first[some]].view(np.int64)), pa.array(nodes[:whole][some])], names=["c", "node"])
+                groups, nodes, prints = groups[whole:], nodes[whole:], prints[whole:]
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[first[joined]])], names=["u", "v"])
             groups, nodes, prints = groups[whole:], nodes[whole:], prints[whole:]
 
-    return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "u long, v long").distinct()
+    return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "c long, node long" if members else "u long, v long").distinct()
 
 
 def links(prints: DataFrame, bits: int = 3) -> DataFrame:
@@ -211,9 +222,17 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
 
 
-def wide_of(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of WORDS * 64 bits, and BANDS keys: each from LEAST least values of the shingles' hashes."""
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
     h, counts = shingle_hashes(texts, size)
+    ends = spans(counts)
+    return [np.unique(h[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def wide_of(texts: list[str], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The shingle sets, their fingerprints of WORDS * 64 bits, and BANDS keys: each from LEAST least values of the hashes."""
+    sets = shingle_sets(texts, size)
+    h, counts = np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
     prints = np.stack([majority(h if not w else _mixed(h, w), counts) for w in range(WORDS)], axis=1)
     keys = np.zeros((len(texts), BANDS), np.uint64)
     full = np.flatnonzero(counts)
@@ -223,7 +242,57 @@ def wide_of(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
             for k in range(LEAST):
                 least = np.minimum.reduceat(_mixed(h, 1000 + band * LEAST + k), starts)
                 keys[full, band] = _mixed(keys[full, band] ^ least, 7)
-    return prints, keys
+    return sets, prints, keys
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first that it hangs together with by pairs of at least this Jaccard similarity."""
+    n, label = len(sets), np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = spans(sizes)
+    mark = np.zeros(len(ids) + 1, bool)
+    for i in range(n - 1):
+        own = ids[ends[i] : ends[i + 1]]
+        rest = np.arange(i + 1, n)
+        rest = rest[(label[rest] != label[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-9) & (sizes[rest] > 0)]
+        if not len(rest):
+            continue
+        mark[own] = True
+        both = np.array([np.count_nonzero(mark[ids[ends[j] : ends[j + 1]]]) for j in rest.tolist()])
+        mark[own] = False
+        for j in rest[both >= similarity * (sizes[rest] + sizes[i] - both) - 1e-9].tolist():
+            one, other = sorted((label[i], label[j]))
+            label[label == other] = one
+    return label
+
+
+def confirmed(rows: DataFrame, near: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that join what exact Jaccard similarity joins in the sets `near` (c, node); `rows` has row and text.
+
+    The shingles are taken anew from the texts of those rows only; a task holds one set of them at a time.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            own = [s.astype("<u8").tobytes() for s in shingle_sets(texts_of(batch), shingle)]
+            nodes, of = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for k in range(max(map(len, of))):
+                some = [i for i, c in enumerate(of) if len(c) > k]
+                columns = [pa.array([of[i][k] for i in some], pa.int64()), pa.array([nodes[i] for i in some], pa.int64()), pa.array([own[i] for i in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["c", "node", "own"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = (e for batch in batches for e in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, group in groupby(entries, itemgetter(0)):
+            members = list(group)
+            first = alike([np.frombuffer(m[2], "<u8") for m in members], similarity).tolist()
+            joined = [(members[i][1], members[f][1]) for i, f in enumerate(first) if f != i]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in joined], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    wanted = near.groupBy(F.col("node").alias("row")).agg(F.collect_list("c").alias("of"))
+    dealt = rows.select("row", "text").join(wanted, "row").select("row", "text", "of").mapInArrow(deal, "c long, node long, own binary")
+    return dealt.repartition("c").sortWithinPartitions("c").mapInArrow(decide, "u long, v long").distinct()
 
 
 def bits_at(similarity: float, bits: int = WORDS * 64, slack: float = 1.5) -> int:
@@ -235,28 +304,28 @@ def bits_at(similarity: float, bits: int = WORDS * 64, slack: float = 1.5) -> in
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, row, and the doc_id and row of the one that stands for its group (the least doc_id, null first).
 
-    For likeness too far for `links` to find by blocks of bits: wide
-    fingerprints, whose distance tells the similarity to 0.02, compared within
-    keys that at this similarity one of BANDS pairs share (all but about one
-    pair in 5,000 at 0.8, fewer above). `row` numbers the rows of `docs`, which
-    has to come from files.
+    For likeness too far for `links` to find by blocks of bits: sets of distinct
+    shingles, of which those that share one of BANDS keys and lie near by wide
+    fingerprints are compared exactly. Keys miss about one pair in 5,000 at 0.8,
+    fewer above. `row` numbers the rows of `docs`, which has to come from files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            prints, keys = wide_of(texts_of(batch), shingle)
-            columns = [batch.column(0), batch.column(2), pa.array([p.astype("<u8").tobytes() for p in prints], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "print", "keys"])
+            sets, prints, keys = wide_of(texts_of(batch), shingle)
+            same = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) for s in sets]
+            columns = [batch.column(0), batch.column(2), pa.array(same, pa.binary()), pa.array([p.astype("<u8").tobytes() for p in prints], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "same", "print", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
-    found = cut(rows.mapInArrow(run, "doc_id long, row long, print binary, keys array<long>"))
-    distinct = cut(found.groupBy("print").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("row").alias("node"), F.first("keys").alias("keys")))
+    found = cut(rows.mapInArrow(run, "doc_id long, row long, same binary, print binary, keys array<long>"))
+    distinct = cut(found.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("row").alias("node"), F.first("print").alias("print"), F.first("keys").alias("keys")))
     dealt = distinct.select("node", "print", F.posexplode("keys").alias("t", "key"))
-    root = components(links_in(dealt, bits_at(similarity)))
-    rooted = distinct.select("print", "node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    root = components(confirmed(rows, links_in(dealt, bits_at(similarity), members=True), shingle, similarity))
+    rooted = distinct.select("same", "node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    named = rooted.select("print", "root").join(least, "root").select("print", "stays")
-    return found.select("doc_id", "row", "print").join(named, "print").select("doc_id", "row", F.col("stays.doc_id").alias("group_doc_id"), F.col("stays.row").alias("group_row"))
+    named = rooted.select("same", "root").join(least, "root").select("same", "stays")
+    return found.select("doc_id", "row", "same").join(named, "same").select("doc_id", "row", F.col("stays.doc_id").alias("group_doc_id"), F.col("stays.row").alias("group_row"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

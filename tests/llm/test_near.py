@@ -111,6 +111,24 @@ def test_similar_texts(spark, tmp_path):
     assert kept == {i for i, _ in rows if i % 3 != 1}
 
 
+def kept_of(spark, path, texts):
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(path))
+    return {r.doc_id for r in simhash.one_of_each(spark.read.parquet(str(path))).collect()}
+
+
+def test_repeated_lines_do_not_outweigh_the_text(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(20):
+        body, line, shared = words(392), words(12), words(104)
+        want |= {len(texts), len(texts) + 2, len(texts) + 3}
+        texts += [body + line, body + line * 10]  # Jaccard 0.97
+        texts += [shared * 10 + words(104), shared * 10 + words(104)]  # about 0.33
+    assert kept_of(spark, tmp_path / "d", texts) == want
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
