@@ -1,7 +1,8 @@
 """License scan by patience alignment.
 
 A text is read as words. Where a rare word of a template stands, the stretch
-that the template would take there, and a quarter more, is aligned with it:
+that the template would take there, and a quarter more, is aligned with it, and
+where that does not agree in full, again with less and less around it:
 words that both have exactly once are anchors, the longest increasing
 subsequence of the anchors is kept, and the gaps between them are aligned the
 same way, down to equal words at the ends of a gap. The share of the
@@ -113,17 +114,21 @@ class Templates:
             for t, place in self.keys[int(ids[p])]:
                 own = self.words[t]
                 slack = len(own) // 4 + 2
-                a, b = max(low, p - place - slack), min(high, p - place + len(own) + slack)
-                stretch = ids[a:b].tolist()
-                if len(set(own) & set(stretch)) < self.least * len(set(own)) - (len(own) - len(set(own))):
-                    continue
-                pairs: list[tuple[int, int]] = []
-                align(own, stretch, pairs)
-                if len(pairs) < self.least * len(own):
-                    continue
-                begin, end = min(q for _, q in pairs) + a, max(q for _, q in pairs) + a + 1
-                agree = len(pairs) / max(len(own), end - begin)
-                found[text][(t, begin, end)] = agree, len(pairs), len(pairs) / len(own)
+                while slack >= 0:  # less and less of what stands around: of copies in a row no word is unique in the whole
+                    a, b = max(low, p - place - slack), min(high, p - place + len(own) + slack)
+                    slack = slack - 1 if slack <= 4 else slack // 2
+                    stretch = ids[a:b].tolist()
+                    if len(set(own) & set(stretch)) < self.least * len(set(own)) - (len(own) - len(set(own))):
+                        break
+                    pairs: list[tuple[int, int]] = []
+                    align(own, stretch, pairs)
+                    if len(pairs) < self.least * len(own):
+                        continue
+                    begin, end = min(q for _, q in pairs) + a, max(q for _, q in pairs) + a + 1
+                    agree = len(pairs) / max(len(own), end - begin)
+                    found[text][(t, begin, end)] = max(found[text].get((t, begin, end), (0, 0, 0)), (agree, len(pairs), len(pairs) / len(own)))
+                    if agree == 1:
+                        break
         out = []
         for text, own in enumerate(found):
             kept: list[tuple] = []

@@ -112,6 +112,19 @@ def test_licenses(spark):
     assert licenses.scan(odd_rows(spark)).count() == odd_rows(spark).count()
 
 
+def test_licenses_in_a_row():
+    """Adjacent copies, whole, with a word missing and with one too many."""
+    templates = licenses.Templates(licenses.NOTICES, 0.8)
+    for name, notice in licenses.NOTICES.items():
+        n = len(templates.words[templates.names.index(name)])
+        for copies in (2, 6):
+            (got,) = templates.scan(["some words\n" + f"{notice}\n" * copies + "and more"])
+            assert [(f[0], f[1], f[2], f[3]) for f in got] == [(name, 2 + n * k, n, 1.0) for k in range(copies)]
+    for line, n in (("Released under MIT License.", 4), ("Released under the fine MIT License.", 6)):
+        (got,) = templates.scan([f"{line}\n" * 6])
+        assert [(f[0], f[1]) for f in got] == [("MIT", n * k) for k in range(6)]
+
+
 def test_patience_alignment():
     pairs = []
     licenses.align(list("abcdefg"), list("xabczzfgy"), pairs)
