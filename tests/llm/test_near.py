@@ -129,6 +129,25 @@ def test_repeated_lines_do_not_outweigh_the_text(spark, tmp_path):
     assert kept_of(spark, tmp_path / "d", texts) == want
 
 
+def test_similarity_decides_exactly(spark, tmp_path):
+    """Pairs just below 0.8 stay, from 0.8 on they go; also of a handful of shingles."""
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    texts, want = [], set()
+    for size, common, goes in [(400, 344, False), (400, 355, False), (400, 356, True), (400, 368, True), (9, 8, None)] * 40:
+        s, n = common - 4, size - 4  # 0.752, 0.796, 0.8, 0.850
+        if goes is None:
+            body = words(size)
+            texts += [body, body[:-1]]  # 4 of 5 shingles
+            want.add(len(texts) - 2)
+            continue
+        body = words(common)
+        texts += [body + words(size - common), body + words(size - common)]
+        want |= {len(texts) - 2} | (set() if s >= 0.8 * (2 * n - s) else {len(texts) - 1})
+        assert (s >= 0.8 * (2 * n - s)) == goes
+    assert kept_of(spark, tmp_path / "d", texts) == want
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
