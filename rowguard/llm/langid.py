@@ -7,10 +7,12 @@ order has counts; the lower ones count the different letters that precede
 down to a uniform share of all letters seen.
 
 Counting goes over all learning rows: a task counts its texts, Spark sums and
-derives the continuation counts. The driver gets the n-grams hashed to SLOTS
-slots of each order and language, so what it holds and sends out is bounded by
-that, not by the corpus; it works out the log probabilities once, in sorted
-arrays of slots that tasks search. Scoring shuffles nothing.
+derives the continuation counts. The driver gets every distinct n-gram, works
+out the log probabilities once, in sorted arrays of whole keys that tasks
+search, and sends them out: 8 bytes for each trigram and 8 more for each
+language. That grows with the letters of the scripts, not with the rows, but a
+script of many letters can have millions; there is no path for models that
+driver and executors cannot hold. Scoring shuffles nothing.
 
 The prediction is the language of the lowest cross-entropy per letter. It is
 rejected where that exceeds the highest that the language's own learning rows
@@ -25,28 +27,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import cut, slices, spans, texts_of
 
-SLOTS = 1 << 20
 _SHIFT = 21  # bits of a code point
 _ONE, _TWO = (1 << _SHIFT) - 1, (1 << 2 * _SHIFT) - 1
 _BLANK = 32
 _is_letter: list[np.ndarray] = []
 
 
-def slot(keys: np.ndarray) -> np.ndarray:
-    h = np.asarray(keys).astype(np.uint64)
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return ((h ^ (h >> np.uint64(33))) % np.uint64(SLOTS)).astype(np.int64)
-
-
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all trigrams, text after text, and how many each text has: none if it has no letter."""
     if not _is_letter:
@@ -83,13 +75,8 @@ def count(docs: DataFrame, lang: str) -> DataFrame:
     return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-@F.pandas_udf(LongType())
-def _slot(keys: pd.Series) -> pd.Series:
-    return pd.Series(slot(keys.to_numpy()))
-
-
 class Model:
-    """Sorted arrays of slots with what every language makes of them."""
+    """Sorted arrays of all n-grams seen, with what every language makes of them."""
 
     def __init__(self, grams: DataFrame):
         grams = cut(grams)
@@ -102,31 +89,31 @@ class Model:
         after_two, after_one = self.contexts(grams), self.contexts(pairs)
         discount = [self.discount(t) for t in (one, two, three)]
         n = one["n"].sum(axis=0)
-        letters = len(one["slot"]) + 1
+        letters = len(one["key"]) + 1
         share = lambda t, d: np.maximum(t["n"] - d, 0)
         floor = discount[0] * (one["n"] > 0).sum(axis=0) / n / letters
         self.unseen = np.log(floor)
-        self.one = one["slot"], share(one, discount[0]) / n + floor
-        self.back_one = after_one["slot"], *self.weights(after_one, discount[1])
-        self.back_two = after_two["slot"], *self.weights(after_two, discount[2])
-        self.two = two["slot"], self.mixed(two, discount[1], self.back_one, self.unigram(two["key"] & _ONE))
-        self.three = three["slot"], np.log(self.mixed(three, discount[2], self.back_two, self.bigram(three["key"] & _TWO)))
+        self.one = one["key"], share(one, discount[0]) / n + floor
+        self.back_one = after_one["key"], *self.weights(after_one, discount[1])
+        self.back_two = after_two["key"], *self.weights(after_two, discount[2])
+        self.two = two["key"], self.mixed(two, discount[1], self.back_one, self.unigram(two["key"] & _ONE))
+        self.three = three["key"], np.log(self.mixed(three, discount[2], self.back_two, self.bigram(three["key"] & _TWO)))
 
     def table(self, grams: DataFrame) -> dict:
-        """slot, a key in it and the sum of n for each language, by slot."""
-        rows = grams.select("lang", _slot("key").alias("slot"), "key", "n").groupBy("lang", "slot").agg(F.min("key").alias("key"), F.sum("n").alias("n")).toPandas()
-        slots, first, at = np.unique(rows["slot"].to_numpy(np.int64), return_index=True, return_inverse=True)
-        n = np.zeros((len(slots), len(self.langs)))
-        n[at, np.searchsorted(self.langs, rows["lang"])] = rows["n"]
-        return {"slot": slots, "key": rows["key"].to_numpy(np.int64)[first], "n": n}
+        """All keys, sorted, and n of each for each language."""
+        return self.sums(grams.select("lang", "key", "n"), "n")
 
     def contexts(self, grams: DataFrame) -> dict:
-        """slot of what stands before, and for each language how often it does and before how many letters."""
-        rows = grams.groupBy("lang", _slot(F.shiftright("key", _SHIFT)).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-        slots, at = np.unique(rows["slot"].to_numpy(np.int64), return_inverse=True)
-        out = {"slot": slots}
-        for c in ("n", "kinds"):
-            out[c] = np.zeros((len(slots), len(self.langs)))
+        """key of what stands before, and for each language how often it does and before how many letters."""
+        rows = grams.groupBy("lang", F.shiftright("key", _SHIFT).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        return self.sums(rows, "n", "kinds")
+
+    def sums(self, frame: DataFrame, *columns: str) -> dict:
+        rows = frame.toPandas()
+        keys, at = np.unique(rows["key"].to_numpy(np.int64), return_inverse=True)
+        out = {"key": keys}
+        for c in columns:
+            out[c] = np.zeros((len(keys), len(self.langs)))
             out[c][at, np.searchsorted(self.langs, rows["lang"])] = rows[c]
         return out
 
@@ -143,14 +130,13 @@ class Model:
         return per, np.where(known, discount * after["kinds"] * per, 1)
 
     def mixed(self, table: dict, discount: np.ndarray, back: tuple, lower: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(back[0], slot(table["key"] >> _SHIFT))
+        at = np.searchsorted(back[0], table["key"] >> _SHIFT)
         return np.maximum(table["n"] - discount, 0) * back[1][at] + back[2][at] * lower
 
     @staticmethod
-    def find(slots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = slot(keys)
-        at = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
-        return at, slots[at] == own
+    def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
 
     def unigram(self, keys: np.ndarray) -> np.ndarray:
         at, hit = self.find(self.one[0], keys)

@@ -38,6 +38,17 @@ def test_model_is_a_distribution(spark):
         assert np.allclose(p.sum(axis=0) + unseen, 1, atol=1e-9)
 
 
+def test_model_keeps_all_trigrams_apart(spark):
+    """Scripts with many letters: no n-gram shares its count with another, unseen ones are not found."""
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 20000)))
+    model = langid.learn(spark.createDataFrame([("zh", text), ("en", "the cat sat")], "lang string, text string"))
+    keys = np.unique(langid.trigrams([text, "the cat sat"])[0])
+    assert model.three[0].tolist() == keys.tolist()
+    other = langid.trigrams(["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 20000)))])[0]
+    assert not model.find(model.three[0], np.setdiff1d(other, keys))[1].any()
+
+
 def test_language_of_odd_rows(spark):
     rows = odd_rows(spark).withColumn("lang", F.when(F.col("doc_id") == 9, "en"))
     found = langid.identify(rows, F.lit(True), ["doc_id", "lang"]).collect()
