@@ -36,7 +36,7 @@ class Check:
 
 Validator = Callable[[Value], Check]
 
-#: What each built-in type says of a value that is not of it; those with True add the value's typeof.
+#: What each built-in type says of a value that is not of it; those with True add the value's typeof.
 _SAYS: dict[str, tuple[str, bool]] = {
     "array": ("an array", True),
     "array_buffer": ("an ArrayBuffer", False),
@@ -83,7 +83,8 @@ def matches_type(types: str | list[str], v: Value, registry: TypeRegistry = DEFA
     for name in [types] if isinstance(types, str) else types:
         if out is True:
             break
-        out = either(out, of_type(name, v, registry).ok)
+        base = registry.predicate(name)
+        out = either(out, v.is_base(base) if base else of_type(name, v, registry).ok)
     return out
 
 
@@ -189,26 +190,10 @@ def matches(pattern: str, flags: str = "") -> Validator:
     """A pattern found anywhere in the string. Flags i, m, s, u; g and y, which keep state between calls, are refused."""
     if set(flags) - set("imsu"):
         raise ValueError(f"flags {flags!r}: only i, m, s and u have a meaning for rows")
-    own = "".join(f for f in flags if f in "ims")
-    java = (f"(?{own})" if own else "") + (pattern if "m" in flags else _dollar(pattern))
+    java = tx.java_pattern(pattern, flags)
     return _string(f" must match /{pattern}/{flags}.", lambda s: s.rlike(java))
 
 
-def _dollar(pattern: str) -> str:
-    """"$" outside classes as the very end, as it is without the flag m there."""
-    out, inside, i = "", False, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            out += pattern[i : i + 2]
-            i += 2
-            continue
-        inside = c == "[" or inside and c != "]"
-        out += tx.END if c == "$" and not inside else c
-        i += 1
-    return out
-
-
 def is_iso_date(v: Value) -> Check:
     """The value of the check is the instant."""
     first = as_string(v)
@@ -375,19 +360,23 @@ def union_of(*validators: Validator) -> Validator:
     return run
 
 
-def python_validator(function: Callable, says: str = "Value was not accepted.") -> Validator:
-    """A Python function of a value as a validator: it returns or raises. Slower than columns; rows go there in Arrow batches."""
+def python_validator(function: Callable, says: str = "Value was not accepted.", whole: bool = False) -> Validator:
+    """A Python function of a value as a validator: it returns or raises. Slower than columns; rows go there in Arrow batches.
+
+    With `whole` it takes a Series of values and returns one of what is wrong with each, None where nothing is.
+    """
+
+    def one(x) -> str | None:
+        try:
+            function(None if x is None or x is pd.NA or x is pd.NaT else x)
+        except Exception as error:
+            return str(error) or says
+        return None
 
     @F.pandas_udf("ok boolean, message string")
     def run(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in values:
-            try:
-                function(None if x is None or x is pd.NA or x is pd.NaT else x)
-                out.append((True, None))
-            except Exception as error:
-                out.append((False, str(error) or says))
-        return pd.DataFrame(out, columns=["ok", "message"])
+        message = pd.Series(function(values) if whole else [one(x) for x in values], dtype=object)
+        return pd.DataFrame({"ok": message.isna().to_numpy(), "message": message.where(message.notna(), None).to_numpy()})
 
     def check(v: Value) -> Check:
         c = v.column if isinstance(v, Typed) else F.to_json(v.column)

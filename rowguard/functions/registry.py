@@ -32,6 +32,9 @@ BASES: dict[str, tuple[str, ...]] = {
 }
 
 
+BUILT_IN: dict[str, str] = {alias: base for base, aliases in BASES.items() for alias in aliases}
+
+
 class UnknownTypeError(ValueError):
     """A type name that the registry does not know."""
 
@@ -40,11 +43,14 @@ class TypeRegistry:
     """name -> base type, or a validator that takes a Value and gives a Check.
 
     There is one registry for all operations: an override of a built-in name
-    holds everywhere, and a removed one is unknown everywhere.
+    holds everywhere, and a removed one is unknown everywhere. With
+    `builtins_first`, tests (`is`, `assert`) go on to read built-in names as they
+    are built in, whatever overrides or removes them; only messages and schemas do not.
     """
 
-    def __init__(self):
-        self._types: dict[str, str | Callable] = {alias: base for base, aliases in BASES.items() for alias in aliases}
+    def __init__(self, builtins_first: bool = False):
+        self.builtins_first = builtins_first
+        self._types: dict[str, str | Callable] = dict(BUILT_IN)
         self.version = 0
 
     @staticmethod
@@ -90,6 +96,10 @@ class TypeRegistry:
             raise UnknownTypeError(f"Unknown type: {name}")
         return found
 
+    def predicate(self, name: str) -> str | None:
+        """The base type by which tests read the name before anything registered under it."""
+        return BUILT_IN.get(self.normal(name)) if self.builtins_first else None
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(n, t if isinstance(t, str) else None) for n, t in self._types.items()]
         return spark.createDataFrame(rows, "name string, base string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,8 @@ def ipv6_pattern() -> str:
     return "|".join(forms)
 
 
+# What these patterns let through has to be what validators elsewhere let through.
+
 EMAIL = rf"^[^{SPACE}@]+@[^{SPACE}@]+\.[^{SPACE}@]+{END}"
 PHONE = rf"^(\+?[1-9][0-9]{{0,3}})?[{SPACE}\-.]?(\(?[0-9]{{1,4}}\)?[{SPACE}\-.]?)?[0-9{SPACE}\-.()]{{6,}}{END}"
 UUID = rf"^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[1-5][0-9a-fA-F]{{3}}-[89abAB][0-9a-fA-F]{{3}}-[0-9a-fA-F]{{12}}{END}"
@@ -96,7 +100,16 @@ def is_url(text: Column) -> Column:
     """The URL standard's parser without a base, but for internationalised hosts, which pass as they are.
 
     Control characters and blanks at the ends and tabs and line ends anywhere go first.
+    Plain web addresses pass by one pattern, text without a colon fails without any.
     """
+    return F.when(~text.contains(":"), F.lit(False)).when(text.rlike(PLAIN_URL), F.lit(True)).otherwise(_is_any_url(text))
+
+
+#: http or https, names that end in letters, a short port, and anything printable after it.
+PLAIN_URL = rf"^https?://(?:[A-Za-z0-9_-]{{1,63}}\.){{1,20}}[A-Za-z]{{2,20}}(?::[0-9]{{1,4}})?(?:[/?#][!-~]*)?{END}"
+
+
+def _is_any_url(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     rest = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
@@ -119,14 +132,77 @@ def is_url(text: Column) -> Column:
 
 
 def iso_timestamp(text: Column) -> Column:
-    """The instant that an ISO date stands for, null where there is none; no offset is UTC."""
-    part = lambda i: F.regexp_extract(text, ISO_DATE, i)
-    or_zero = lambda c: F.when(c == "", F.lit("0")).otherwise(c)
-    number = lambda i: or_zero(part(i)).try_cast("int")
-    offset = F.regexp_replace(F.regexp_replace(part(8), r"^Z?\z", "+00:00"), r"^([+-][0-9]{2})([0-9]{2})\z", "$1:$2")
-    seconds = F.concat(or_zero(part(6)), F.substring(part(7), 1, 4)).try_cast("decimal(8,6)")
-    fits = (number(4) < 24) & (number(5) < 60) & (number(6) < 60)
-    fits &= offset.rlike(r"^[+-](?:0[0-9]|1[0-7]):[0-5][0-9]\z|^[+-]18:00\z")
-    whole = F.when(text.rlike(ISO_DATE), text)
-    made = F.try_make_timestamp(number(1), number(2), number(3), number(4), number(5), seconds, offset)
-    return F.when(whole.isNotNull(), F.when(fits, made))
+    """The instant that an ISO date stands for, null where there is none; no offset is UTC.
+
+    One pattern tells whether the text is one; then its parts lie at known places.
+    """
+    part = lambda start, n: F.substring(text, start, n)
+    number = lambda c: c.try_cast("int")
+    timed, rest = F.length(text) > 10, F.substring(text, 17, 1_000_000)
+    has_seconds = rest.startswith(":")
+    tail = F.when(has_seconds, F.substring(rest, 4, 1_000_000)).otherwise(rest)  # fraction and offset
+    long, short = F.substring(tail, -6, 1).isin("+", "-"), F.substring(tail, -5, 1).isin("+", "-")
+    size = F.when(tail.endswith("Z"), 1).when(long, 6).when(short, 5).otherwise(0)
+    offset = F.when(long, F.substring(tail, -6, 6)).when(short, F.concat(F.substring(tail, -5, 3), F.lit(":"), F.substring(tail, -2, 2))).otherwise("+00:00")
+    fraction = F.when(tail.startswith("."), F.substring(tail, F.lit(1), F.least(F.lit(4), F.length(tail) - size))).otherwise("")
+    whole_seconds = F.when(has_seconds, F.substring(rest, 2, 2)).otherwise("0")
+    hour, minute = [number(F.when(timed, part(at, 2)).otherwise("0")) for at in (12, 15)]
+    hours, minutes = number(F.substring(offset, 2, 2)), number(F.substring(offset, 5, 2))
+    fits = (hour < 24) & (minute < 60) & (number(whole_seconds) < 60) & (minutes < 60) & ((hours < 18) | (hours == 18) & (minutes == 0))
+    seconds = F.concat(whole_seconds, fraction).try_cast("decimal(8,6)")
+    made = F.try_make_timestamp(number(part(1, 4)), number(part(6, 2)), number(part(9, 2)), hour, minute, seconds, offset)
+    return F.when(text.rlike(ISO_DATE), F.when(fits, made))
+
+
+_WORD = "[A-Za-z0-9_]"
+_LINE_END = r"\n\r\x{2028}\x{2029}"
+
+
+def java_pattern(pattern: str, flags: str = "") -> str:
+    """A regular expression of the reference's language as Java has it.
+
+    White space, line ends, word edges, `[^]`, `[]`, `\\u{..}`, script names and literal
+    brackets within classes mean there what they do not mean here.
+    """
+    out, i, inside, n = "", 0, False, len(pattern)
+    many, every = "m" in flags, "s" in flags
+    edge = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+    simple = {"s": f"[{SPACE}]", "S": f"[^{SPACE}]", "b": edge, "B": f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))", "0": r"\x00"}
+    classed = {"s": SPACE, "S": f"[^{SPACE}]", "b": r"\x08", "0": r"\x00"}
+    while i < n:
+        c, rest = pattern[i], pattern[i:]
+        if c == "\\" and i + 1 < n:
+            kind = pattern[i + 1]
+            wide = re.match(r"\\u\{([0-9A-Fa-f]+)\}", rest) if "u" in flags else None
+            script = re.match(r"\\([pP])\{(?:Script|sc|Script_Extensions|scx)=(\w+)\}", rest) if "u" in flags else None
+            if wide or script:
+                out += rf"\x{{{wide[1]}}}" if wide else rf"\{script[1]}{{Is{script[2]}}}"
+                i += len((wide or script)[0])
+                continue
+            known = (classed if inside else simple).get(kind)
+            plain = kind.isalpha() and kind not in "dDwWtnrvfxuckpPsSbB"
+            out += known if known is not None else r"\x0B" if kind == "v" else kind if plain or kind in "pP" and "u" not in flags else "\\" + kind
+            i += 2
+            continue
+        if inside:
+            inside = c != "]"
+            out += "\\[" if c == "[" else "&\\" if rest.startswith("&&") else c
+        elif rest.startswith("[^]"):
+            out, i = out + r"[\s\S]", i + 2
+        elif rest.startswith("[]"):
+            out, i = out + "(?!)", i + 1
+        elif c == "[":
+            inside = True
+            out += c
+        elif c == ".":
+            out += r"[\s\S]" if every else f"[^{_LINE_END}]"
+        elif c == "^":
+            out += f"(?:(?<![\\s\\S])|(?<=[{_LINE_END}]))" if many else c
+        elif c == "$":
+            out += f"(?=[{_LINE_END}]|{END})" if many else END
+        elif c == "{" and not re.match(r"\{\d+(,\d*)?\}", rest):
+            out += r"\{"
+        else:
+            out += c
+        i += 1
+    return ("(?iu)" if "i" in flags else "") + out

@@ -8,7 +8,7 @@ not have is `Absent`, which is what the reference calls undefined.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,8 +102,8 @@ class Value:
         """Keys of an object beyond the known ones."""
         raise NotImplementedError
 
-    def each(self, per: Callable[[Value, Column], Column]) -> Column:
-        """`per`(element, index) for all elements of an array."""
+    def each(self, per: Callable[[Value, Column], Column], places: Places = ()) -> Column:
+        """`per`(element, index) for all elements of an array. `places` of the elements will be asked for."""
         raise NotImplementedError
 
     def text(self) -> Text:
@@ -142,7 +142,7 @@ class Absent(Value):
     def extra_keys(self, known: list[str]) -> list[str] | Column:
         return []
 
-    def each(self, per) -> Column:
+    def each(self, per, places=()) -> Column:
         return F.array().cast("array<string>")
 
     def text(self) -> Text:
@@ -196,7 +196,7 @@ class Typed(Value):
             return F.array_except(F.map_keys(self.column), F.array(*map(F.lit, known)).cast("array<string>"))
         return []
 
-    def each(self, per) -> Column:
+    def each(self, per, places=()) -> Column:
         return F.transform(self.column, lambda x, i: per(value_of(x, self.type.elementType), i))
 
     def text(self) -> Text:
@@ -252,34 +252,67 @@ class Entry(Typed):
     def extra_keys(self, known: list[str]) -> list[str] | Column:
         return self.inner.extra_keys(known) if self.inner else super().extra_keys(known)
 
-    def each(self, per) -> Column:
-        return self.inner.each(per) if self.inner else super().each(per)
+    def each(self, per, places=()) -> Column:
+        return self.inner.each(per, places) if self.inner else super().each(per, places)
 
     def text(self) -> Text:
         return cases((self.missing(), "undefined"), (self.null(), "null"), otherwise=self.inner.text() if self.inner else self._text())
 
 
+#: Paths of keys.
+Places = Sequence[tuple[str, ...]]
+
+
+def kind_code(variant: Column) -> Column:
+    """The first letters of the name that a VARIANT's type has, null where there is none."""
+    return F.substring(F.schema_of_variant(variant), 1, 4)
+
+
+def kind_code_of_json(text: Column) -> Column:
+    """The same of JSON text, by its first character: nothing is walked through."""
+    first = F.substring(F.ltrim(text, F.lit(" \t\n\r")), 1, 1)
+    return F.when(first == "{", "OBJE").when(first == "[", "ARRA").when(first == '"', "STRI").when(first.isin("t", "f"), "BOOL").when(first == "n", "VOID").otherwise("DOUB")
+
+
 class Variant(Value):
     """A place in a VARIANT; SQL NULL is missing, a JSON null is null."""
 
+    #: Kind codes by kind. Times have zones or not, intervals and years are neither.
     KINDS = {
-        "string": ("STRING",),
-        "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"),
-        "boolean": ("BOOLEAN",),
-        "array": ("ARRAY",),
-        "object": ("OBJECT",),
-        "date": ("DATE", "TIMESTAMP", "TIMESTAMP_NTZ"),
-        "array_buffer": ("BINARY",),
+        "string": ("STRI",),
+        "number": ("BIGI", "DECI", "DOUB", "FLOA", "INT", "SMAL", "TINY"),
+        "boolean": ("BOOL",),
+        "array": ("ARRA",),
+        "object": ("OBJE",),
+        "date": ("DATE", "TIME"),
+        "array_buffer": ("BINA",),
     }
 
-    #: Names in messages, and results of typeof, by kind.
+    #: Names in messages, and results of typeof, by kind code.
     NAMES = {raw: kind if kind in ("string", "number", "boolean", "array", "date") else "object" for kind, raws in KINDS.items() for raw in raws} | {"VOID": "null"}
     TYPEOF = {raw: name if name in ("string", "number", "boolean") else "object" for raw, name in NAMES.items()}
 
-    def __init__(self, column: Column, root: Column | None = None, path: str = "$"):
-        """`column`, which is what is found at `path` of `root`."""
+    def __init__(self, column: Column, root: Column | None = None, path: str = "$", kind: Column | None = None, taken: dict[tuple, tuple[Column, Column]] | None = None, at: tuple[str, ...] = ()):
+        """`column`, which is what is found at `path` of `root`.
+
+        `kind` is its kind code where that is worked out already; `taken` has value and
+        kind of what lies below, by the keys that lead there from where `at` begins.
+        """
         self.column, self.origin, self.path = column, column if root is None else root, path
-        self.raw_kind = F.regexp_extract(F.schema_of_variant(column), "^[A-Z_]+", 0)
+        self.raw_kind = kind_code(column) if kind is None else kind
+        self.taken, self.at = taken or {}, at
+
+    @staticmethod
+    def step(path: str, key: str) -> str | None:
+        """The path one key further, None for keys that paths cannot name."""
+        return None if '"' in key or "\\" in key else f'{path}["{key}"]'
+
+    def reach(self, keys: Sequence[str]) -> Column | None:
+        """What lies under these keys, None where no path leads there."""
+        path: str | None = self.path
+        for key in keys:
+            path = path and self.step(path, key)
+        return path and (self.column if not keys else F.try_variant_get(self.origin, path, "variant"))
 
     def _named(self, names: dict[str, str]) -> Column:
         table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -295,14 +328,14 @@ class Variant(Value):
         return self.column.isNull()
 
     def null(self) -> Truth:
-        return F.coalesce(F.is_variant_null(self.column), F.lit(False))
+        return F.coalesce(self.raw_kind == "VOID", F.lit(False))
 
     def is_kind(self, kind: str) -> Truth:
         names = self.KINDS.get(kind)
         return False if names is None else F.coalesce(self.raw_kind.isin(*names), F.lit(False))
 
     def is_nested(self) -> Truth:
-        return F.coalesce(self.raw_kind.isin("OBJECT", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "BINARY"), F.lit(False))
+        return F.coalesce(self.raw_kind.isin("OBJE", "DATE", "TIME", "BINA"), F.lit(False))
 
     def is_base(self, base: str) -> Truth:
         return F.coalesce(self.is_nested() | self.null(), F.lit(False)) if base == "object" else super().is_base(base)
@@ -323,16 +356,25 @@ class Variant(Value):
         return F.when(self.is_kind("array"), F.size(self._elements())).otherwise(F.size(self._entries()))
 
     def field(self, key: str) -> Value:
-        if '"' in key or "\\" in key:
+        path, at = self.step(self.path, key), (*self.at, key)
+        if path is None:
             return Variant(F.try_element_at(self._entries(), F.lit(key)))
-        path = f'{self.path}["{key}"]'
+        if at in self.taken:
+            column, kind = self.taken[at]
+            return Variant(column, self.origin, path, kind, self.taken, at)
         return Variant(F.try_variant_get(self.origin, path, "variant"), self.origin, path)
 
     def extra_keys(self, known: list[str]) -> list[str] | Column:
         return F.coalesce(F.array_except(F.map_keys(self._entries()), F.array(*map(F.lit, known)).cast("array<string>")), F.array().cast("array<string>"))
 
-    def each(self, per) -> Column:
-        return F.transform(self._elements(), lambda x, i: per(Variant(x), i))
+    def each(self, per, places=()) -> Column:
+        """Every element, and what lies at `places` in it, is taken out once, and its kind worked out once."""
+        known = [p for p in [(), *places] if Variant(F.lit(None)).reach(p) is not None]
+        names = [f"v{n}" for n in range(len(known))]
+        taken = F.transform(self._elements(), lambda x: F.struct(*[Variant(x).reach(p).alias(n) for p, n in zip(known, names)]))
+        kinds = F.transform(taken, lambda s: F.struct(*[s[n].alias(n) for n in names], *[kind_code(s[n]).alias("k" + n) for n in names]))
+        below = lambda s: {p: (s[n], s["k" + n]) for p, n in zip(known, names)}
+        return F.transform(kinds, lambda s, i: per(Variant(s["v0"], kind=s["kv0"], taken=below(s)), i))
 
     def text(self) -> Text:
         plain = F.when(self.is_kind("number"), number_text(self.number(), True)).otherwise(self.string())

@@ -17,8 +17,9 @@ from ..functions.checks import Check, Validator, is_type, matches_type
 from ..functions.logic import column, negated
 from ..functions.registry import DEFAULT, TypeRegistry
 from ..functions.text import first_of, json_array, json_value
-from ..functions.values import Row, Typed, Value, Variant, value
+from ..functions.values import Row, Typed, Value, Variant, kind_code, kind_code_of_json, value
 from ..plans.compile import Findings, compile_schema
+from ..plans.schema import places
 
 log = logging.getLogger("rowguard")
 
@@ -42,6 +43,23 @@ def carrier(frame: DataFrame, source: str | None = None, kind: str = "typed") ->
     return own
 
 
+def _fresh(name: str, frame: DataFrame) -> str:
+    while any(c.startswith(name) for c in frame.columns):
+        name += "_"
+    return name
+
+
+def _parsed(frame: DataFrame, source: str) -> tuple[DataFrame, str, Column | None]:
+    """The frame with JSON text of `source` parsed into a column, once for each row; that column's name; its kind code."""
+    own = value(frame, source)
+    if not isinstance(own, Typed) or own.kind != "string":
+        return frame, source, None
+    name = _fresh("_payload", frame)
+    rows = frame.select("*", json_array(own.column).alias(name + "_"))
+    rows = rows.select("*", first_of(F.col(name + "_")).alias(name))
+    return rows, name, F.when(F.col(name).isNotNull(), kind_code_of_json(own.column))
+
+
 def prepared(frame: DataFrame, source: str | None = None, carrier_kind: str = "typed") -> tuple[DataFrame, str | None]:
     """The frame with JSON text of `source` parsed into a column of its own, once for each row, and that column's name.
 
@@ -50,16 +68,13 @@ def prepared(frame: DataFrame, source: str | None = None, carrier_kind: str = "t
     """
     if source is None or carrier_kind != "variant":
         return frame, source
-    own = value(frame, source)
-    if not isinstance(own, Typed) or own.kind != "string":
-        return frame, source
-    name = "_payload"
-    while name in frame.columns or name + "_" in frame.columns:
-        name += "_"
-    # A generator of one row each: a filter further up is not moved below it, where it would parse the text anew for each mention.
-    once = lambda c: F.explode(F.array(c))
-    parts = frame.select("*", once(json_array(own.column)).alias(name + "_"))
-    return parts.select(*frame.columns, once(first_of(F.col(name + "_"))).alias(name)), name
+    rows, name, _ = _parsed(frame, source)
+    return (frame, source) if name == source else (rows.select(*frame.columns, _once(F.col(name)).alias(name)), name)
+
+
+def _once(column: Column) -> Column:
+    """A generator of one row each: filters further up are not moved below it, where they would work everything out anew."""
+    return F.explode(F.array(column))
 
 
 def findings(frame: DataFrame, schema, *, source: str | None = None, carrier_kind: str = "typed", dialect: str = "structure", strict: bool = False, registry: TypeRegistry = DEFAULT) -> Findings:
@@ -67,15 +82,37 @@ def findings(frame: DataFrame, schema, *, source: str | None = None, carrier_kin
     return compile_schema(schema, carrier(frame, source, carrier_kind), dialect, strict, registry, key)
 
 
-def _ready(frame: DataFrame, schema, how: dict) -> tuple[DataFrame, Findings]:
-    rows, source = prepared(frame, how.get("source"), how.get("carrier_kind", "typed"))
-    return rows, findings(rows, schema, **{**how, "source": source})
+def _ready(frame: DataFrame, schema, how: dict) -> tuple[DataFrame, Findings, bool]:
+    """Rows to look for findings in, the findings, and whether these are worth working out once only.
+
+    Of a VARIANT, all that the schema names is taken out into columns first, each
+    with its kind, in projections that are not folded into those that use them.
+    """
+    source, kind = how.get("source"), how.get("carrier_kind", "typed")
+    if source is None or kind != "variant" or not isinstance(schema, dict):
+        return frame, findings(frame, schema, **how), False
+    rows, source, code = _parsed(frame, source)
+    root = value(rows, source)
+    if not isinstance(root, Variant):
+        return rows, findings(rows, schema, **{**how, "source": source}), False
+    name = _fresh("_at", rows)
+    known = [((), root.column)] + [(p, c) for p in places(schema) if (c := root.reach(p)) is not None]
+    rows = rows.select("*", *[c.alias(f"{name}{i}") for i, (_, c) in enumerate(known)])
+    at = [F.col(f"{name}{i}") for i in range(len(known))]
+    rows = rows.select("*", *[(code if code is not None and not i else kind_code(c)).alias(f"{name}k{i}") for i, c in enumerate(at)])
+    taken = {p: (c, F.col(f"{name}k{i}")) for i, ((p, _), c) in enumerate(zip(known, at))}
+    own = Variant(at[0], kind=taken[()][1], taken=taken)
+    rest = {k: v for k, v in how.items() if k not in ("source", "carrier_kind")}
+    return rows, compile_schema(schema, own, **rest, key=("taken out", name)), True
 
 
 def with_validation(frame: DataFrame, schema, *, valid: str = "is_valid", errors: str = "errors", **how) -> DataFrame:
     """The rows with is_valid and errors."""
-    rows, found = _ready(frame, schema, how)
-    return rows.select(*frame.columns, column(found.valid()).alias(valid), found.errors().alias(errors))
+    rows, found, dear = _ready(frame, schema, how)
+    if not dear:
+        return rows.select(*frame.columns, column(found.valid()).alias(valid), found.errors().alias(errors))
+    once = rows.select(*frame.columns, _once(found.errors()).alias(errors))
+    return once.select(*frame.columns, (F.size(errors) == 0).alias(valid), errors)
 
 
 def check_structure(frame: DataFrame, schema, **how) -> Column:
@@ -86,20 +123,30 @@ def check_structure(frame: DataFrame, schema, **how) -> Column:
 
 def valid_rows(frame: DataFrame, schema, **how) -> DataFrame:
     """By the predicate alone: what a scan can skip, it does."""
-    rows, found = _ready(frame, schema, how)
-    return rows.filter(column(found.valid())).select(*frame.columns)
+    rows, found, dear = _ready(frame, schema, how)
+    if not dear:
+        return rows.filter(column(found.valid())).select(*frame.columns)
+    flag = _fresh("_is_valid", frame)
+    return rows.select(*frame.columns, _once(column(found.valid())).alias(flag)).filter(flag).select(*frame.columns)
 
 
 def invalid_rows(frame: DataFrame, schema, **how) -> DataFrame:
     """The rows that are not valid, with their errors."""
-    rows, found = _ready(frame, schema, how)
-    return rows.filter(column(negated(found.valid()))).select(*frame.columns, found.errors().alias("errors"))
+    rows, found, dear = _ready(frame, schema, how)
+    if not dear:
+        return rows.filter(column(negated(found.valid()))).select(*frame.columns, found.errors().alias("errors"))
+    return rows.select(*frame.columns, _once(found.errors()).alias("errors")).filter(F.size("errors") > 0)
+
+
+def errors_in(frame: DataFrame, schema, **how) -> DataFrame:
+    """A row for each error: the row's columns, place (from 0) and error."""
+    rows, found, _ = _ready(frame, schema, how)
+    return rows.select(*frame.columns, F.posexplode(found.errors()).alias("place", "error"))
 
 
 def error_report(frame: DataFrame, schema, **how) -> DataFrame:
     """How often each error is found."""
-    rows, found = _ready(frame, schema, how)
-    return rows.select(F.explode(found.errors()).alias("error")).groupBy("error").agg(F.count("*").alias("count"))
+    return errors_in(frame, schema, **how).groupBy("error").agg(F.count("*").alias("count"))
 
 
 def validate(frame: DataFrame, schema: dict, **how) -> Column:
@@ -143,6 +190,20 @@ def apply(frame: DataFrame, source: str, validator: Validator) -> Column:
     return validator(value(frame, source)).column()
 
 
+def one_of_table(frame: DataFrame, source: str, values: DataFrame, ok: str = "ok", message: str = "message") -> DataFrame:
+    """`one_of` with the values in the only column of a table: a join, for more values than a plan should carry.
+
+    Null is one of them if it is among them. Messages name how many there are, not which.
+    """
+    own, name = value(frame, source), _fresh("_one_of", frame)
+    known = values.toDF(name).distinct().withColumn(name + "_", F.lit(True))
+    n = values.distinct().agg(F.count("*").alias(name + "n"))
+    joined = frame.join(known, own.column.eqNullSafe(F.col(name)), "left").crossJoin(F.broadcast(n))  # a row of one number
+    found = F.coalesce(F.col(name + "_"), F.lit(False))
+    says = F.concat(column(own.text()), F.lit(" must be one of "), F.col(name + "n").cast("string"), F.lit(" values, is "), column(own.text()))
+    return joined.select(*frame.columns, found.alias(ok), F.when(~found, says).alias(message))
+
+
 def is_(frame: DataFrame, source: str, types: str | list[str], registry: TypeRegistry = DEFAULT) -> Column:
     return column(matches_type(types, value(frame, source), registry))
 

@@ -21,7 +21,7 @@ from ..functions.checks import matches_type, of_type
 from ..functions.logic import Text, Truth, both, column, either, joined, negated
 from ..functions.registry import DEFAULT, TypeRegistry
 from ..functions.values import Value
-from .schema import frozen, kind_of_definition, type_names
+from .schema import Same, frozen, kind_of_definition, places, type_names
 
 _NONE = "array<string>"
 
@@ -153,7 +153,7 @@ class Compiler:
             if not isinstance(own, (str, dict)) and not callable(own):
                 inner.add(True, joined('Array element type must be a string at "', path, '"'))
             elif array is not False:
-                inner.add_all(F.flatten(v.each(lambda x, i: self.errors_of(own, x, path, i))))
+                inner.add_all(F.flatten(v.each(lambda x, i: self.errors_of(own, x, path, i), places(own))))
             out.group(array, inner)
 
     def errors_of(self, definition, x: Value, path: Text, i: Column) -> Column:
@@ -197,7 +197,7 @@ _cache: dict[tuple, Findings] = {}
 
 def compile_schema(schema, v: Value, dialect: str = "structure", strict: bool = False, registry: TypeRegistry = DEFAULT, key: tuple | None = None) -> Findings:
     """The findings of `schema` on `v`. With `key`, which has to tell the value's place and type, they are kept."""
-    full = None if key is None else (frozen(schema), dialect, strict, id(registry), registry.version, key)
+    full = None if key is None else (frozen(schema), dialect, strict, Same(registry), registry.version, key)
     if full is None or full not in _cache:
         found = flat(schema, v, registry) if dialect == "flat" else Compiler(dialect, strict, registry).root(schema, v)
         if full is None:

@@ -38,13 +38,26 @@ class Schema(dict):
         return hash(frozen(self))
 
 
+class Same:
+    """Stands for one object in a key, which it keeps alive, so that no later one can be taken for it."""
+
+    def __init__(self, of: object):
+        self.of = of
+
+    def __hash__(self) -> int:
+        return id(self.of)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Same) and self.of is other.of
+
+
 def frozen(definition) -> object:
-    """The definition as something that can be a key."""
+    """The definition as something that can be a key; validators are told apart by identity."""
     if isinstance(definition, dict):
         return "{", tuple((k, frozen(v)) for k, v in definition.items())
     if isinstance(definition, (list, tuple)):
         return "[", tuple(map(frozen, definition))
-    return definition if not callable(definition) else ("f", id(definition))
+    return definition if not callable(definition) else Same(definition)
 
 
 def type_names(definition: str) -> list[str]:
@@ -108,3 +121,11 @@ def walk(definition: dict, path: str = "") -> Iterator[tuple[str, object]]:
         yield at, own
         if isinstance(own, dict):
             yield from walk(own, at)
+
+
+def places(definition: object, at: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """The keys that lead to each entry outside arrays, without the entry that `definition` is itself."""
+    out: list[tuple[str, ...]] = []
+    for key, own in definition.items() if isinstance(definition, dict) else ():
+        out += [(*at, key), *places(own, (*at, key))]
+    return out

@@ -73,7 +73,9 @@ def type_is_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", *[fr.is_(rows, "v", b).alias(f"is_{b}") for b in BASES])
 
 
-@query("SELECT c_custkey, " + ", ".join(f"{ok} AS {n}" for n, ok in [("is_number", "true"), ("is_bigint", "true"), ("name_is_string", "true"), ("name_is_number", "false"), ("none_is_null", "none IS NULL"), ("none_is_object", "none IS NULL"), ("day_is_date", "true"), ("list_is_array", "true"), ("missing", "true")]) + " FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS none FROM customer)")
+@query("""SELECT c_custkey, typeof(c_custkey) IN ('INTEGER', 'BIGINT') AS is_number, typeof(big) LIKE 'DECIMAL%' AND big IS NOT NULL AS is_bigint, typeof(c_name) = 'VARCHAR' AND c_name IS NOT NULL AS name_is_string,
+      typeof(c_name) IN ('INTEGER', 'BIGINT', 'DOUBLE') AS name_is_number, none IS NULL AS none_is_null, none IS NULL AS none_is_object, typeof(day) = 'DATE' AS day_is_date, typeof(list) LIKE '%[]' AS list_is_array, c_custkey IS NOT NULL AS missing
+    FROM (SELECT c_custkey, c_name, CAST(c_custkey AS DECIMAL(20, 0)) AS big, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS none, DATE '2024-01-01' AS day, [c_name] AS list FROM customer)""")
 def type_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on typed columns, where most answers are known in the plan."""
     rows = table(spark, sf_dir, "customer").select(
@@ -103,6 +105,88 @@ def is_type_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(_values(spark, sf_dir), ["event_id"], "v", c.type_check(["string", "array"]))
 
 
+#: What each base type says of a value that is not of it, in SQL; the object's text asks for arrays too.
+_SAID = {
+    "array": "an array, is ", "array_buffer": "an ArrayBuffer.", "bigint": "a bigint, is ", "boolean": "a boolean, is ", "data_view": "a DataView.", "date": "a valid Date.", "dom": "a DOM element, is ",
+    "function": "a function, is ", "map": "a Map.", "number": "a number, is ", "null": "null.", "object": "a non-array object, is ", "regex": "a RegExp.", "set": "a Set.", "string": "a string, is ",
+    "symbol": "a symbol, is ", "typed_array": "a TypedArray.", "undefined": "undefined, is ",
+}
+
+
+def _says_sql(base: str) -> str:
+    if base == "json":
+        return "CASE WHEN json_type(v) = 'VARCHAR' THEN t || ' must be a valid JSON string.' ELSE 'None of the types matched for ' || t || ': ' || t || ' must be a string, is ' || o END"
+    kind = "" if _SAID[base].endswith(".") else " || CASE WHEN json_type(v) = 'ARRAY' THEN 'array' ELSE o END" if base == "object" else " || o"
+    return f"t || ' must be {_SAID[base]}'{kind}"
+
+
+@query("SELECT event_id, " + ", ".join(f"CASE WHEN NOT ({_IS.get(b, 'false')}) THEN {_says_sql(b)} END AS says_{b}" for b in BASES) + f" FROM (SELECT event_id, v, {_V_TEXT} AS t, {_V_TYPEOF} AS o FROM (SELECT event_id, CAST({_JSON} AS JSON) AS v FROM events))")
+def checker_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The own message of every base type's checker on values of every kind."""
+    rows = _values(spark, sf_dir)
+    return rows.select("event_id", *[fr.apply(rows, "v", lambda v, b=b: c.of_type(b, v))["message"].alias(f"says_{b}") for b in BASES])
+
+
+@query("SELECT c_custkey, c_name AS s, c_acctbal AS n, c_acctbal > 0 AS b, c_name || '|' || c_mktsegment AS a, c_nationkey AS o FROM customer")
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """as_string and the like, on values that pass: they come back as they are."""
+    rows = table(spark, sf_dir, "customer").select("*", (F.col("c_acctbal") > 0).alias("b"), F.array("c_name", "c_mktsegment").alias("a"), F.struct("c_nationkey").alias("o"))
+    own = [fr.as_string(rows, "c_name").alias("s"), fr.as_number(rows, "c_acctbal").alias("n"), fr.as_boolean(rows, "b").alias("b"), F.array_join(fr.as_array(rows, "a"), "|").alias("a"), fr.as_object(rows, "o")["c_nationkey"].alias("o")]
+    return rows.select("c_custkey", *own)
+
+
+@query("""SELECT c_custkey, n IS NOT NULL AS is_instance, CASE WHEN n IS NULL THEN 'null must be an instance of StringType.' END AS instance_message, false AS is_promise, coalesce(n, 'null') || ' must be a Promise.' AS promise_message
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS n FROM customer)""")
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("n"))
+    one, other = fr.apply(rows, "n", c.is_instance_of(T.StringType)), fr.apply(rows, "n", c.is_promise)
+    return rows.select("c_custkey", one["ok"].alias("is_instance"), one["message"].alias("instance_message"), other["ok"].alias("is_promise"), other["message"].alias("promise_message"))
+
+
+@query("SELECT count(*) FILTER (WHERE c_acctbal < 0) AS failed, count(*) AS rows FROM customer")
+def assert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `assert_type` counts while the rows are counted: nothing fails."""
+    registry = TypeRegistry()
+    registry.register("positive", c.is_positive_number)
+    rows, seen = fr.assert_type(table(spark, sf_dir, "customer"), "c_acctbal", "positive", registry)
+    n = rows.count()
+    return spark.createDataFrame([(seen.get["failed"], n)], "failed long, rows long")
+
+
+@query("SELECT name, base FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for b, own in BASES.items() for a in own if b != "dom") + ", ('even', NULL)) AS t(name, base)")
+def registry_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types after some are removed, one is added and the list has gone out and in as JSON."""
+    registry = TypeRegistry()
+    for name in ("dom", " DomEl ", "domelement"):
+        registry.unregister(name)
+    registry.register("Even", c.is_integer)
+    registry.import_types(registry.export_types())
+    return registry.to_df(spark)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events")
+def return_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result that is a number or, as "void" allows, nothing."""
+    from .operators.guard import verified
+
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("v"))
+    return rows.select("event_id", verified(value(rows, "v"), ["number", "void"]).alias("v"))
+
+
+def _no_tenths(x) -> None:
+    if x is None or x != round(x):
+        raise ValueError(f"{x} has tenths")
+
+
+@query("SELECT l_orderkey, l_linenumber, q = round(q) AS ok, CASE WHEN q <> round(q) THEN CAST(q AS VARCHAR) || ' has tenths' END AS message FROM (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_linenumber = 2 THEN 0.5 ELSE 0 END AS q FROM lineitem WHERE l_linenumber < 4)")
+def python_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A validator that is a Python function."""
+    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber < 4").select(*_LINE, (F.col("l_quantity") + F.when(F.col("l_linenumber") == 2, 0.5).otherwise(0.0)).alias("q"))
+    return checked(rows, _LINE, "q", c.python_validator(_no_tenths))
+
+
 # Numbers.
 
 _QUANTITY = "CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 4 THEN CAST('Infinity' AS DOUBLE) WHEN l_linenumber = 5 THEN l_quantity + 0.5 ELSE l_quantity END"
@@ -204,11 +288,13 @@ _on_events("str_base64", f"CASE event_id % 5 WHEN 0 THEN 'aGVsbG8=' WHEN 1 THEN
 _on_events("str_url", f"CASE event_id % 8 WHEN 0 THEN concat('https://h', {_ID}, '.org/a?b#c') WHEN 1 THEN concat('http://h.org:', {_ID}, '00') WHEN 2 THEN concat('h.org/', {_ID}) WHEN 3 THEN 'http://' WHEN 4 THEN concat('mailto:u', {_ID}, '@h.org') WHEN 5 THEN 'http://a b.org/' WHEN 6 THEN 'http://[::1]:80/x' ELSE concat('ftp://10.0.0.', CAST(event_id % 400 AS VARCHAR)) END", c.is_url, "CASE event_id % 8 WHEN 0 THEN true WHEN 1 THEN event_id * 100 <= 65535 WHEN 4 THEN true WHEN 6 THEN true WHEN 7 THEN event_id % 400 < 256 ELSE false END", " must be a valid URL.")
 
 
-@query("SELECT page_id, true AS ok, v LIKE 'http%' AS broken FROM (SELECT page_id, url AS v FROM pages)")
+_URL = "CASE page_id % 4 WHEN 0 THEN replace(url, '://', ':///') WHEN 1 THEN replace(url, '://', '') WHEN 2 THEN replace(url, '.example', ' example') ELSE url END"
+
+
+@query(judged("page_id", _URL, "v LIKE '%:/%' AND v NOT LIKE '% %'", "v || ' must be a valid URL.'", "pages"))
 def str_url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The urls of pages, and what is left of them without a scheme turned round."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "url")
-    return rows.select("page_id", fr.apply(rows, "url", c.is_url)["ok"].alias("ok"), F.col("url").startswith("http").alias("broken"))
+    """The urls of pages: with a slash too many, without a scheme, with a blank in the host, and as they are."""
+    return checked(table(spark, sf_dir, "pages").select("page_id", F.expr(_URL).alias("v")), ["page_id"], "v", c.is_url)
 
 
 _DATE = "concat('20', lpad(CAST(event_id % 100 AS VARCHAR), 2, '0'), '-', lpad(CAST(event_id % 14 AS VARCHAR), 2, '0'), '-', lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0'), CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'T10:30:00Z' ELSE 'T10:30:15.25+01:00' END)"
@@ -260,19 +346,35 @@ def one_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BROKEN = "CASE WHEN event_id % 6 = 0 THEN concat(props, ' x') WHEN event_id % 6 = 1 THEN '{k: 1}' WHEN event_id % 6 = 2 THEN '' WHEN event_id % 6 = 3 THEN '01' WHEN event_id % 6 = 4 THEN '  \"s\" ' ELSE props END"
 _on_events("json_valid_strict", _BROKEN, c.type_check("json"), "json_valid(v)")
-QUERIES["json_valid_strict"] = lambda spark, sf_dir, f=QUERIES["json_valid_strict"]: f(spark, sf_dir).select("event_id", "ok", F.lit(None).cast("string").alias("message"))
+ORACLE_SQL["json_valid_strict"] = judged("event_id", _BROKEN, "json_valid(v)", "'None of the types matched for ' || v || ': ' || v || ' must be a valid JSON string.'", "events")
+
+
+@query("""SELECT o_orderkey, v IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS ok,
+      CASE WHEN v NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN v || ' must be one of ' || (SELECT count(*) FROM customer WHERE c_acctbal > 0) || ' values, is ' || v END AS message
+    FROM (SELECT o_orderkey, o_custkey AS v FROM orders)""")
+def one_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership in a table's values, by a join."""
+    known = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey")
+    return fr.one_of_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", known).select("o_orderkey", "ok", "message")
 
 
 # Combinators.
 
 
-@query("SELECT event_id, n IS NULL OR n >= 50 AS nullable, j <> 'NULL' OR j = 'NULL' OR j IS NULL AS any, CASE WHEN n IS NULL OR n >= 50 THEN n END AS kept FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS n, 'x' AS j FROM events)")
+@query("""SELECT event_id, k IS NULL OR k >= 50 AS ok, CASE WHEN NOT (k IS NULL OR k >= 50) THEN k || ' must be between 50 and 100, is ' || k END AS message
+    FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(props ->> '$.k' AS BIGINT) END AS k FROM events)""")
+def comb_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key that some objects do not have."""
+    rows = table(spark, sf_dir, "events").select("event_id", json_value(F.expr("CASE WHEN event_id % 3 = 0 THEN '{}' ELSE props END")).alias("v"))
+    return checked(rows, ["event_id"], "v.k", c.optional(c.in_range(50, 100)))
+
+
+@query("SELECT event_id, n IS NULL OR n >= 50 AS nullable, CASE WHEN n IS NULL OR n >= 50 THEN n END AS kept FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS n FROM events)")
 def comb_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("n"))
     check = c.nullable(c.in_range(50, 1e12))(value(rows, "n"))
-    absent = c.optional(c.as_string)(value(rows, "nothing"))
     ok = check.column()["ok"]
-    return rows.select("event_id", ok.alias("nullable"), F.lit(absent.ok).alias("any"), F.when(ok, check.value_column()).alias("kept"))
+    return rows.select("event_id", ok.alias("nullable"), F.when(ok, check.value_column()).alias("kept"))
 
 
 @query(f"""SELECT event_id, ok, CASE WHEN NOT ok THEN 'Value did not match any union variant: None of the types matched for ' || t || ': ' || t || ' must be a number, is ' || o || ', None of the types matched for ' || t || ': ' || t || ' must be a string, is ' || o END AS message
@@ -291,9 +393,8 @@ def _payloads(spark: SparkSession, sf_dir: str, text: str = _SOILED) -> DataFram
 
 
 def _errors(rows: DataFrame, schema, **how) -> DataFrame:
-    rows, source = fr.prepared(rows, "payload", "variant")
-    found = fr.findings(rows, schema, source=source, carrier_kind="variant", **how)
-    return rows.select("event_id", F.posexplode(found.errors()).alias("place", "error")).select("event_id", F.col("place").cast("long").alias("place"), "error")
+    found = fr.errors_in(rows, schema, source="payload", carrier_kind="variant", **how)
+    return found.select("event_id", F.col("place").cast("long").alias("place"), "error")
 
 
 @query(f"""SELECT event_id, CAST(0 AS BIGINT) AS place, CASE WHEN json_type(v) <> 'OBJECT' THEN 'Invalid object: must be a non-null object, got array'
@@ -338,6 +439,27 @@ def structure_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _errors(_payloads(spark, sf_dir, _ARRAYS), {"xs": ["number"], "os": [{"n": "string"}]})
 
 
+#: Kinds of JSON values as messages name them.
+_NAMED = "CASE {0} WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
+_EVENT = """concat('{"id": ', event_id, CASE WHEN user_id % 5 = 0 THEN '' ELSE concat(', "type": ', CASE WHEN user_id % 7 = 0 THEN '17' ELSE concat('"', event_type, '"') END) END,
+    ', "value": ', CASE WHEN value < 20 THEN 'null' WHEN value < 60 THEN concat('"', event_type, '"') ELSE '2.5' END, ', "props": ', CASE WHEN event_type = 'error' THEN '[]' WHEN event_type = 'click' THEN '{}' ELSE props END,
+    ', "tags": [', CASE WHEN value > 100 THEN '"a", ' WHEN value > 50 THEN 'true, ' ELSE '' END, CASE WHEN user_id % 2 = 0 THEN '"b"' ELSE 'null' END, ']}')"""
+_EVENT_SCHEMA = {"id": "number", "type": "string", "value": "number|null", "props": {"k": "number"}, "tags": ["string"]}
+_TYPE_OF = lambda path: f"json_type(v, '$.{path}')"
+
+
+@query(f"""WITH j AS (SELECT event_id, CAST({_EVENT} AS JSON) AS v FROM events), found AS (
+      SELECT event_id, 1 AS rule, 0 AS i, CASE WHEN {_TYPE_OF('type')} IS NULL THEN 'Missing required key "type"' WHEN {_TYPE_OF('type')} <> 'VARCHAR' THEN 'Expected "type" to be string, got ' || {_NAMED.format(_TYPE_OF('type'))} END AS error FROM j
+      UNION ALL SELECT event_id, 2, 0, CASE WHEN {_TYPE_OF('value')} NOT IN ('NULL', 'DOUBLE', 'UBIGINT', 'BIGINT') THEN 'Expected "value" to be one of [number, null], got ' || {_NAMED.format(_TYPE_OF('value'))} END FROM j
+      UNION ALL SELECT event_id, 3, 0, CASE WHEN {_TYPE_OF('props')} <> 'OBJECT' THEN 'Expected "props" to be an object, got ' || {_NAMED.format(_TYPE_OF('props'))} WHEN {_TYPE_OF('props.k')} IS NULL THEN 'Missing required key "props.k"' END FROM j
+      UNION ALL SELECT event_id, 4, i, CASE WHEN json_type(x) <> 'VARCHAR' THEN 'Expected "tags[' || i || ']" to be string, got ' || {_NAMED.format('json_type(x)')} END
+        FROM (SELECT event_id, unnest(range(CAST(json_array_length(v, '$.tags') AS BIGINT))) AS i, unnest(json_extract(v, '$.tags[*]')) AS x FROM j))
+    SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY rule, i) - 1 AS place, error FROM found WHERE error IS NOT NULL""")
+def structure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads made of what the events hold, and errors that SQL works out from the same JSON."""
+    return _errors(_payloads(spark, sf_dir, _EVENT), _EVENT_SCHEMA)
+
+
 _EXTRAS = """CASE event_id % 3 WHEN 0 THEN '{"data": {"items": [1], "extra": 1}}' WHEN 1 THEN '{"data": {"items": ["a"]}, "b": 1, "a": 2}' ELSE '{"data": {"items": []}}' END"""
 
 

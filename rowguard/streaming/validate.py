@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.frame import findings, invalid_rows, prepared, valid_rows, with_validation
+from ..operators.frame import errors_in, with_validation
 
 
 def validated(stream: DataFrame, schema, **how) -> DataFrame:
@@ -16,20 +16,21 @@ def validated(stream: DataFrame, schema, **how) -> DataFrame:
 
 def error_counts(stream: DataFrame, schema, time: str, window: str, delay: str, **how) -> DataFrame:
     """How often each error comes in each window of event time. Rows later than `delay` are not counted."""
-    rows, source = prepared(stream, how.pop("source", None), how.get("carrier_kind", "typed"))
-    found = findings(rows, schema, source=source, **how)
-    errors = rows.select(F.col(time).cast("timestamp").alias("at"), F.explode(found.errors()).alias("error"))
+    errors = errors_in(stream, schema, **how).select(F.col(time).cast("timestamp").alias("at"), "error")
     return errors.withWatermark("at", delay).groupBy(F.window("at", window), "error").agg(F.count("*").alias("count"))
 
 
 def split_to(stream: DataFrame, schema, path: str, quarantine: str, checkpoint: str, **how) -> StreamingQuery:
     """Valid rows and the others, with errors, to two folders of Parquet, batch by batch.
 
-    A batch that is done again overwrites what it wrote before.
+    A batch is read and checked once, kept while both folders are written. One
+    that is done again overwrites what it wrote before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        valid_rows(batch, schema, **how).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        invalid_rows(batch, schema, **how).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        checked = with_validation(batch, schema, valid="_is_valid", **how).persist()
+        checked.filter("_is_valid").drop("_is_valid", "errors").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        checked.filter("NOT _is_valid").drop("_is_valid").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        checked.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

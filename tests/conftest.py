@@ -25,6 +25,7 @@ def spark():
         .config("spark.local.dir", work)
         .config("spark.sql.warehouse.dir", f"{work}/warehouse")
         .config("spark.checkpoint.dir", f"{work}/checkpoints")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

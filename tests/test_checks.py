@@ -173,3 +173,24 @@ def test_registry(spark):
     r.register("number", c.as_string, override=True)
     assert not rows.select(fr.is_(rows, "v", "number", r)).first()[0] and rows.select(fr.is_(rows, "v", "n", r)).first()[0]
     assert r.to_df(spark).count() == 49
+
+
+@pytest.mark.parametrize(
+    ("pattern", "flags", "hits", "misses"),
+    [
+        (r"^\s+$", "", [" ﻿", "  "], ["\u0085", "a"]), (r"a.b", "", ["a\u0085b", "axb"], ["a\nb", "a b"]), (r"a.b", "s", ["a\nb"], ["ab"]), (r"[^]x", "", ["\nx"], ["x"]),
+        (r"[]", "", [], ["", "a"]), (r"\bcat\b", "", ["a cat!", "écat"], ["cats"]), (r"\Bat", "", ["cat"], ["at"]), (r"^b", "m", ["a\nb"], ["ab", "a\u0085b"]), (r"a$", "m", ["a\nb"], ["ab"]), (r"a$", "", ["a"], ["a\n"]),
+        (r"\u{1F600}", "u", ["😀"], ["u"]), (r"\p{Script=Greek}", "u", ["α"], ["a"]), (r"[[]", "", ["["], ["]"]), (r"[a&&b]", "", ["&"], ["c"]), (r"É", "i", ["é"], ["e"]), (r"a{", "", ["a{"], ["a"]), (r"a{2}", "", ["aa"], ["a"]),
+        (r"[\s,]", "", ["　", ","], ["x"]), (r"\S", "", ["x"], ["　"]), (r"\/", "", ["/"], ["x"]),
+    ],
+)
+def test_patterns_mean_what_they_say(spark, pattern, flags, hits, misses):
+    rows = spark.createDataFrame([(x,) for x in [*hits, *misses]], "v string")
+    got = {r.v for r in rows.filter(fr.apply(rows, "v", c.matches(pattern, flags))["ok"]).collect()}
+    assert got == set(hits)
+
+
+def test_whole_series(spark):
+    rows = spark.createDataFrame([(1,), (None,), (5,)], "v long")
+    check = c.python_validator(lambda s: s.map(lambda x: None if x > 2 else "too low"), whole=True)
+    assert [tuple(r[0]) for r in rows.select(fr.apply(rows, "v", check)).collect()] == [(False, "too low"), (False, "too low"), (True, None)]

@@ -261,3 +261,49 @@ def test_json_source(spark, tmp_path):
     write_split(rows.drop("is_json"), {"k": "number"}, str(tmp_path / "ok"), str(tmp_path / "bad"), source="raw", carrier_kind="variant")
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 4
     assert with_payload(rows, "raw").columns == ["raw", "payload", "is_json"]
+
+
+def test_registries_and_validators_that_are_gone(spark):
+    """What was compiled for one is never taken for another that came later in its place."""
+    rows = spark.createDataFrame([(1.5,)], "n double")
+    for n in range(100):
+        registry = TypeRegistry()
+        registry.register("odd", c.is_integer if n % 2 else c.is_number if hasattr(c, "is_number") else c.as_number)
+        found = fr.findings(rows, {"n": "odd"}, registry=registry).valid()
+        assert ("rint" in str(found).lower()) == bool(n % 2)
+        del registry
+        low = float(n)
+        found = fr.findings(rows, {"n": c.in_range(low, 1000)}).valid()
+        assert str(low) in str(found)
+
+
+def test_variants_are_taken_apart_once(spark):
+    """Each field is got once and its kind once; no filter moves below."""
+    rows = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}, "d": [1, "y"], "e": null}', 1), ("[1]", 2), ("nope", 3), (None, 4)], "j string, n int")
+    schema = {"a": "number", "b": {"c": "string", "f": "number?"}, "d": ["number"], "e": "string|null"}
+    found = fr.with_validation(rows, schema, source="j", carrier_kind="variant")
+    assert found.columns == ["j", "n", "is_valid", "errors"]
+    for frame in (found, found.filter("is_valid").select("n"), fr.valid_rows(rows, schema, source="j", carrier_kind="variant")):
+        text = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count('$["') <= 7 and text.count("parseJson") <= 1 and text.count("schemaOfVariant") <= 9
+    got = {r.n: r.errors for r in found.collect()}
+    assert got == {1: ['Expected "d[1]" to be number, got string'], **{k: [f"Invalid object: must be a non-null object, got {t}"] for k, t in ((2, "array"), (3, "undefined"), (4, "undefined"))}}
+    assert {r.n for r in fr.invalid_rows(rows, schema, source="j", carrier_kind="variant").collect()} == {1, 2, 3, 4}
+    assert fr.check_structure(rows, schema, source="j", carrier_kind="variant") is not None
+
+
+def test_one_of_table(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "n int, v string")
+    for values, ok in ((["a", "a", "b"], {1}), (["a", None], {1, 2}), ([], set())):
+        got = fr.one_of_table(rows, "v", spark.createDataFrame([(x,) for x in values], "w string")).collect()
+        assert {r.n for r in got if r.ok} == ok and len(got) == 3
+        assert all((r.message is None) == r.ok for r in got)
+    assert [r.message for r in got if r.n == 3] == ["z must be one of 0 values, is z"]
+
+
+def test_built_ins_first(spark):
+    rows = spark.createDataFrame([("x",)], "v string")
+    for first in (False, True):
+        registry = TypeRegistry(builtins_first=first)
+        registry.register("string", c.is_integer, override=True)
+        assert rows.select(fr.is_(rows, "v", "string", registry)).first()[0] == first
