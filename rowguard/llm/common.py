@@ -9,20 +9,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder becomes the
-    checkpoint folder.
+    Where that is unset, a local session (tests, a laptop) gets a temporary folder;
+    on a cluster other machines would not see one, so there it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowguard-")
-        )
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="rowguard-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
@@ -31,15 +34,80 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what was written there, in whatever file system it is."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write `frame` to the shared checkpoint folder and go on from the files.
 
-    Spark deletes them once nothing refers to them any more.
+    They stay there unless the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` true, as tests and bench
+    do: then Spark deletes them once nothing refers to them any more.
     """
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, made longer until no column has it."""
+    while name.lower() in [c.lower() for c in columns]:
+        name += "_"
+    return name
+
+
+_stored: list[str] = []
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """`frame` as a table in the shared folder: read back, never computed again, and only the columns asked for.
+
+    Its files stay until `release`, as what is returned reads them.
+    """
+    typed = [f.name for f in frame.schema.fields if not isinstance(f.dataType, T.NullType)]  # Parquet has no column without a type
+    path = new_path(frame.sparkSession, name)
+    frame.select(*map(named, typed)).write.parquet(path)
+    _stored.append(path)
+    read = frame.sparkSession.read.parquet(path)
+    return read.select(*[named(c) if c in typed else F.lit(None).alias(c) for c in frame.columns])
+
+
+def release(docs: DataFrame) -> None:
+    """Delete the `stored` tables of this process but those that `docs` reads.
+
+    For whoever has written what the operators gave, as the stages of a pipeline have.
+    """
+    read = _roots(docs)
+    for path in list(_stored):
+        if path.rsplit("/", 1)[-1] not in read:
+            drop(docs.sparkSession, path)
+            _stored.remove(path)
+
+
+def _leaves(docs: DataFrame) -> list:
+    own = docs._jdf.queryExecution().analyzed().collectLeaves()
+    return [own.apply(i) for i in range(own.size())]
+
+
+def _roots(docs: DataFrame) -> str:
+    """The folders that the files read by `docs` lie in."""
+    files = [leaf for leaf in _leaves(docs) if leaf.nodeName().startswith("LogicalRelation")]
+    return " ".join(leaf.relation().location().rootPaths().mkString(" ") for leaf in files)
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Whether `docs` is nothing but files: its rows come in the same order and parts each time."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.children().isEmpty() and plan.nodeName().startswith("LogicalRelation") and "HadoopFsRelation" in plan.relation().getClass().getName()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the text of `column` exceeds `most` bytes.
 

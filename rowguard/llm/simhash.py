@@ -10,32 +10,38 @@ Finding the links, exactly:
   two that link differ in at most `bits` blocks, so they agree in three. Each
   fingerprint is dealt out under every choice of three blocks (about 32 bits
   of key), and only keys that two or more share go on.
-* Within a key each fingerprint has a row of Hamming distances to PIVOTS
-  reference fingerprints. By the triangle inequality two that link differ by
-  at most `bits` in every coordinate; pairs beyond that in any are discarded,
-  and the survivors' own distance is taken.
-* A key with over MOST fingerprints is dealt out anew as pairs of parts of it,
-  which different tasks take; no pairs are written out, only, for each
-  fingerprint of a key, the least one that it hangs together with there.
+* Each fingerprint has a row of Hamming distances to PIVOTS reference
+  fingerprints. By the triangle inequality two that link differ by at most
+  `bits` in every coordinate; pairs beyond that in any are discarded, and the
+  survivors' own distance is taken.
+* First all of a key are held against its least and its greatest fingerprint:
+  two pairs for each row. What hangs together then, by links in any key, needs
+  no further link.
+* Keys that still hold several sets are compared in blocks of about MOST rows,
+  which different tasks take: the largest set's members against the others,
+  and those among each other. Before that, a key with over MOST of the others is
+  dealt out anew under pairs of five parts of its remaining bits, which loses
+  no link either. No pairs are written out there, only links that join sets.
 
 Null and empty texts have fingerprint 0 and link like any other. Rows repeated
-are all returned, in one group. Only doc_id and text are read.
+are all returned, in one group. Only doc_id and text are read. Rows with null
+doc_id get a group of their least doc_id that is not null, if there is one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations, groupby
-from operator import itemgetter
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain, combinations, groupby
+from operator import add, itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, spans, texts_of
+from .common import cut, fresh, is_scan, named, slices, spans, stored, texts_of
 from .components import components
 
 PIVOTS = 24
@@ -104,34 +110,63 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint long")
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
 def block_masks(bits: int, equal: int = 3) -> list[int]:
-    """Masks of `equal` of `bits` + `equal` blocks, as signed longs."""
+    """Masks of `equal` of `bits` + `equal` blocks."""
     ends = [64 * i // (bits + equal) for i in range(bits + equal + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in (sum(c) for c in combinations(blocks, equal))]
+    return [sum(c) for c in combinations(blocks, equal)]
+
+
+def finer_masks(mask: int, bits: int, equal: int = 2) -> list[int]:
+    """Masks of `equal` of `bits` + `equal` parts of the bits that are not in `mask`."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    ends = [len(rest) * i // (bits + equal) for i in range(bits + equal + 1)]
+    return [sum(c) for c in combinations([sum(1 << b for b in rest[x:y]) for x, y in zip(ends, ends[1:])], equal)]
+
 
+def pivots(words: int = 1) -> np.ndarray:
+    """PIVOTS reference fingerprints of so many 64-bit words."""
+    return np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 42) for i in range(PIVOTS * words)], np.uint64).reshape(PIVOTS, words)
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, 42) for i in range(n)], np.uint64)
 
+def distances(prints: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (words of 64 bits) to the pivots."""
+    refs = pivots(prints.shape[1])
+    return sum(np.bitwise_count(prints[:, None, w] ^ refs[None, :, w]).astype(np.int16) for w in range(prints.shape[1]))
 
-def hang_together(group: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarray:
-    """For each row of `prints` (words of 64 bits) the first that it hangs together with by links in its group.
 
-    Rows of a group are consecutive.
+def within(one: Column, other: Column, far: Column, other_far: Column, words: int, bits: int) -> Column:
+    """No coordinate differs by over `bits`, nor do the fingerprints."""
+    apart = F.greatest(*[F.abs(far[i] - other_far[i]) for i in range(PIVOTS)])
+    own = reduce(add, [F.bit_count(one[i].bitwiseXOR(other[i])) for i in range(words)])
+    return (apart <= bits) & (own <= bits)
+
+
+def hang_together(group: np.ndarray, prints: np.ndarray, bits: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of `prints` (words of 64 bits) the first that it hangs together with in its group: by `label` alone, and by links too.
+
+    Rows of a group are consecutive; rows of one label hang together already.
     """
     n = len(prints)
-    refs = pivots(PIVOTS * prints.shape[1]).reshape(PIVOTS, -1)
-    table = sum(np.bitwise_count(prints[:, None, w] ^ refs[None, :, w]).astype(np.int16) for w in range(prints.shape[1]))
+    table = distances(prints)
     starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
     sizes = np.diff(np.append(starts, n))
-    last = np.repeat(starts + sizes - 1, sizes)
-    label, rows, step = np.arange(n), np.arange(n), 0
+    last, first = np.repeat(starts + sizes - 1, sizes), np.repeat(starts, sizes)
+    rows, step, given = np.arange(n), 0, np.arange(n)
+    if label is not None:
+        order = np.lexsort((rows, label, first))
+        new = (np.diff(label[order], prepend=label[order[0]] - 1) != 0) | (np.diff(first[order], prepend=-1) != 0)
+        given[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    label = given.copy()
     while True:
         step += 1
         rows = rows[rows + step <= last[rows]]
         if not len(rows):
-            return label
+            return given, label
         near = rows[label[rows] != label[rows + step]]  # what hangs together already needs no further link
         near = near[np.abs(table[near, 0] - table[near + step, 0]) <= bits]
         near = near[(np.abs(table[near] - table[near + step]) <= bits).all(axis=1)]
@@ -144,69 +179,130 @@ def hang_together(group: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarra
             near = near[label[near] != label[near + step]]
 
 
-def links_in(dealt: DataFrame, bits: int, members: bool = False) -> DataFrame:
-    """Edges (u, v) that join the nodes which links within a common key (t, key) join.
+def open_keys(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (t, key, node) of the keys that hold several sets, with what the key holds.
 
-    `dealt` has t, key, node and print: a long, or its words of 64 bits as binary.
-    With `members`, instead the nodes of each set that hangs together in a key, as
-    (c, node): c is a hash of the nodes, so that a set found in several keys is one.
+    label: the row's set; n: rows of the key; most, major: rows of the largest set, and which it is.
     """
-    shared = dealt.withColumn("n", F.count("*").over(W.partitionBy("t", "key"))).filter("n > 1")
-    parts = F.ceil(F.col("n") / MOST).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    grouped = shared.withColumn("p", F.explode(pairs)).select(F.xxhash64("t", "key", "p.i", "p.j").alias("g"), "node", "print")
+    label = roots.select("node", F.col("root").alias("label"))
+    own = rows.select("t", "key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = own.groupBy("t", "key", "label").agg(F.count("*").alias("of"))
+    keys = sets.groupBy("t", "key").agg(F.sum("of").alias("n"), F.max(F.struct("of", "label")).alias("m")).filter("n > m.of")
+    keys = keys.select("t", "key", "n", F.col("m.of").alias("most"), F.col("m.label").alias("major"))
+    return cut(own.join(keys, ["t", "key"]))
+
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        if pa.types.is_integer(column.type):
-            return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
-        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of `open_keys` with g, the block: every pair of rows of different sets meets in one.
+
+    A key of over MOST rows is cut into parts: of the largest set, and of the
+    others. Each part of the others meets all parts.
+    """
+    minor = F.col("label") != F.col("major")
+    parts, others = F.ceil(F.col("most") / MOST).cast("int"), F.ceil((F.col("n") - F.col("most")) / MOST).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.when(minor, others).otherwise(parts)).cast("int")
+    kind = lambda k, i, j: F.struct(F.lit(k).alias("k"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_major = F.transform(upto(parts), lambda j: kind(1, own, j))
+    with_others = F.transform(upto(others), lambda j: kind(2, F.least(own, j), F.greatest(own, j)))
+    blocks = F.when(F.col("n") <= MOST, F.array(kind(0, F.lit(0), F.lit(0)))).when(minor, F.concat(with_major, with_others)).otherwise(F.transform(upto(others), lambda j: kind(1, j, own)))
+    return rows.withColumn("b", F.explode(blocks)).withColumn("g", F.xxhash64("t", "key", "b.k", "b.i", "b.j"))
+
+
+def links_in_blocks(rows: DataFrame, bits: int, members: bool) -> DataFrame:
+    """Edges (u, v) by which sets within a block (g, node, label, print) hang together.
+
+    With `members`, instead the nodes of each of these wider sets as (c, node, label):
+    c is a hash of the nodes, so that one found in several blocks is one.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, nodes, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in (*batches, None):
+        held = None
+        for batch in chain(batches, [None]):  # one by one: a task's rows may be many
             if batch is not None:
-                groups = np.append(groups, batch.column(0).to_numpy(zero_copy_only=False))
-                nodes = np.append(nodes, batch.column(1).to_numpy(zero_copy_only=False))
-                new = matrix(batch.column(2))
-                prints = new if prints is None else np.concatenate([prints, new])
-                whole = int(np.searchsorted(groups, groups[-1])) if len(groups) else 0  # the last group may go on
-            else:
-                whole = len(groups)
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+                new.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1))
+                held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
+            if held is None or not len(held[0]):
+                continue
+            group, node, label, prints = held
+            whole = len(group) if batch is None else int(np.searchsorted(group, group[-1]))  # the last group may go on
             if not whole:
                 continue
-            first = hang_together(groups[:whole], prints[:whole], bits)
-            joined = np.flatnonzero(first != np.arange(whole))
-            if members:
-                some = np.isin(np.arange(whole), first[joined])
-                some[joined] = True
-                sums = np.zeros(whole, np.uint64)
-                np.add.at(sums, first[some], _mixed(nodes[:whole][some].view(np.uint64), 2000))
-                yield pa.RecordBatch.from_arrays([pa.array(sums[first[some]].view(np.int64)), pa.array(nodes[:whole][some])], names=["c", "node"])
-                groups, nodes, prints = groups[whole:], nodes[whole:], prints[whole:]
+            held = [h[whole:] for h in held]
+            given, found = hang_together(group[:whole], prints[:whole], bits, label[:whole])
+            joined = np.flatnonzero(given != found)
+            if not members:
+                yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[found[joined]])], names=["u", "v"])
                 continue
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[first[joined]])], names=["u", "v"])
-            groups, nodes, prints = groups[whole:], nodes[whole:], prints[whole:]
+            some = np.isin(found, found[joined])
+            sums = np.zeros(whole, np.uint64)
+            np.add.at(sums, found[some], _mixed(node[:whole][some].view(np.uint64), 2000))
+            columns = [sums[found[some]].view(np.int64), node[:whole][some], label[:whole][some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["c", "node", "label"])
 
-    return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(verify, "c long, node long" if members else "u long, v long").distinct()
+    dealt = rows.select("g", "node", "label", "print").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(verify, "c long, node long, label long" if members else "u long, v long").distinct()
 
 
-def links(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints of column `fingerprint` that join exactly what links within `bits` join."""
-    masks = [F.struct(F.lit(i).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(bits))]
-    dealt = prints.select("fingerprint", F.explode(F.array(*masks)).alias("k"))
-    return links_in(dealt.select("k.t", "k.key", F.col("fingerprint").alias("node"), F.col("fingerprint").alias("print")), bits)
+def linked(dealt: DataFrame, bits: int, prints: DataFrame | None = None, words: int = 1, exact: Callable[[DataFrame], Jaccard] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root): what hangs together by links of nodes that share a key (t, key); roots themselves are left out.
+
+    `prints` has node, print and far (its distances to the pivots); without, a node is its own
+    print. `exact` takes the nodes that share keys and gives what decides about
+    pairs that are near enough; without, nearness decides. `finer` deals crowded keys out anew.
+    """
+    keys = dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("w")).filter("n > 1")
+    rows = cut(dealt.join(keys, ["t", "key"]))
+    judge = exact(rows.select("node").distinct()) if exact else None
+    if prints is None:
+        coordinates = lambda c: F.array(*[F.bit_count(c.bitwiseXOR(F.lit(signed(int(p))))) for p in pivots()[:, 0]])
+        sides = lambda pairs: pairs.select("u", "v", *[x.alias(n) for c in "uv" for x, n in ((F.array(c), f"p_{c}"), (coordinates(F.col(c)), f"f_{c}"))])
+    else:
+        side = lambda c: prints.select(F.col("node").alias(c), F.col("print").alias(f"p_{c}"), F.col("far").alias(f"f_{c}"))
+        sides = lambda pairs: pairs.join(side("v"), "v").join(side("u"), "u")
+
+    stars = rows.filter("node != u").select("u", F.col("node").alias("v")).union(rows.filter("node != u AND node != w").select("w", "node"))
+    near = sides(stars.distinct()).filter(within(F.col("p_u"), F.col("p_v"), F.col("f_u"), F.col("f_v"), words, bits)).select("u", "v")
+    roots = components(judge.pairs(near) if judge else near)
+    rows = open_keys(rows.filter("n > 3"), roots)  # of three, all pairs are held against each other by now
+    if rows.isEmpty():
+        return roots
+    if finer:
+        crowded = finer(rows.filter(F.col("n") - F.col("most") > MOST))
+        rows = rows.filter(F.col("n") - F.col("most") <= MOST).union(open_keys(crowded, roots))
+    blocks = in_blocks(rows.withColumn("print", F.array("node")) if prints is None else rows.join(prints.select("node", "print"), "node"))
+    found = links_in_blocks(blocks, bits, members=judge is not None)
+    return components(_edges(roots).union(judge.groups(found) if judge else found))
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def roots_of(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """(node, root) of the distinct fingerprints of column `fingerprint` that links within `bits` join."""
+    masks = block_masks(bits)
+    own = F.col("fingerprint")
+    dealt = prints.select(own.alias("node"), F.explode(F.array(*[F.struct(F.lit(i).alias("t"), own.bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k"))
+
+    def finer(rows: DataFrame) -> DataFrame:
+        node = F.col("node")
+        parts = [F.array(*[F.struct(F.lit(i * 100 + j).alias("t"), node.bitwiseAND(F.lit(signed(m | p))).alias("key")) for j, p in enumerate(finer_masks(m, bits))]) for i, m in enumerate(masks)]
+        return rows.select("node", F.explode(F.element_at(F.array(*parts), F.col("t") + 1)).alias("k")).select("k.t", "k.key", "node")
+
+    return linked(dealt.select("k.t", "k.key", "node"), bits, finer=finer)
 
 
 def near_duplicates(prints: DataFrame, bits: int = 3) -> DataFrame:
     """doc_id, fingerprint and component_id (the least doc_id that links lead to) of each row of `fingerprints`."""
     prints = cut(prints)
     distinct = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    root = components(links(distinct, bits)).select(F.col("node").alias("fingerprint"), "root")
+    root = roots_of(distinct, bits).select(F.col("node").alias("fingerprint"), "root")
     rooted = distinct.join(root, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    known = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
+    return prints.join(known, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def hex_of(fingerprint: str):
@@ -245,9 +341,9 @@ def wide_of(texts: list[str], size: int) -> tuple[list[np.ndarray], np.ndarray,
     return sets, prints, keys
 
 
-def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set the first that it hangs together with by pairs of at least this Jaccard similarity."""
-    n, label = len(sets), np.arange(len(sets))
+def alike(sets: list[np.ndarray], similarity: float, label: np.ndarray) -> np.ndarray:
+    """The labels, the lesser of two wherever sets of different ones have at least this Jaccard similarity."""
+    n, label = len(sets), label.copy()
     sizes = np.array([len(s) for s in sets], np.int64)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = spans(sizes)
@@ -267,32 +363,60 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
-def confirmed(rows: DataFrame, near: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (u, v) that join what exact Jaccard similarity joins in the sets `near` (c, node); `rows` has row and text.
-
-    The shingles are taken anew from the texts of those rows only; a task holds one set of them at a time.
-    """
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            own = [s.astype("<u8").tobytes() for s in shingle_sets(texts_of(batch), shingle)]
-            nodes, of = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for k in range(max(map(len, of))):
-                some = [i for i, c in enumerate(of) if len(c) > k]
-                columns = [pa.array([of[i][k] for i in some], pa.int64()), pa.array([nodes[i] for i in some], pa.int64()), pa.array([own[i] for i in some], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["c", "node", "own"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = (e for batch in batches for e in zip(*(c.to_pylist() for c in batch.columns)))
-        for _, group in groupby(entries, itemgetter(0)):
-            members = list(group)
-            first = alike([np.frombuffer(m[2], "<u8") for m in members], similarity).tolist()
-            joined = [(members[i][1], members[f][1]) for i, f in enumerate(first) if f != i]
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in joined], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-    wanted = near.groupBy(F.col("node").alias("row")).agg(F.collect_list("c").alias("of"))
-    dealt = rows.select("row", "text").join(wanted, "row").select("row", "text", "of").mapInArrow(deal, "c long, node long, own binary")
-    return dealt.repartition("c").sortWithinPartitions("c").mapInArrow(decide, "u long, v long").distinct()
+def likeness(one: np.ndarray, other: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if not len(one) or not len(other):
+        return 0.0
+    at = np.minimum(one.searchsorted(other), len(one) - 1)
+    both = np.count_nonzero(one[at] == other)
+    return both / (len(one) + len(other) - both)
+
+
+class Jaccard:
+    """Decides by exact Jaccard similarity. `sets` has node and own, its distinct shingle hashes, sorted."""
+
+    def __init__(self, sets: DataFrame, similarity: float):
+        self.sets, self.similarity = sets, similarity
+
+    def pairs(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are alike. Those of one u are spread over tasks; a task holds one set."""
+        parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / MOST).cast("int").alias("parts"))
+        own = F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part")
+        asked = pairs.join(parts, "u").select(F.col("v").alias("node"), "u", own, "v")
+        asked = asked.union(parts.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v")))
+        least = self.similarity - 1e-9
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            center = None
+            for batch in batches:
+                us, vs, sets = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+                out = []
+                for i, v in enumerate(vs):
+                    own = np.frombuffer(sets[i].as_buffer(), "<u8")
+                    if v is None:
+                        center = own.copy()
+                    elif likeness(center, own) >= least:
+                        out.append((us[i], v))
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        rows = self.sets.join(asked, "node").select("u", "part", "v", "own")
+        return rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first()).mapInArrow(check, "u long, v long")
+
+    def groups(self, near: DataFrame) -> DataFrame:
+        """Edges (u, v) that join what is alike in the sets (c, node, label) of at most two parts of MOST nodes."""
+        similarity = self.similarity
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            entries = (e for batch in batches for e in zip(*(c.to_pylist() for c in batch.columns)))
+            for _, group in groupby(entries, itemgetter(0)):
+                members = list(group)
+                given = np.array([m[1] for m in members], np.int64)
+                found = alike([np.frombuffer(m[2], "<u8") for m in members], similarity, given)
+                joined = np.flatnonzero(given != found)
+                yield pa.RecordBatch.from_arrays([pa.array(given[joined]), pa.array(found[joined])], names=["u", "v"])
+
+        rows = self.sets.join(near, "node").select("c", "label", "own")
+        return rows.repartition("c").sortWithinPartitions("c").mapInArrow(decide, "u long, v long").distinct()
 
 
 def bits_at(similarity: float, bits: int = WORDS * 64, slack: float = 7.0) -> int:
@@ -305,38 +429,68 @@ def bits_at(similarity: float, bits: int = WORDS * 64, slack: float = 7.0) -> in
     return int(bits * angle + slack * np.sqrt(bits * angle * (1 - angle)))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, and the name of that column.
+
+    Numbers of plain files are the same each time. What is computed is written once
+    and its numbers read back, so they stay whatever it is computed from.
+    """
+    name = fresh("row", docs.columns)
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    return rows if is_scan(docs) else stored(rows, "rows"), name
+
+
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, row, and the doc_id and row of the one that stands for its group (the least doc_id, null first).
 
-    For likeness too far for `links` to find by blocks of bits: sets of distinct
-    shingles, of which those that share one of BANDS keys and lie near by wide
-    fingerprints are compared exactly: the distance only spares comparisons.
-    Keys miss about one pair in 5,000 at 0.8, fewer above; the distance about one
-    in 100,000 of sets of 4 and 5, practically none of larger ones. `row` numbers the rows of `docs`, which has to come from files.
+    For likeness too far for blocks of bits to find: sets of distinct shingles, of
+    which those that share one of BANDS keys and lie near by wide fingerprints,
+    in every pivot's coordinate first, are compared exactly: the distance only spares
+    comparisons. Keys miss about one pair in 5,000 at 0.8, fewer above; the distance
+    about one in 100,000 of sets of 4 and 5, practically none of larger ones.
+    Null and empty texts are one group. Rows repeated are of one group. `row`
+    numbers the rows.
     """
+    rows, name = numbered(docs)
+    every = _grouped(rows, name, shingle, similarity)
+    return every.join(_first(every), "root").select("doc_id", "row", F.col("stays.doc_id").alias("group_doc_id"), F.col("stays.row").alias("group_row"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, with all their columns, one of each group of `similar`."""
+    rows, name = numbered(docs)
+    stays = _first(_grouped(rows, name, shingle, similarity)).select(F.col("stays.row").alias(name))
+    return rows.join(stays, name, "left_semi").select(*[named(c) for c in docs.columns])
+
+
+def _first(every: DataFrame) -> DataFrame:
+    return every.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("stays"))
+
+
+def _grouped(numbered_docs: DataFrame, name: str, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, row and root, which rows of a group have in common."""
+    rows = numbered_docs.select(F.col("doc_id").cast("long"), "text", named(name).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets, prints, keys = wide_of(texts_of(batch), shingle)
             same = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) for s in sets]
-            columns = [batch.column(0), batch.column(2), pa.array(same, pa.binary()), pa.array([p.astype("<u8").tobytes() for p in prints], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "same", "print", "keys"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
-    found = cut(rows.mapInArrow(run, "doc_id long, row long, same binary, print binary, keys array<long>"))
-    distinct = cut(found.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("row").alias("node"), F.first("print").alias("print"), F.first("keys").alias("keys")))
-    dealt = distinct.select("node", "print", F.posexplode("keys").alias("t", "key"))
-    root = components(confirmed(rows, links_in(dealt, bits_at(similarity), members=True), shingle, similarity))
-    rooted = distinct.select("same", "node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    named = rooted.select("same", "root").join(least, "root").select("same", "stays")
-    return found.select("doc_id", "row", "same").join(named, "same").select("doc_id", "row", F.col("stays.doc_id").alias("group_doc_id"), F.col("stays.row").alias("group_row"))
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs`, with all their columns, one of each group of `similar`."""
-    name = "row"
-    while name in docs.columns:
-        name += "_"
-    stays = similar(docs, shingle, similarity).filter("row = group_row").select(F.col("row").alias(name))
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(stays, name, "left_semi").select(*docs.columns)
+            longs = [pa.array(list(x), pa.list_(t)) for x, t in ((prints.view(np.int64), pa.int64()), (distances(prints), pa.int16()), (keys.view(np.int64), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(same, pa.binary()), *longs], names=["doc_id", "row", "same", "print", "far", "keys"])
+
+    def sets_of(nodes: DataFrame) -> Jaccard:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                own = [s.astype("<u8").tobytes() for s in shingle_sets(texts_of(batch), shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
+
+        some = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
+        return Jaccard(cut(some.mapInArrow(run, "node long, own binary")), similarity)
+
+    found = cut(rows.mapInArrow(run, "doc_id long, row long, same binary, print array<long>, far array<smallint>, keys array<long>"))
+    first = found.groupBy("same").agg(F.min("row").alias("node"))
+    distinct = cut(found.join(first.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "same", "print", "far", "keys"))
+    dealt = distinct.select("node", F.posexplode("keys").alias("t", "key"))
+    root = linked(dealt.select("t", "key", "node"), bits_at(similarity), distinct.select("node", "print", "far"), WORDS, sets_of)
+    rooted = distinct.select("node", "same").join(root, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    return found.select("doc_id", "row", "same").join(rooted, "same").select("doc_id", "row", "root")
