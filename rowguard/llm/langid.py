@@ -15,8 +15,11 @@ script of many letters can have millions; there is no path for models that
 driver and executors cannot hold. Scoring shuffles nothing.
 
 The prediction is the language of the lowest cross-entropy per letter. It is
-rejected where that exceeds the highest that the language's own learning rows
-show by more than `tolerance` of their standard deviations. Null texts and texts
+rejected where that lies above the median of the language's learning rows by
+more than `tolerance` times the distance of their 99th percentile from it (0.1
+at least): up to one row in a hundred may be junk under a language's name without
+moving the limit, and more rows do not raise it. A language none of whose learning
+rows is predicted as such has no limit. Null texts and texts
 without a letter get `und`, score 0, and are rejected. Ties go to the language
 that sorts first. With nothing to learn from all are `und`. Repeated rows are
 each scored; rows with null language are scored, not learned from.
@@ -30,8 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, slices, spans, texts_of
+from .common import cut, fresh, named, slices, spans, stored, texts_of
+
+TOLERANCE = 10.0
 
 _SHIFT = 21  # bits of a code point
 _ONE, _TWO = (1 << _SHIFT) - 1, (1 << 2 * _SHIFT) - 1
@@ -197,40 +203,47 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return own.mapInArrow(run, f"{schema}, {SCORES}")
 
 
-def highest(scored: DataFrame, lang: str, learned: Column, tolerance: float) -> list[tuple[str, float]]:
-    """The entropy up to which each language is accepted: a row for each language."""
-    right = scored.filter(learned & (F.col(lang) == F.col("lang_pred")))
-    return [tuple(r) for r in right.groupBy("lang_pred").agg(F.max("entropy") + tolerance * F.stddev_pop("entropy")).collect()]
+def highest(scored: DataFrame, lang: str, learned: Column, tolerance: float, pred: str = "lang_pred", entropy: str = "entropy") -> Column:
+    """The entropy up to which the predicted language is accepted, null where there is no limit."""
+    right = scored.filter(learned & (named(lang) == named(pred)))
+    at = right.groupBy(named(pred).alias("lang")).agg(F.percentile_approx(named(entropy), [0.5, 0.99], 10_000).alias("q"))
+    out = F.lit(None).cast("double")
+    for name, (middle, high) in at.collect():
+        out = F.when(named(pred) == name, F.lit(middle + tolerance * max(high - middle, 0.1))).otherwise(out)
+    return out
 
 
-def calibrate(scored: DataFrame, lang: str, learned: Column, tolerance: float = 3.0) -> DataFrame:
-    """`scored` with rejected: und, or an entropy beyond what the language's learning rows have."""
-    most = F.lit(None).cast("double")
-    for name, limit in highest(scored, lang, learned, tolerance):
-        most = F.when(F.col("lang_pred") == name, F.lit(limit)).otherwise(most)
+def calibrate(scored: DataFrame, lang: str, learned: Column, tolerance: float = TOLERANCE) -> DataFrame:
+    """`scored` with rejected: und, or an entropy too far beyond what the language's learning rows have."""
+    most = highest(scored, lang, learned, tolerance)
     return scored.withColumn("rejected", F.coalesce((F.col("lang_pred") == "und") | (F.col("entropy") > most), F.lit(False)))
 
 
-def identify(docs: DataFrame, learned: Column, keep: list[str], lang: str = "lang", tolerance: float = 3.0) -> DataFrame:
+def identify(docs: DataFrame, learned: Column, keep: list[str], lang: str = "lang", tolerance: float = TOLERANCE) -> DataFrame:
     """Learn from the rows where `learned` holds and score all: `keep`, SCORES and rejected. `keep` has to name `lang`."""
     model = learn(docs.filter(learned), lang)
     return calibrate(cut(score(docs, model, keep)), lang, learned, tolerance)
 
 
-def keep_known(docs: DataFrame, lang: str = "lang", tolerance: float = 3.0) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are not rejected, learned from all rows with a language."""
+def keep_known(docs: DataFrame, lang: str = "lang", tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not rejected, learned from all rows with a language.
+
+    Scored once: rows and scores are written, the limits taken from the scores, and the rest read back.
+    """
     model = learn(docs, lang)
-    limits = dict(highest(score(docs, model, [lang]), lang, F.lit(True), tolerance))
-    sent = docs.sparkSession.sparkContext.broadcast((model, limits))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    pred, entropy = fresh("lang_pred", docs.columns), fresh("entropy", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, most = sent.value
+        own = sent.value
         for batch in slices(batches, "text", 1 << 20):
-            kept = np.zeros(batch.num_rows, bool)
+            langs, least = [None] * batch.num_rows, np.zeros(batch.num_rows)
             if own.langs:
                 h, n = own.entropies(texts_of(batch))
-                limit = np.array([most.get(name, np.inf) for name in own.langs])
-                kept = (n > 0) & (h.min(axis=1) <= limit[h.argmin(axis=1)])
-            yield batch.filter(pa.array(kept))
+                langs, least = [own.langs[b] if k else None for b, k in zip(h.argmin(axis=1), n)], h.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(least)], names=[*batch.schema.names, pred, entropy])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(entropy, T.DoubleType())])
+    scored = stored(docs.mapInArrow(run, schema), "languages")
+    most = highest(scored, lang, F.lit(True), tolerance, pred, entropy)
+    return scored.filter(named(pred).isNotNull() & F.coalesce(named(entropy) <= most, F.lit(True))).select(*map(named, docs.columns))
