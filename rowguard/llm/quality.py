@@ -4,9 +4,9 @@ Each text gives DIMENSIONS statistics, transformed so that their spread is
 nearer to normal. The class means and covariances come from sums over all
 labelled rows, which Spark takes; only those sums reach the driver. Each
 covariance is shrunk towards the pooled one and towards a sphere, its Cholesky
-factor is kept, and a text's score is the logistic of the difference of the
-two log densities (squared Mahalanobis lengths by a triangular solve, and the
-log determinants) plus that of the log shares of the classes.
+factor's inverse is kept, and a text's score is the logistic of the difference
+of the two log densities (squared Mahalanobis lengths by that inverse, and the
+factors' log determinants) plus that of the log shares of the classes.
 
 Null and empty texts have the statistics of no text and are scored like any
 other. Repeated rows are each scored; of repeated labels each counts. Rows
@@ -19,11 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, slices, spans, texts_of
+from .common import cut, fresh, named, slices, spans, stored, texts_of
 from .decontam import Words
 
 NAMES = ["words", "letters", "capitals", "digits", "stops", "signs", "bars", "bangs", "lines", "word_length", "repeats", "others"]
@@ -75,21 +77,24 @@ class Model:
     """Two classes: means, Cholesky factors of the shrunk covariances, log shares."""
 
     def __init__(self, labelled: DataFrame, pooling: float = 0.2, rounding: float = 0.02):
-        x = [F.col("x")[i] for i in range(DIMENSIONS)]
+        wide = labelled.filter("quality in (0, 1)").select("quality", *[F.col("x")[i].alias(f"x{i}") for i in range(DIMENSIONS)])
+        middle = wide.agg(*[F.avg(f"x{i}") for i in range(DIMENSIONS)]).first()  # sums of squares around it lose no digits
+        x = [F.col(f"x{i}") - F.lit(m or 0.0) for i, m in enumerate(middle)]
         sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(x)]
         squares = [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
-        rows = labelled.groupBy("quality").agg(F.count("*").alias("n"), *sums, *squares).filter("quality in (0, 1)").collect()
+        rows = wide.groupBy("quality").agg(F.count("*").alias("n"), *sums, *squares).collect()
         self.n = {r.quality: r.n for r in rows}
         self.parts = {}
         if len(self.n) < 2:
             return
         means, scatter = {}, {}
         for r in rows:
-            means[r.quality] = np.array([r[f"s{i}"] for i in range(DIMENSIONS)]) / r.n
+            off = np.array([r[f"s{i}"] for i in range(DIMENSIONS)]) / r.n
+            means[r.quality] = off + np.array(middle)
             q = np.zeros((DIMENSIONS, DIMENSIONS))
             for i in range(DIMENSIONS):
                 for j in range(i + 1):
-                    q[i, j] = q[j, i] = r[f"q{i}_{j}"] / r.n - means[r.quality][i] * means[r.quality][j]
+                    q[i, j] = q[j, i] = r[f"q{i}_{j}"] / r.n - off[i] * off[j]
             scatter[r.quality] = q
         total = sum(self.n.values())
         pooled = sum(scatter[k] * self.n[k] for k in scatter) / total
@@ -114,7 +119,7 @@ class Model:
 def learn(found: DataFrame, labels: DataFrame, **shrinkage: float) -> Model:
     """Fit to `features` and the `labels` (doc_id, quality) that are to be learned from."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id is not null and quality is not null")
-    return Model(found.join(own, "doc_id"), **shrinkage)
+    return Model(cut(found.select("doc_id", "x").join(own, "doc_id")), **shrinkage)
 
 
 def score(found: DataFrame, model: Model) -> DataFrame:
@@ -137,12 +142,23 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are not predicted to be bad."""
-    model = learn(features(docs), labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of `docs`, with all their columns, that are not predicted to be bad.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Statistics are taken once and written beside the rows.
+    """
+    x = fresh("x", docs.columns)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            yield batch.filter(pa.array(sent.value.scores(statistics(texts_of(batch))) >= 0.5))
+            own = pa.array(list(statistics(texts_of(batch))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, x])
+
+    found = stored(docs.mapInArrow(measure, T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])), "statistics")
+    model = learn(found.select(F.col("doc_id").cast("long"), named(x).alias("x")), labels)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(own: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.scores(np.array(own.tolist()).reshape(-1, DIMENSIONS)) >= 0.5)
 
-    return docs.mapInArrow(run, docs.schema)
+    return found.filter(good(named(x))).select(*map(named, docs.columns))
