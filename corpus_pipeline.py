@@ -13,27 +13,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowguard.llm import decontam, langid, packing, quality, simhash
-from rowguard.llm.common import new_path
+from rowguard.llm.common import drop, new_path, release
+
+
+def fresh_start(docs: DataFrame) -> DataFrame:
+    """A stage's documents have been written, so nothing that earlier stages stored is needed any more."""
+    release(docs)
+    return docs
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_known(docs)
+    return langid.keep_known(fresh_start(docs))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(fresh_start(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
+    return simhash.one_of_each(fresh_start(docs), shingle=5, similarity=0.8)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.decontaminate(fresh_start(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs))
+    return packing.pack(packing.pieces(fresh_start(docs)))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. The tables of the others are dropped once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(docs)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
