@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,41 @@ def is_scan(docs: DataFrame) -> bool:
     return plan.children().isEmpty() and plan.nodeName().startswith("LogicalRelation") and "HadoopFsRelation" in plan.relation().getClass().getName()
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, and the name of that column.
+
+    Numbers of plain files are the same each time. What is computed is written once
+    and its numbers read back, so they stay whatever it is computed from.
+    """
+    name = fresh("row", docs.columns)
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    return rows if is_scan(docs) else stored(rows, "rows"), name
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """Something dear that this Python worker keeps from task to task: one of each kind."""
+    if (kind, key) not in _kept:
+        for old in [k for k in _kept if k[0] == kind]:
+            del _kept[old]
+        _kept[kind, key] = make()
+    return _kept[kind, key]
+
+
+def keep_only(*kinds: str) -> None:
+    """As a task begins: forget what tasks of other operators kept, and give memory that lies idle back to the system."""
+    for old in [k for k in _kept if k[0] not in kinds]:
+        del _kept[old]
+    gc.collect(0)
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the text of `column` exceeds `most` bytes.
 

@@ -1,38 +1,45 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each task sorts the word suffixes of its shard of documents and finds every
-window of every benchmark item in that array by binary search; the range that
+Each task sorts the word suffixes of its shard of documents and finds the
+windows of all benchmark items in that array by binary search; the range that
 a search ends in holds all places where the window occurs verbatim. Only words
 in runs of benchmark words can begin a match, so the array holds the suffixes
-of these runs and none else; it is sorted as deep as the longest item reaches.
+of these runs and none else, sorted as deep as a window reaches; and only
+windows are searched all of whose pairs of adjacent words the shard has.
 
-The texts stay where they were read: nothing is shuffled. The benchmark goes
-to the tasks in blocks of at most BLOCK_BYTES of text, gathered one by one, so
-neither its size nor that of the documents meets a bound in memory. A document
-is one row and its matches are found together, whichever block they are from.
+The texts stay where they were read: nothing is shuffled. A benchmark of up to
+GROUP_BYTES of text is sent to the tasks as it is. A larger one is dealt into groups of
+about that size by a hash, never all of it to the driver or a task; each group
+has a pass of its own over the documents, in which a worker builds it once, and
+what the passes found is put together for each document. A document is one row
+and its matches are found together, whichever items they are from.
 
 Words: A-Z in lower case, runs of digits, a-z and all that is not ASCII.
 A window is `window` consecutive words of an item, or all words of a shorter
 one. Null and empty texts have no words and are clean; an item without words
 matches nothing; rows repeated in either table count as often in the
-documents, once in the benchmark's item_ids. An empty benchmark leaves all.
+documents, once in the benchmark's item_ids, which may be of any type that sorts;
+what an item without an id matches is hit, but no id tells of it. An empty
+benchmark leaves all. Very long texts are shards of their own.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, spans, texts_of
+from .common import cut, keep_only, kept, named, numbered, slices, spans, stored, texts_of
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
-SLICE_BYTES = 2 << 20
+GROUP_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _FORM = np.array([b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], np.uint8)
 _BASE, _ROOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -48,7 +55,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 class Words:
     """The words of some texts: hash, place in the bytes, and number of the text."""
 
-    tables = _powers(_BASE, 1), _powers(_ROOT, 1)
+    LARGEST = 4 << 20  # of the tables of powers that a worker keeps
 
     def __init__(self, texts: list[str]):
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -59,9 +66,9 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.text = np.searchsorted(starts_of_texts, self.start, side="right") - 1
         self.per_text = np.bincount(self.text, minlength=len(texts))
-        if len(form) > len(Words.tables[0]):
-            Words.tables = _powers(_BASE, len(form) * 2), _powers(_ROOT, len(form) * 2)
-        up, down = Words.tables
+        own = 1 << max(16, len(form).bit_length())
+        tables = lambda: (_powers(_BASE, own), _powers(_ROOT, own))
+        up, down = kept("powers", own, tables) if own <= self.LARGEST else tables()
         with np.errstate(over="ignore"):
             sums = np.zeros(len(form) + 1, np.uint64)
             np.cumsum(form * up[: len(form)], out=sums[1:])
@@ -90,32 +97,54 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Vocabulary and windows of a block of items; equal windows are one."""
+    """Vocabulary and windows of some items; equal windows are one."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
+    def __init__(self, items: list[tuple[object, str]], window: int):
         words = Words([t for _, t in items])
+        self.items = [i for i, _ in items]
         self.vocabulary, first, ids = np.unique(words.hash, return_index=True, return_inverse=True)
         self.spelt = [words.word(i) for i in first]
-        self.longest = int(words.per_text.max(initial=0))
-        found: dict[bytes, int] = {}
-        rows: list[np.ndarray] = []
-        places: list[list[tuple[int, int]]] = []
-        ends = spans(words.per_text)
-        for number, (item, _) in enumerate(items):
-            own = ids[ends[number] : ends[number + 1]].astype(np.int64) + 1
-            size = min(window, len(own))
-            for j in range(len(own) - size + 1 if size else 0):
-                key = own[j : j + size].tobytes()
-                if key not in found:
-                    found[key] = len(rows)
-                    rows.append(own[j : j + size])
-                    places.append([])
-                places[found[key]].append((item, j))
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.windows = np.zeros((len(rows), window), np.int64)
-        for i, row in enumerate(rows):
-            self.windows[i, : len(row)] = row
-        self.places = places
+        n = words.per_text
+        count = np.where(n > 0, np.maximum(n - window + 1, 1), 0)  # windows of each item
+        item = np.repeat(np.arange(len(n)), count)
+        offset = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(n[item], window)
+        at = (np.cumsum(n) - n)[item] + offset
+        inside = np.arange(window) < size[:, None]
+        rows = np.where(inside, ids[np.minimum(at[:, None] + np.arange(window), max(len(ids) - 1, 0))] + 1 if len(ids) else 0, 0).astype(np.int32)
+        whole = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * window))).ravel()
+        _, kinds, number = np.unique(whole, return_index=True, return_inverse=True)
+        self.windows, self.sizes = rows[kinds], size[kinds].astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        self.item, self.offset = item[order].astype(np.int32), offset[order]
+        self.first = np.searchsorted(number[order], np.arange(len(kinds) + 1))  # of each window in item and offset
+        self.pairs = self.pair(self.windows[:, :-1], self.windows[:, 1:])
+
+    @staticmethod
+    def pair(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """A number below 2 ** 20 for two words that follow each other, 0 for a word and none."""
+        with np.errstate(over="ignore"):
+            h = (one.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (other.astype(np.uint32) * np.uint32(0x85EBCA6B))
+        return np.where((one > 0) & (other > 0), (h * np.uint32(0xC2B2AE35)) >> np.uint32(12), 0).astype(np.int32)
+
+    def likely(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the windows all of whose words, and pairs of words, `ids` may have."""
+        word, pair = np.zeros(len(self.vocabulary) + 1, bool), np.zeros(1 << 20, bool)
+        word[ids] = True
+        word[0] = pair[0] = True
+        pair[self.pair(ids[:-1], ids[1:])] = True
+        out = np.flatnonzero(word[self.windows[:, 0]])
+        for k in range(self.pairs.shape[1]):
+            out = out[pair[self.pairs[out, k]]]
+        for k in range(1, self.windows.shape[1]):
+            out = out[word[self.windows[out, k]]]
+        return out
+
+    def places(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of these windows, where it is in `item` and `offset`: which of `windows`, and where."""
+        n = self.first[windows + 1] - self.first[windows]
+        of = np.repeat(np.arange(len(windows)), n)
+        return of, self.first[windows][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
 
     def search(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(number of a word, number of the window that occurs from there on), all of them."""
@@ -137,10 +166,13 @@ class Benchmark:
             text[to] = ids[place]
             origin = np.full(len(text), -1, np.int64)
             origin[to] = place
-            order = suffix_array(text, max(self.longest, 1))
-            low, high = self.bound(text, order, False), self.bound(text, order, True)
+            likely = self.likely(text)
+            if not len(likely):
+                return none
+            order = suffix_array(text, self.windows.shape[1])
+            low, high = self.bound(likely, text, order, False), self.bound(likely, text, order, True)
             n = high - low
-            window = np.repeat(np.arange(len(n)), n)
+            window = np.repeat(likely, n)
             where = origin[order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
             hit = np.unique(np.concatenate([where + k for k in range(self.windows.shape[1])])) if len(where) else where
             wrong = [i for i in hit if i < len(ids) and ids[i] and words.word(i) != self.spelt[ids[i] - 1]]
@@ -148,15 +180,16 @@ class Benchmark:
                 return where, window
             ids[wrong] = 0  # another word of the same hash
 
-    def bound(self, text: np.ndarray, order: np.ndarray, right: bool) -> np.ndarray:
-        low, high = np.zeros(len(self.sizes), np.int64), np.full(len(self.sizes), len(order), np.int64)
+    def bound(self, likely: np.ndarray, text: np.ndarray, order: np.ndarray, right: bool) -> np.ndarray:
+        windows, sizes = self.windows[likely], self.sizes[likely]
+        low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), len(order), np.int64)
         while (low < high).any():
             middle = (low + high) // 2
             at = order[np.minimum(middle, len(order) - 1)]
             sign = np.zeros(len(low), np.int64)  # of the suffix against the window
-            for k in range(self.windows.shape[1]):
+            for k in range(windows.shape[1]):
                 own = text[np.minimum(at + k, len(text) - 1)]
-                sign = np.where((sign == 0) & (k < self.sizes), np.sign(own - self.windows[:, k]), sign)
+                sign = np.where((sign == 0) & (k < sizes), np.sign(own - windows[:, k]), sign)
             before = (sign < 0) | (right & (sign == 0))
             going = low < high
             low = np.where(going & before, middle + 1, low)
@@ -164,101 +197,131 @@ class Benchmark:
         return low
 
 
-def blocks_of(bench: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_BYTES; a longer item is a block of its own."""
-    block, size = [], 0
-    for row in bench.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text")).toLocalIterator(prefetchPartitions=False):
-        if block and size + len(row.text) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += len(row.text)
-    if block:
-        yield block
-
-
 class Search:
-    """Goes to the tasks: the blocks of the benchmark, and how to hold texts against them."""
+    """Goes to the tasks: a group of benchmark items, and how to hold texts against it."""
 
-    held: tuple = (None, None)
+    def __init__(self, items: DataFrame, window: int = WINDOW):
+        self.window, self.key = window, uuid.uuid4().hex
+        rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).collect()  # of a group's size
+        self.sent = items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
 
-    def __init__(self, bench: DataFrame, window: int = WINDOW):
-        context = bench.sparkSession.sparkContext
-        self.window = window
-        self.blocks = [(uuid.uuid4().hex, context.broadcast(block)) for block in blocks_of(bench)]
+    def group(self) -> Benchmark:
+        """The group as this worker built it."""
+        return kept("benchmark", self.key, lambda: Benchmark(self.sent.value, self.window))
 
-    def block(self, number: int) -> Benchmark:
-        """The block as this worker holds it: one at a time."""
-        key, sent = self.blocks[number]
-        if Search.held[0] != key:
-            Search.held = key, Benchmark(sent.value, self.window)
-        return Search.held[1]
-
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list]]:
-        """Of each text: words, words hit, and the items with windows in it."""
-        words = Words(texts)
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, list[list[int]], list[list]]:
+        """Of each text: words, edges of the runs of words that are hit (first, last and one more, first, ...), and the items with windows in it."""
+        words, group = Words(texts), self.group()
         edges = np.zeros(len(words.hash) + 1, np.int64)
         items: list[set] = [set() for _ in texts]
-        for number in range(len(self.blocks)):
-            block = self.block(number)
-            where, window = block.search(words)
-            np.add.at(edges, where, 1)
-            np.add.at(edges, where + block.sizes[window], -1)
-            for text, w in np.unique(np.stack([words.text[where], window], axis=1), axis=0):
-                items[text].update(item for item, _ in block.places[w])
+        where, window = group.search(words)
+        np.add.at(edges, where, 1)
+        np.add.at(edges, where + group.sizes[window], -1)
+        both = np.unique(np.stack([words.text[where], window], axis=1), axis=0)
+        of, place = group.places(both[:, 1])
+        for text, item in np.unique(np.stack([both[of, 0], group.item[place]], axis=1), axis=0):
+            items[text].add(group.items[item])
         hit = np.cumsum(edges)[:-1] > 0
-        return words.per_text, np.bincount(words.text[hit], minlength=len(texts)), [sorted(i for i in own if i is not None) for own in items]
+        first = spans(words.per_text)
+        change = np.flatnonzero(np.diff(hit, prepend=False) | (hit & (np.diff(words.text, prepend=-1) != 0)))
+        runs: list[list[int]] = [[] for _ in texts]
+        for a, b in zip(change.tolist(), [*change[1:].tolist(), len(hit)]):
+            if hit[a]:
+                text = int(words.text[a])
+                runs[text] += [a - int(first[text]), min(b, int(first[text + 1])) - int(first[text])]
+        return words.per_text, runs, [sorted(i for i in own if i is not None) for own in items]
 
     def longest(self, texts: list[str]) -> list[tuple]:
         """(number of the text, its word, item, its word, words): matches that no word can be added to."""
-        words, out = Words(texts), []
+        words, out, group = Words(texts), [], self.group()
         first = spans(words.per_text)
-        for number in range(len(self.blocks)):
-            block = self.block(number)
-            where, window = block.search(words)
-            pairs = {(int(a), item, j): int(block.sizes[w]) for a, w in zip(where, window) for item, j in block.places[w]}
-            for (a, item, j), size in pairs.items():
-                if (a - 1, item, j - 1) not in pairs or words.text[a - 1] != words.text[a]:
-                    k = 0
-                    while (a + k + 1, item, j + k + 1) in pairs and words.text[a + k + 1] == words.text[a]:
-                        k += 1
-                    out.append((int(words.text[a]), int(a - first[words.text[a]]), item, j, size + k))
+        where, window = group.search(words)
+        of, place = group.places(window)
+        pairs = {(a, i, j): s for a, i, j, s in zip(where[of].tolist(), group.item[place].tolist(), group.offset[place].tolist(), group.sizes[window][of].tolist())}
+        for (a, i, j), size in pairs.items():
+            if (a - 1, i, j - 1) not in pairs or words.text[a - 1] != words.text[a]:
+                k = 0
+                while (a + k + 1, i, j + k + 1) in pairs and words.text[a + k + 1] == words.text[a]:
+                    k += 1
+                out.append((int(words.text[a]), int(a - first[words.text[a]]), group.items[i], j, size + k))
         return out
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit and the item_ids found, for each document."""
-    search = Search(bench, window)
+def groups_of(bench: DataFrame, window: int) -> Iterator[Callable[[], Search]]:
+    """How to send out each group of items, of about GROUP_BYTES of text; one item is never parted."""
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // GROUP_BYTES) or 1
+    number = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n))
+    for k in range(n):
+        yield lambda k=k: Search(bench if n == 1 else bench.filter(number == k), window)
+
+
+def _pass(docs: DataFrame, search: Search, item: T.DataType, keep: str) -> DataFrame:
+    kind = to_arrow_type(item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("powers", "benchmark")
         for batch in slices(batches, "text", SLICE_BYTES):
-            n_words, n_hit, items = search.texts(texts_of(batch))
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "items"])
+            n_words, runs, items = search.texts(texts_of(batch))
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(kind))]
+            yield pa.RecordBatch.from_arrays(columns, names=[keep, "n_words", "runs", "items"])
+
+    return docs.select(named(keep).cast("long"), "text").mapInArrow(run, f"{keep} long, n_words long, runs array<long>, items array<{item.simpleString()}>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>")
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit and the item_ids found, for each document."""
+    item = bench.schema["item_id"].dataType
+    groups = list(groups_of(bench, window))
+    ends = lambda runs: F.aggregate(F.sequence(F.lit(0), (F.size(runs) / 2 - 1).cast("int")), F.lit(0).cast("long"), lambda n, i: n + runs[(2 * i + 1).cast("int")] - runs[(2 * i).cast("int")])
+    length = lambda runs: F.when(F.size(runs) > 0, ends(runs)).otherwise(F.lit(0).cast("long"))
+    if len(groups) == 1:
+        return _pass(docs, groups[0](), item, "doc_id").select("doc_id", "n_words", length(F.col("runs")).alias("n_hit"), "items")
+    rows, name = numbered(docs)
+    found = None
+    for group in groups:
+        own = cut(_pass(rows, group(), item, name))
+        found = own if found is None else found.union(own)
+    parts = F.flatten(F.transform(F.collect_list("runs"), lambda r: F.when(F.size(r) > 0, F.transform(F.sequence(F.lit(0), (F.size(r) / 2 - 1).cast("int")), lambda i: F.struct(r[(2 * i).cast("int")].alias("a"), r[(2 * i + 1).cast("int")].alias("b")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    union = F.aggregate(F.array_sort(parts), none, lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), r["b"] - F.greatest(r["a"], s["upto"]))).alias("n"), F.greatest(s["upto"], r["b"]).alias("upto")))["n"]
+    joined = found.groupBy(name).agg(F.first("n_words").alias("n_words"), union.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select(named("doc_id").cast("long").alias("doc_id"), named(name)).join(joined, name).select("doc_id", "n_words", "n_hit", "items")
 
 
 def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """Longest verbatim matches: doc_id, doc_word, item_id, item_word, n_words."""
-    search = Search(bench, window)
+    item = bench.schema["item_id"].dataType
+    kinds = [pa.int64(), pa.int64(), to_arrow_type(item), pa.int64(), pa.int64()]
+    out = None
+    for group in groups_of(bench, window):
+        search = group()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
-            ids = batch.column(0).to_pylist()
-            rows = [(ids[t], a, item, j, n) for t, a, item, j, n in search.longest(texts_of(batch))]
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_word", "item_id", "item_word", "n_words"])
+        def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+            keep_only("powers", "benchmark")
+            for batch in slices(batches, "text", SLICE_BYTES):
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[t], a, i, j, n) for t, a, i, j, n in search.longest(texts_of(batch))]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc_word", "item_id", "item_word", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_word long, item_id long, item_word long, n_words long")
+        own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, doc_word long, item_id {item.simpleString()}, item_word long, n_words long")
+        out = own if out is None else out.union(own)
+    return out
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, with all their columns, whose texts hold no window of the benchmark."""
-    search = Search(bench, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
-            yield batch.filter(pa.array(search.texts(texts_of(batch))[1] == 0))
-
-    return docs.mapInArrow(run, docs.schema)
+    groups = list(groups_of(bench, window))
+    for k, group in enumerate(groups):
+        search = group()
+
+        def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+            keep_only("powers", "benchmark")
+            for batch in slices(batches, "text", SLICE_BYTES):
+                yield batch.filter(pa.array([not runs for runs in search.texts(texts_of(batch))[1]]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if k < len(groups) - 1:
+            docs = stored(docs, "clean")  # else all groups would be in memory at once
+    return docs

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, named, slices, spans, stored, texts_of
+from .common import cut, fresh, keep_only, named, slices, spans, stored, texts_of
 
 TOLERANCE = 10.0
 
@@ -70,7 +70,8 @@ def count(docs: DataFrame, lang: str) -> DataFrame:
     """lang, key, n of all trigrams of the rows whose language is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        keep_only()
+        for batch in slices(batches, "text", 1 << 18):
             keys, n = trigrams(texts_of(batch))
             langs = np.array(batch.column(0).to_pylist(), object)
             for own in sorted(set(langs)):
@@ -186,7 +187,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in slices(batches, "text", 1 << 20):
+        keep_only()
+        for batch in slices(batches, "text", 1 << 18):
             texts = texts_of(batch)
             if own.langs:
                 h, n = own.entropies(texts)
@@ -236,7 +238,8 @@ def keep_known(docs: DataFrame, lang: str = "lang", tolerance: float = TOLERANCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in slices(batches, "text", 1 << 20):
+        keep_only()
+        for batch in slices(batches, "text", 1 << 18):
             langs, least = [None] * batch.num_rows, np.zeros(batch.num_rows)
             if own.langs:
                 h, n = own.entropies(texts_of(batch))

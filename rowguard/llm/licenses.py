@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spans, texts_of
+from .common import keep_only, slices, spans, texts_of
 from .decontam import Words
 from .license_texts import NOTICES
 
@@ -145,7 +145,8 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, least: float =
     kind = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        keep_only("powers")
+        for batch in slices(batches, "text", 1 << 20):
             rows = [[dict(zip(("license", "first_word", "n_words", "coverage"), f)) for f in own] for own in templates.scan(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "found"])
 

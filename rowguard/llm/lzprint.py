@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, slices, spans, texts_of
+from .common import cut, keep_only, slices, spans, texts_of
 from .decontam import _powers
 
 BINS = 128
@@ -140,6 +140,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the trees hold no cycles
+        keep_only()
         for batch in slices(batches, "text"):
             texts = texts_of(batch)
             found = signatures(texts, [phrase_ends(t, "")[0] for t in texts])
@@ -174,6 +175,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         """Results of all rows of a range but the last, which comes out with its text, as does the first."""
         gc.disable()
         part, ids, texts, head = TaskContext.get().partitionId(), [], [], None
+        keep_only()
         for batch in slices(batches, "text"):
             ids, texts = ids[-1:] + batch.column(0).to_pylist(), texts[-1:] + texts_of(batch)
             if head is None:
@@ -188,6 +190,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
+        keep_only()
         for batch in slices(batches, "tail"):
             yield pa.RecordBatch.from_arrays(_results(batch.column(0).to_pylist(), texts_of(batch, "tail"), texts_of(batch, "head")), schema=_ARROW)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, spans, texts_of
+from .common import cut, keep_only, slices, spans, texts_of
 from .pfor import unsigned_crc32
 from .tokens import encoder
 
@@ -51,7 +51,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, end: int = 0, vocabulary: str
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        keep_only("encoder")
+        for batch in slices(batches, "text", 1 << 19):
             ids, sizes = encoder(vocabulary).encode(texts_of(batch), end)
             raw, ends = ids.astype("<u4").tobytes(), spans(sizes)
             n = -(-sizes // capacity)

@@ -15,10 +15,11 @@ i-th in lane k; the lanes are packed side by side.
 
 A file is a Parquet part of chunks in the order of doc_id (rows of one doc_id
 by text): Spark's writer and committer see to lost tasks. A chunk holds whole
-documents, their ids, lengths and where the chunk starts in its part.
+documents, their ids (a byte for each tells of a null one), lengths and where the
+chunk starts in its part.
 
-Null texts are empty ones and have the end id only. Repeated rows are all
-kept. An empty table gives no chunks. Other columns are not read.
+Null texts are empty ones and have the end id only. Null doc_ids come first and
+come back as null. Repeated rows are all kept. A very long text is a chunk by itself. An empty table gives no chunks. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, spans, texts_of
-from .tokens import encoder, forget_encoders
+from .common import keep_only, slices, spans, texts_of
+from .tokens import encoder
 
 MAGIC = np.frombuffer(b"PFR1", "<u4")[0]
 BLOCK, LANES = 128, 4
 CHUNK_BYTES = 1 << 20
 ROUNDS = BLOCK // LANES
-CHUNKS = "part int, chunk int, first long, n_docs int, n_tokens long, doc_ids binary, lengths binary, ids binary"
+CHUNKS = "part int, chunk int, first long, n_docs int, n_tokens long, doc_ids binary, no_ids binary, lengths binary, ids binary"
 
 
 def bit_length(values: np.ndarray) -> np.ndarray:
@@ -124,12 +125,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end: in
     """Encode all texts and write the chunks under `path`. The texts are shuffled once, by ranges of doc_id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("encoder")
         part, first = TaskContext.get().partitionId(), 0
         for chunk, batch in enumerate(slices(batches, "text", CHUNK_BYTES)):
             ids, lengths = encoder(vocabulary).encode(texts_of(batch), end)
             own = batch.column(0)
             numbers = pa.compute.fill_null(own, 0).to_numpy(zero_copy_only=False).astype("<i8")
-            row = [part, chunk, first, len(lengths), len(ids), numbers.tobytes(), pack(lengths.astype(np.uint32)), pack(ids, percentile)]
+            row = [part, chunk, first, len(lengths), len(ids), numbers.tobytes(), own.is_null().to_numpy(zero_copy_only=False).tobytes(), pack(lengths.astype(np.uint32)), pack(ids, percentile)]
             yield pa.RecordBatch.from_pydict({c.split()[0]: [v] for c, v in zip(CHUNKS.split(", "), row)}, _arrow)
             first += len(ids)
 
@@ -143,7 +145,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of each document in the files."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        keep_only()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -152,7 +154,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(lengths), row["part"]), pa.int32()),
-                        pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64()),
+                        pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(row["no_ids"], bool)),
                         pa.array(row["first"] + ends[:-1], pa.int64()),
                         pa.array(lengths.astype(np.int64), pa.int64()),
                         pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),

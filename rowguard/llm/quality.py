@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, named, slices, spans, stored, texts_of
+from .common import cut, fresh, keep_only, named, slices, spans, stored, texts_of
 from .decontam import Words
 
 NAMES = ["words", "letters", "capitals", "digits", "stops", "signs", "bars", "bangs", "lines", "word_length", "repeats", "others"]
@@ -66,7 +66,8 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id and x: the statistics of each text. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        keep_only("powers")
+        for batch in slices(batches, "text", 1 << 20):
             x = statistics(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -149,7 +150,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = fresh("x", docs.columns)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        keep_only("powers")
+        for batch in slices(batches, "text", 1 << 20):
             own = pa.array(list(statistics(texts_of(batch))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, x])
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, is_scan, named, slices, spans, stored, texts_of
+from .common import cut, keep_only, named, numbered, slices, spans, texts_of
 from .components import components
 
 PIVOTS = 24
@@ -103,6 +103,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a long) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in slices(batches, "text"):
             found = fingerprints_of(texts_of(batch), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
@@ -429,17 +430,6 @@ def bits_at(similarity: float, bits: int = WORDS * 64, slack: float = 7.0) -> in
     return int(bits * angle + slack * np.sqrt(bits * angle * (1 - angle)))
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` with a number for each row, and the name of that column.
-
-    Numbers of plain files are the same each time. What is computed is written once
-    and its numbers read back, so they stay whatever it is computed from.
-    """
-    name = fresh("row", docs.columns)
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
-    return rows if is_scan(docs) else stored(rows, "rows"), name
-
-
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, row, and the doc_id and row of the one that stands for its group (the least doc_id, null first).
 
@@ -472,6 +462,7 @@ def _grouped(numbered_docs: DataFrame, name: str, shingle: int, similarity: floa
     rows = numbered_docs.select(F.col("doc_id").cast("long"), "text", named(name).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in slices(batches, "text"):
             sets, prints, keys = wide_of(texts_of(batch), shingle)
             same = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) for s in sets]
@@ -480,6 +471,7 @@ def _grouped(numbered_docs: DataFrame, name: str, shingle: int, similarity: floa
 
     def sets_of(nodes: DataFrame) -> Jaccard:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_only()
             for batch in slices(batches, "text"):
                 own = [s.astype("<u8").tobytes() for s in shingle_sets(texts_of(batch), shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])

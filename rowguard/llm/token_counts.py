@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
-from .common import slices, texts_of
+from .common import keep_only, kept, slices, texts_of
 from .tokens import _PIECES, _PLAIN, WordEncoder, letters, split_words
 
 CACHED_WORDS = 900_000
@@ -217,15 +217,13 @@ def longest_within(width: int, changes: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-_counters: dict[str | None, PrefixCounter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and the prefix table (width, changes) of each document. Nothing is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the tables hold no cycles
-        counter = _counters.get(vocabulary) or _counters.setdefault(vocabulary, PrefixCounter(vocabulary))
+        keep_only("counter")
+        counter = kept("counter", vocabulary, lambda: PrefixCounter(vocabulary))
         for batch in slices(batches, "text"):
             tables = [counter.table(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(

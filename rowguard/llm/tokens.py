@@ -16,8 +16,10 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from .common import kept
+
 WORD_BPE = "word_bpe_49k.json"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*\Z")
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -205,16 +207,6 @@ class WordEncoder:
         return kinds, missing[size[missing] > self.LONGEST]
 
 
-_encoders: dict[str | None, WordEncoder] = {}
-
-
 def encoder(path: str | None = None) -> WordEncoder:
     """This Python worker's encoder for a tokenizers file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
-def forget_encoders() -> None:
-    """Give back the memory that this worker's encoders took, once a job goes on to other work."""
-    _encoders.clear()
+    return kept("encoder", path, lambda: WordEncoder(path))

@@ -189,8 +189,8 @@ def test_decontamination_of_odd_texts(spark, monkeypatch):
     docs = [(0, "x Alpha-beta GAMMA alpha beta gamma y"), (1, "one two three four five six seven eight nine ten eleven"), (2, None), (3, ""), (4, "alpha beta. beta gamma"), (5, "Héllo héllo HÉLLO"), (6, "a " * 30), (7, "seven eight nine ten eleven twelve"), (8, "a b " * 9)]
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     items = spark.createDataFrame(bench, "item_id long, text string")
-    for size in (decontam.BLOCK_BYTES, 20):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+    for size in (decontam.GROUP_BYTES, 20):
+        monkeypatch.setattr(decontam, "GROUP_BYTES", size)
         got = [(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontam.contamination(rows, items).orderBy("doc_id").collect()]
         assert got == contamination_by_hand(docs, bench)
     found = {tuple(r) for r in decontam.matches(rows, items).collect()}
@@ -201,6 +201,28 @@ def test_decontamination_of_odd_texts(spark, monkeypatch):
     assert decontam.contamination(odd.filter("false"), items).count() == 0
 
 
+def test_large_benchmark_in_groups(spark, monkeypatch):
+    """A benchmark of many groups: built once in a worker and pass, ids of any type, the same result as in one group."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(300)]
+    bench = [(f"item {i}", " ".join(rng.choice(words, 30))) for i in range(60)] + [(None, "alone in the world"), ("empty", "")]
+    docs = [(i, " ".join([*rng.choice(words, 40), *bench[i % 60][1].split()[5:25], *rng.choice(words, 10), *bench[(i + 1) % 60][1].split()[:12]])) for i in range(40)] + [(99, "x alone in the world y"), (None, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    items = spark.createDataFrame(bench, "item_id string, text string")
+    want = sorted((-1 if d is None else d, n, h, [i for i in own if i]) for d, n, h, own in contamination_by_hand(docs, [(i or "", t) for i, t in bench]))
+    for size in (decontam.GROUP_BYTES, 2000):
+        monkeypatch.setattr(decontam, "GROUP_BYTES", size)
+        got = decontam.contamination(rows, items).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == want
+        assert {r.doc_id for r in decontam.decontaminate(rows, items).collect()} == {None}
+    assert len(list(decontam.groups_of(items, 10))) > 3
+    search, built = next(decontam.groups_of(items, 10))(), []
+    monkeypatch.setattr(decontam, "Benchmark", lambda *a, own=decontam.Benchmark: built.append(1) or own(*a))
+    for _ in range(20):
+        search.texts([t for _, t in docs if t])
+    assert len(built) == 1
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 300):

@@ -103,10 +103,12 @@ def odd_rows(spark):
 def test_files(spark, sf_dir, library, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd_rows(spark).select("doc_id", "text"))
     path = str(tmp_path / "ids")
-    pfor.write_ids(docs.repartition(5), path)
+    more = docs.unionByName(spark.createDataFrame([(0, "zero")], "doc_id long, text string"))
+    pfor.write_ids(more.repartition(5), path)
     got = sorted(pfor.read_ids(spark, path).collect(), key=lambda r: r.start)
     start = 0
-    want = sorted(((r.doc_id or 0, r.text or "") for r in docs.collect()), key=lambda r: r[0])
+    docs = docs.unionByName(spark.createDataFrame([(0, "zero")], "doc_id long, text string"))
+    want = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0]))
     assert [r.doc_id for r in got] == [w[0] for w in want]
     for r in got:
         assert r.start == start and r.n_tokens * 4 == len(r.ids)
@@ -128,3 +130,37 @@ def test_counts_of_odd_rows(spark, library):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(rows).collect())
     assert got == sorted((r.doc_id or 0, len((r.text or "").encode()), len(ids_by_library(library, r.text or ""))) for r in rows.collect())
     assert token_counts.token_counts(rows.filter("false")).count() == 0
+
+
+def test_queries_equal_the_library(spark, sf_dir, library):
+    """Files, pieces and counts of all documents, against the library's ids of the whole texts."""
+    from rowguard.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {i: ids_by_library(library, t) for i, t in texts.items()}
+    crc = lambda own: zlib.crc32(np.array(own, "<u4").tobytes())
+
+    start, want = 0, []
+    for i in sorted(ids):
+        want.append((i, start, len(ids[i]) + 1, crc([*ids[i], 2])))
+        start += len(ids[i]) + 1
+    assert sorted(tuple(r) for r in QUERIES["op3_token_files"](spark, sf_dir).collect()) == want
+
+    got = QUERIES["op5_token_counts"](spark, sf_dir).collect()
+    assert sorted(tuple(r) for r in got) == [(i, len(texts[i].encode()), len(ids[i]), len(ids[i]) > 2048) for i in sorted(ids)]
+
+    pieces = QUERIES["op4_packing"](spark, sf_dir).collect()
+    own = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces)
+    want = [(i, k, a, len(p), crc(p)) for i in sorted(ids) for k, (a, p) in enumerate((a, [*ids[i], 0][a : a + 2048]) for a in range(0, len(ids[i]) + 1, 2048))]
+    assert own == want
+    bins = {}
+    for r in pieces:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in bins.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    bound = -(-sum(r.length for r in pieces) // 2048)
+    assert len(bins) <= bound * 1.01 + 1
