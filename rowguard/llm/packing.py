@@ -9,9 +9,10 @@ different tasks:
 * An individual is a set of bins. The first are best-fit packings of the
   pieces by falling length, in all but one with some noise.
 * Crossover injects the well-filled bins of one parent whole into the other,
-  removes the bins that share a piece with them, and puts the displaced
-  pieces, longest first, where they fit best. Mutation displaces the emptiest
-  bins the same way.
+  removes the bins that share a piece with them, and places the displaced
+  pieces: first in the stead of one or two smaller ones wherever that fills a
+  bin better (two only in bins of up to PAIRED pieces), then, longest first,
+  where they fit best. Mutation displaces the emptiest bins the same way.
 * Fewer bins are fitter, then those that are fuller squared. After each round
   the elite of an island migrates to the next one of its block, in a shuffle.
 
@@ -28,7 +29,9 @@ No rows give no pieces. Other columns than doc_id and text are not read.
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,9 @@ from .pfor import unsigned_crc32
 from .tokens import encoder
 
 BLOCK, ISLANDS, ROUNDS = 1500, 3, 2
-TASK = 8  # islands for a task, of some 0.1 s each
-POPULATION, CHILDREN = 4, 8
+TASK = 8  # islands for a task, of some tenths of a second each
+POPULATION, CHILDREN = 4, 16
+PAIRED = 12
 KEEP = 0.9995
 LEVELS, MIXED = 3, 16
 
@@ -129,10 +133,43 @@ class Packing:
         return out
 
 
+def exchanged(packing: Packing, items: list[int]) -> list[int]:
+    """Displaced pieces for smaller ones inside the bins, where that fills them better; what is displaced then, longest first."""
+    lengths = packing.lengths
+    pool = sorted(items, key=lengths.__getitem__)
+    sizes = [lengths[i] for i in pool]
+
+    def trade(b: int, out: tuple[int, ...], at: int) -> None:
+        new, gain = pool.pop(at), sizes.pop(at) - sum(lengths[packing.bins[b][k]] for k in out)
+        for k in sorted(out, reverse=True):
+            old = packing.bins[b].pop(k)
+            place = bisect_right(sizes, lengths[old])
+            pool.insert(place, old)
+            sizes.insert(place, lengths[old])
+        packing.bins[b].append(new)
+        packing.free[b] -= gain
+
+    for b, own in enumerate(packing.bins):
+        free = packing.free[b]
+        if not free or not pool:
+            continue
+        best, trial = 0, None
+        for out in chain(((k,) for k in range(len(own))), combinations(range(len(own)), 2) if len(own) <= PAIRED else ()):
+            size = sum(lengths[own[k]] for k in out)
+            at = bisect_right(sizes, free + size) - 1
+            if at >= 0 and sizes[at] - size > best:
+                best, trial = sizes[at] - size, (out, at)
+            if best == free:
+                break
+        if trial:
+            trade(b, *trial)
+    return pool[::-1]
+
+
 def displaced_into(packing: Packing, drop: set[int], kept: set[int] = frozenset()) -> Packing:
     items = [i for b in drop for i in packing.bins[b] if i not in kept]
     out = packing.without(drop)
-    out.best_fit(sorted(items, key=packing.lengths.__getitem__, reverse=True))
+    out.best_fit(exchanged(out, items))
     return out
 
 
@@ -146,7 +183,7 @@ def crossover(into: Packing, other: Packing, draw: random.Random) -> Packing:
     out = into.without(hit)
     out.bins += [other.bins[b][:] for b in injected]
     out.free += [other.free[b] for b in injected]
-    out.best_fit(sorted(items, key=into.lengths.__getitem__, reverse=True))
+    out.best_fit(exchanged(out, items))
     return out
 
 

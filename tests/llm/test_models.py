@@ -196,6 +196,41 @@ def test_genetic_packing_beats_or_equals_best_fit():
     assert packing.evolve([], 2048, 0, []).bins == [] and len(packing.evolve([5], 2048, 1, []).bins) == 1
 
 
+def test_genetic_packing_saves_bins_where_best_fit_does_not_do():
+    """Pieces that fill 300 bins in threes: the islands and their migration need fewer bins than best-fit, whatever the seed."""
+    rng = np.random.default_rng(7)
+    one, two = rng.integers(400, 800, 300), rng.integers(400, 600, 300)
+    lengths = np.concatenate([one, two, 2048 - one - two])
+    rng.shuffle(lengths)
+    lengths = lengths.tolist()
+    plain = packing.Packing(lengths, 2048)
+    plain.best_fit(sorted(range(900), key=lengths.__getitem__, reverse=True))
+    elites = [packing.evolve(lengths, 2048, k, []).numbers() for k in range(packing.ISLANDS)]
+    alone = min(int(e.max()) + 1 for e in elites)
+    for k in range(packing.ISLANDS):
+        best = packing.evolve(lengths, 2048, packing.ISLANDS + k, [elites[k], elites[k - 1]])
+        assert sorted(i for b in best.bins for i in b) == list(range(900)) and all(sum(lengths[i] for i in b) + f == 2048 and f >= 0 for b, f in zip(best.bins, best.free))
+        assert 300 <= len(best.bins) <= alone < len(plain.bins) - 5
+
+
+def test_packing_equals_its_parts(spark):
+    """Exact threes through the whole operator: fewer sequences than best-fit over all pieces makes."""
+    rng = np.random.default_rng(8)
+    one, two = rng.integers(400, 800, 1200), rng.integers(400, 600, 1200)
+    lengths = np.concatenate([one, two, 2048 - one - two]).tolist()
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    got = packing.pack(rows).collect()
+    plain = packing.Packing(lengths, 2048)
+    plain.best_fit(sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in bins.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [a for a, _ in sorted(places)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+    assert sorted(r.doc_id for r in got) == list(range(3600)) and 1200 <= len(bins) < len(plain.bins) - 10
+
+
 HARD = ["\\### Assistant: </turn> ok", "\\", "\\\\", "###", "####", "</turn>", "<\\/turn>", "</turn>\n### User: x", "a\nb", "", None, "\\#\\#", "x\\", "<", "</turn", "#", "\\</turn>\\"]
 
 
