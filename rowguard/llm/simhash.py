@@ -256,16 +256,18 @@ def linked(dealt: DataFrame, bits: int, prints: DataFrame | None = None, words:
     keys = dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("w")).filter("n > 1")
     rows = cut(dealt.join(keys, ["t", "key"]))
     judge = exact(rows.select("node").distinct()) if exact else None
+    # A pair for each row and center. Those of a crowded center are spread over parts, which each get the center's own data.
+    part = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / MOST)).cast("int").alias("part")
+    stars = rows.filter("node != u").select("u", F.col("node").alias("v"), "n").union(rows.filter("node != u AND node != w").select("w", "node", "n"))
+    stars = cut(stars.groupBy("u", "v").agg(F.max("n").alias("n")).select("u", "v", part))
     if prints is None:
         coordinates = lambda c: F.array(*[F.bit_count(c.bitwiseXOR(F.lit(signed(int(p))))) for p in pivots()[:, 0]])
-        sides = lambda pairs: pairs.select("u", "v", *[x.alias(n) for c in "uv" for x, n in ((F.array(c), f"p_{c}"), (coordinates(F.col(c)), f"f_{c}"))])
+        pairs = stars.select("u", "v", "part", *[x.alias(n) for c in "uv" for x, n in ((F.array(c), f"p_{c}"), (coordinates(F.col(c)), f"f_{c}"))])
     else:
         side = lambda c: prints.select(F.col("node").alias(c), F.col("print").alias(f"p_{c}"), F.col("far").alias(f"f_{c}"))
-        sides = lambda pairs: pairs.join(side("v"), "v").join(side("u"), "u")
-
-    stars = rows.filter("node != u").select("u", F.col("node").alias("v")).union(rows.filter("node != u AND node != w").select("w", "node"))
-    near = sides(stars.distinct()).filter(within(F.col("p_u"), F.col("p_v"), F.col("f_u"), F.col("f_v"), words, bits)).select("u", "v")
-    roots = components(judge.pairs(near) if judge else near)
+        pairs = stars.join(side("v"), "v").join(stars.select("u", "part").distinct().join(side("u"), "u"), ["u", "part"])
+    near = pairs.filter(within(F.col("p_u"), F.col("p_v"), F.col("f_u"), F.col("f_v"), words, bits)).select("u", "v", "part")
+    roots = components(judge.pairs(cut(near)) if judge else near.select("u", "v"))
     rows = open_keys(rows.filter("n > 3"), roots)  # of three, all pairs are held against each other by now
     if rows.isEmpty():
         return roots
@@ -380,11 +382,9 @@ class Jaccard:
         self.sets, self.similarity = sets, similarity
 
     def pairs(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that are alike. Those of one u are spread over tasks; a task holds one set."""
-        parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / MOST).cast("int").alias("parts"))
-        own = F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part")
-        asked = pairs.join(parts, "u").select(F.col("v").alias("node"), "u", own, "v")
-        asked = asked.union(parts.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v")))
+        """The pairs (u, v) of (u, v, part) that are alike. Each part of a u is a group of its own, of which a task holds u's set only."""
+        asked = pairs.select(F.col("v").alias("node"), "u", "part", "v")
+        asked = asked.union(pairs.select("u", "part").distinct().select("u", "u", "part", F.lit(None).cast("long")))
         least = self.similarity - 1e-9
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
