@@ -8,7 +8,7 @@ subsequence of the anchors is kept, and the gaps between them are aligned the
 same way, down to equal words at the ends of a gap. The share of the
 template's words that find a partner is its coverage; from `least` on it is
 found. Of those that overlap, the one stays whose words and the stretch's
-agree best.
+agree best, of equals the template that comes first, then the earlier place.
 
 No occurrence is missed by looking at rare words only: at most a share of
 1 - `least` of a template's words may be missing, and one more than that many
