@@ -42,17 +42,16 @@ def number_text(number: Column, floating: bool) -> Column:
 
 def json_array(text: Column) -> Column:
     """The text between brackets with a last element that only the writer knows: trailing garbage cannot pass."""
-    closed = F.concat(F.lit("["), text, F.lit(f',"{EOF}"]'))
-    return F.try_variant_get(F.try_parse_json(closed), "$", "array<variant>")
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{EOF}"]')))
 
 
 def is_whole(parts: Column) -> Column:
     """Whether what `json_array` gave is one value and the mark."""
-    return F.coalesce((F.size(parts) == 2) & (F.try_variant_get(F.try_element_at(parts, F.lit(-1)), "$", "string") == EOF), F.lit(False))
+    return F.coalesce((F.try_variant_get(parts, "$[1]", "string") == EOF) & F.try_variant_get(parts, "$[2]", "variant").isNull(), F.lit(False))
 
 
 def first_of(parts: Column) -> Column:
-    return F.when(is_whole(parts), F.try_element_at(parts, F.lit(1)))
+    return F.when(is_whole(parts), F.try_variant_get(parts, "$[0]", "variant"))
 
 
 def json_value(text: Column) -> Column:

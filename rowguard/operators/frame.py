@@ -82,19 +82,20 @@ def findings(frame: DataFrame, schema, *, source: str | None = None, carrier_kin
     return compile_schema(schema, carrier(frame, source, carrier_kind), dialect, strict, registry, key)
 
 
-def _ready(frame: DataFrame, schema, how: dict) -> tuple[DataFrame, Findings, bool]:
-    """Rows to look for findings in, the findings, and whether these are worth working out once only.
+def _ready(frame: DataFrame, schema, how: dict) -> tuple[DataFrame, Findings, str | None]:
+    """Rows to look for findings in, the findings, and the column, if there is one, that tells whether there are none.
 
     Of a VARIANT, all that the schema names is taken out into columns first, each
-    with its kind, in projections that are not folded into those that use them.
+    with its kind, in projections that are not folded into those that use them,
+    and then tested. What uses these columns should be worked out once only.
     """
     source, kind = how.get("source"), how.get("carrier_kind", "typed")
     if source is None or kind != "variant" or not isinstance(schema, dict):
-        return frame, findings(frame, schema, **how), False
+        return frame, findings(frame, schema, **how), None
     rows, source, code = _parsed(frame, source)
     root = value(rows, source)
     if not isinstance(root, Variant):
-        return rows, findings(rows, schema, **{**how, "source": source}), False
+        return rows, findings(rows, schema, **{**how, "source": source}), None
     name = _fresh("_at", rows)
     known = [((), root.column)] + [(p, c) for p in places(schema) if (c := root.reach(p)) is not None]
     rows = rows.select("*", *[c.alias(f"{name}{i}") for i, (_, c) in enumerate(known)])
@@ -103,45 +104,46 @@ def _ready(frame: DataFrame, schema, how: dict) -> tuple[DataFrame, Findings, bo
     taken = {p: (c, F.col(f"{name}k{i}")) for i, ((p, _), c) in enumerate(zip(known, at))}
     own = Variant(at[0], kind=taken[()][1], taken=taken)
     rest = {k: v for k, v in how.items() if k not in ("source", "carrier_kind")}
-    return rows, compile_schema(schema, own, **rest, key=("taken out", name)), True
+    found = compile_schema(schema, own, **rest, key=("taken out", name))
+    return rows.select("*", column(found.valid()).alias(name + "ok")), found, name + "ok"
 
 
 def with_validation(frame: DataFrame, schema, *, valid: str = "is_valid", errors: str = "errors", **how) -> DataFrame:
     """The rows with is_valid and errors."""
-    rows, found, dear = _ready(frame, schema, how)
-    if not dear:
-        return rows.select(*frame.columns, column(found.valid()).alias(valid), found.errors().alias(errors))
-    once = rows.select(*frame.columns, _once(found.errors()).alias(errors))
+    rows, found, ok = _ready(frame, schema, how)
+    if ok is None:
+        return rows.select(*frame.columns, column(found.valid()).alias(valid), found.found().alias(errors))
+    once = rows.select(*frame.columns, _once(found.found(F.col(ok))).alias(errors))
     return once.select(*frame.columns, (F.size(errors) == 0).alias(valid), errors)
 
 
 def check_structure(frame: DataFrame, schema, **how) -> Column:
     """struct(is_valid, errors)."""
     found = findings(frame, schema, **how)
-    return F.struct(column(found.valid()).alias("is_valid"), found.errors().alias("errors"))
+    return F.struct(column(found.valid()).alias("is_valid"), found.found().alias("errors"))
 
 
 def valid_rows(frame: DataFrame, schema, **how) -> DataFrame:
     """By the predicate alone: what a scan can skip, it does."""
-    rows, found, dear = _ready(frame, schema, how)
-    if not dear:
+    rows, found, ok = _ready(frame, schema, how)
+    if ok is None:
         return rows.filter(column(found.valid())).select(*frame.columns)
     flag = _fresh("_is_valid", frame)
-    return rows.select(*frame.columns, _once(column(found.valid())).alias(flag)).filter(flag).select(*frame.columns)
+    return rows.select(*frame.columns, _once(F.col(ok)).alias(flag)).filter(flag).select(*frame.columns)
 
 
 def invalid_rows(frame: DataFrame, schema, **how) -> DataFrame:
     """The rows that are not valid, with their errors."""
-    rows, found, dear = _ready(frame, schema, how)
-    if not dear:
-        return rows.filter(column(negated(found.valid()))).select(*frame.columns, found.errors().alias("errors"))
-    return rows.select(*frame.columns, _once(found.errors()).alias("errors")).filter(F.size("errors") > 0)
+    rows, found, ok = _ready(frame, schema, how)
+    if ok is None:
+        return rows.filter(column(negated(found.valid()))).select(*frame.columns, found.found().alias("errors"))
+    return rows.select(*frame.columns, _once(found.found(F.col(ok))).alias("errors")).filter(F.size("errors") > 0)
 
 
 def errors_in(frame: DataFrame, schema, **how) -> DataFrame:
     """A row for each error: the row's columns, place (from 0) and error."""
-    rows, found, _ = _ready(frame, schema, how)
-    return rows.select(*frame.columns, F.posexplode(found.errors()).alias("place", "error"))
+    rows, found, ok = _ready(frame, schema, how)
+    return rows.select(*frame.columns, F.posexplode(found.found(None if ok is None else F.col(ok))).alias("place", "error"))
 
 
 def error_report(frame: DataFrame, schema, **how) -> DataFrame:

@@ -53,6 +53,22 @@ class Findings:
             parts.append(own if test is True else F.when(test, own).otherwise(F.array().cast(_NONE)))
         return F.array().cast(_NONE) if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
 
+    def found(self, valid: Column | None = None) -> Column:
+        """`errors`, worked out only where there are any; `valid` has whether there are none, if a column tells already.
+
+        What builds the messages stands inside a lambda, which is interpreted: so
+        the code that every row passes is only that of the tests, and stays small
+        enough to be compiled well. Python functions cannot stand there.
+        """
+        ok, errors = self.valid(), self.errors()
+        if valid is not None and not isinstance(ok, bool):
+            ok = valid
+        if ok is True:
+            return F.array().cast(_NONE)
+        if "columnnodeexpression(" not in str(errors):
+            errors = F.flatten(F.transform(F.array(F.lit(0)), lambda _: errors))
+        return errors if ok is False else F.when(ok, F.array().cast(_NONE)).otherwise(errors)
+
     def valid(self) -> Truth:
         out: Truth = True
         for test, what, kind in self.items:
