@@ -17,7 +17,10 @@ pairs, two rows for each range, are then brought together in a join.
 Null texts are empty; an empty text has no phrase and a fingerprint of empty
 bins, like that of another empty text and unlike any other's. Rows that share
 a doc_id follow one another by text. The next of the last row is the first; a
-single row is its own next. No rows give no rows.
+single row is its own next. No rows give no rows. A text is parsed whole, however
+long, in one task: some hundreds of bytes for each phrase while it lasts, of which a
+text has at most about as many as characters divided by their logarithm.
+Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations

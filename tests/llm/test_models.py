@@ -231,6 +231,15 @@ def test_packing_equals_its_parts(spark):
     assert sorted(r.doc_id for r in got) == list(range(3600)) and 1200 <= len(bins) < len(plain.bins) - 10
 
 
+def test_long_turns_and_other_columns(spark):
+    """A turn of a million characters, and columns with the names that the operator uses itself."""
+    long = "a # </turn> b\n" * 70_000
+    rows = spark.createDataFrame([(1, 0, "user", "q", 7, "w", 1, "f"), (1, 1, "assistant", long, 7, "w", 1, "f")], "conv_id long, turn long, role string, text string, before int, whole string, number int, formatted string")
+    got = chat.format_conversations(rows)
+    (r,) = got.select("conv_id", F.length("formatted").alias("n"), chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"), F.transform(chat.parse(F.col("formatted")), lambda t: t["text"]).alias("texts")).collect()
+    assert r.conv_id == 1 and r.loss == long and r.texts == ["q", long] and r.n > len(long)
+
+
 HARD = ["\\### Assistant: </turn> ok", "\\", "\\\\", "###", "####", "</turn>", "<\\/turn>", "</turn>\n### User: x", "a\nb", "", None, "\\#\\#", "x\\", "<", "</turn", "#", "\\</turn>\\"]
 
 
