@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, lzprint, packing, pfor, quality, simhash, token_counts
+from . import audit, chat, decontam, langid, licenses, lzprint, merkle, oracle, packing, pfor, quality, simhash, token_counts, urls
 from .common import new_path
 
 
@@ -97,6 +97,29 @@ def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+#: The list that pages are judged by.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urls.judge(pages, urls.rule_table(spark, URL_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict", "confidence", F.array_join("antecedent", " ").alias("mined"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    other = [F.translate("text", urls.UPPER, urls.LOWER) if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    changed = F.when(remainder(5) == 0, merkle.leaf(other))
+    found = merkle.manifest(docs, carry={"tampered": changed})
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -108,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_lz_fingerprints": op10_lz_fingerprints,
+    "op11_url_filters": op11_url_filters,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +157,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM conversations_
     """,
+    "op11_url_filters": oracle.URL_FILTERS,
+    "op12_merkle_manifest": oracle.merkle_manifest(),
+    "op13_filter_audit": oracle.filter_audit(),
 }
