@@ -63,7 +63,7 @@ def _settled(doc_id: int | None, part: str, mask: int, n: int = 1) -> Routed:
     return (xxhash.xxh64_intdigest(repr((doc_id, part))), 0), (None, doc_id, part, mask, n)
 
 
-def route(rows: Iterable) -> Iterator[Routed]:
+def route(rows: Iterable, most: int = HELD) -> Iterator[Routed]:
     """((hash, least id), (text, least id, part, mask, rows)) of each text in a held part of the rows; the others are settled."""
     chains: dict[int, list[list]] = {}
     held = 0
@@ -86,7 +86,7 @@ def route(rows: Iterable) -> Iterator[Routed]:
             for other, n in entry[2].items():
                 yield _settled(entry[1], other, mask | _E, n)
             entry[1:3] = doc_id, {part: 1}
-        if held > HELD:
+        if held > most:
             yield from _passed_on(chains)
             chains, held = {}, 0
     yield from _passed_on(chains)
@@ -113,12 +113,12 @@ def compare(routed: Iterable[Routed]) -> Iterator[tuple]:
             yield doc_id, part, mask, n
 
 
-def masks(docs: DataFrame) -> DataFrame:
+def masks(docs: DataFrame, held: int = HELD) -> DataFrame:
     """doc_id, part, mask and n, how many rows they stand for, of all documents."""
     text, part = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), part, text).rdd
     n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.mapPartitions(route).repartitionAndSortWithinPartitions(n, lambda key: key[0])
+    dealt = rows.mapPartitions(lambda own: route(own, held)).repartitionAndSortWithinPartitions(n, lambda key: key[0])
     return docs.sparkSession.createDataFrame(dealt.mapPartitions(compare), "doc_id long, part string, mask int, n long", verifySchema=False)
 
 
@@ -164,9 +164,9 @@ def report(part: str, sums: list[int]) -> Iterator[tuple]:
             earlier |= own
 
 
-def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def interactions(docs: DataFrame, labels: DataFrame, held: int = HELD) -> DataFrame:
     """For each part, order and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
-    found = masks(docs).groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))  # an id that fills many rows is one here
+    found = masks(docs, held).groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))  # an id that fills many rows is one here
     says = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int")).alias(c)
     known = labels.groupBy("doc_id").agg(says("quality"), says("toxic"))
     rows = found.join(known, "doc_id", "left").select("part", "mask", "n", F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0)))
