@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
 HELD = 16 << 20  # bytes of text that a task compares before it passes them on
+SORTED = 32 << 20  # bytes of text that a task sorts, if none is a copy
 SCHEMA = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 _CAPITALS = bytes(range(65, 91))
@@ -117,7 +118,8 @@ def masks(docs: DataFrame, held: int = HELD) -> DataFrame:
     """doc_id, part, mask and n, how many rows they stand for, of all documents."""
     text, part = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), part, text).rdd
-    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(-(-size // SORTED), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.mapPartitions(lambda own: route(own, held)).repartitionAndSortWithinPartitions(n, lambda key: key[0])
     return docs.sparkSession.createDataFrame(dealt.mapPartitions(compare), "doc_id long, part string, mask int, n long", verifySchema=False)
 
