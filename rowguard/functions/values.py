@@ -47,6 +47,9 @@ class Value:
 
     column: Column
 
+    #: Whether all fields of what is no object are missing.
+    below_is_missing = False
+
     def missing(self) -> Truth:
         raise NotImplementedError
 
@@ -263,9 +266,21 @@ class Entry(Typed):
 Places = Sequence[tuple[str, ...]]
 
 
-def kind_code(variant: Column) -> Column:
-    """The first letters of the name that a VARIANT's type has, null where there is none."""
-    return F.substring(F.schema_of_variant(variant), 1, 4)
+def kind_code(variant: Column, entries: Sequence[Column] = (), first: Column | None = None) -> Column:
+    """The first letters of the name that a VARIANT's type has, null where there is none.
+
+    Spark tells the type of all that lies below as well. Where an object or an array is looked for,
+    what was found in it (`entries` of an object, the `first` element) tells that it is one already.
+    """
+    out = F.substring(F.schema_of_variant(variant), 1, 4)
+    if first is not None:
+        out = F.when(first.isNotNull(), "ARRA").otherwise(out)
+    if entries:
+        there = entries[0].isNotNull()
+        for entry in entries[1:]:
+            there = there | entry.isNotNull()
+        out = F.when(there, "OBJE").otherwise(out)
+    return out
 
 
 def kind_code_of_json(text: Column) -> Column:
@@ -292,6 +307,8 @@ class Variant(Value):
     NAMES = {raw: kind if kind in ("string", "number", "boolean", "array", "date") else "object" for kind, raws in KINDS.items() for raw in raws} | {"VOID": "null"}
     TYPEOF = {raw: name if name in ("string", "number", "boolean") else "object" for raw, name in NAMES.items()}
 
+    below_is_missing = True
+
     def __init__(self, column: Column, root: Column | None = None, path: str = "$", kind: Column | None = None, taken: dict[tuple, tuple[Column, Column]] | None = None, at: tuple[str, ...] = ()):
         """`column`, which is what is found at `path` of `root`.
 
@@ -307,16 +324,21 @@ class Variant(Value):
         """The path one key further, None for keys that paths cannot name."""
         return None if '"' in key or "\\" in key else f'{path}["{key}"]'
 
-    def reach(self, keys: Sequence[str]) -> Column | None:
-        """What lies under these keys, None where no path leads there."""
+    def path_of(self, keys: Sequence[str]) -> str | None:
+        """The path from the origin to what lies under these keys, None where no path leads there."""
         path: str | None = self.path
         for key in keys:
             path = path and self.step(path, key)
+        return path
+
+    def reach(self, keys: Sequence[str]) -> Column | None:
+        """What lies under these keys, None where no path leads there."""
+        path = self.path_of(keys)
         return path and (self.column if not keys else F.try_variant_get(self.origin, path, "variant"))
 
     def _named(self, names: dict[str, str]) -> Column:
         table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-        return F.coalesce(F.try_element_at(table, self.raw_kind), F.when(self.column.isNull(), "undefined").otherwise("object"))
+        return F.coalesce(F.try_element_at(table, self.raw_kind), F.when(self.raw_kind.isNull(), "undefined").otherwise("object"))
 
     def kind_name(self) -> Text:
         return self._named(self.NAMES)
@@ -357,11 +379,11 @@ class Variant(Value):
 
     def field(self, key: str) -> Value:
         path, at = self.step(self.path, key), (*self.at, key)
-        if path is None:
-            return Variant(F.try_element_at(self._entries(), F.lit(key)))
         if at in self.taken:
             column, kind = self.taken[at]
-            return Variant(column, self.origin, path, kind, self.taken, at)
+            return Variant(column, None if path is None else self.origin, path or "$", kind, self.taken, at)
+        if path is None:
+            return Variant(F.try_element_at(self._entries(), F.lit(key)))
         return Variant(F.try_variant_get(self.origin, path, "variant"), self.origin, path)
 
     def extra_keys(self, known: list[str]) -> list[str] | Column:
@@ -372,7 +394,8 @@ class Variant(Value):
         known = [p for p in [(), *places] if Variant(F.lit(None)).reach(p) is not None]
         names = [f"v{n}" for n in range(len(known))]
         taken = F.transform(self._elements(), lambda x: F.struct(*[Variant(x).reach(p).alias(n) for p, n in zip(known, names)]))
-        kinds = F.transform(taken, lambda s: F.struct(*[s[n].alias(n) for n in names], *[kind_code(s[n]).alias("k" + n) for n in names]))
+        entries = {p: [names[i] for i, q in enumerate(known) if len(q) == len(p) + 1 and q[: len(p)] == p] for p in known}
+        kinds = F.transform(taken, lambda s: F.struct(*[s[n].alias(n) for n in names], *[kind_code(s[n], [s[m] for m in entries[p]]).alias("k" + n) for p, n in zip(known, names)]))
         below = lambda s: {p: (s[n], s["k" + n]) for p, n in zip(known, names)}
         return F.transform(kinds, lambda s, i: per(Variant(s["v0"], kind=s["kv0"], taken=below(s)), i))
 
@@ -386,8 +409,8 @@ class Variant(Value):
 class Row(Value):
     """A row of a DataFrame as an object with its columns as fields."""
 
-    def __init__(self, frame: DataFrame):
-        self.fields = {f.name: f for f in frame.schema.fields}
+    def __init__(self, frame: DataFrame, names: Sequence[str] | None = None):
+        self.fields = {f.name: f for f in frame.schema.fields if names is None or f.name in names}
 
     def missing(self) -> Truth:
         return False

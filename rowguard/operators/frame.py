@@ -17,9 +17,10 @@ from ..functions.checks import Check, Validator, is_type, matches_type
 from ..functions.logic import column, negated
 from ..functions.registry import DEFAULT, TypeRegistry
 from ..functions.text import first_of, json_array, json_value
-from ..functions.values import Row, Typed, Value, Variant, kind_code, kind_code_of_json, value
+from ..functions.values import Row, Typed, Value, Variant, value
 from ..plans.compile import Findings, compile_schema
-from ..plans.schema import places
+from .lookup import entries, lifted
+from .taking import is_json_text, let, taken_out, within
 
 log = logging.getLogger("rowguard")
 
@@ -49,27 +50,17 @@ def _fresh(name: str, frame: DataFrame) -> str:
     return name
 
 
-def _parsed(frame: DataFrame, source: str) -> tuple[DataFrame, str, Column | None]:
-    """The frame with JSON text of `source` parsed into a column, once for each row; that column's name; its kind code."""
-    own = value(frame, source)
-    if not isinstance(own, Typed) or own.kind != "string":
-        return frame, source, None
-    name = _fresh("_payload", frame)
-    rows = frame.select("*", json_array(own.column).alias(name + "_"))
-    rows = rows.select("*", first_of(F.col(name + "_")).alias(name))
-    return rows, name, F.when(F.col(name).isNotNull(), kind_code_of_json(own.column))
-
-
 def prepared(frame: DataFrame, source: str | None = None, carrier_kind: str = "typed") -> tuple[DataFrame, str | None]:
     """The frame with JSON text of `source` parsed into a column of its own, once for each row, and that column's name.
 
     Whatever looks at the text many times should look at this instead. The
     column comes last; nothing is added where `source` is no text.
     """
-    if source is None or carrier_kind != "variant":
+    if source is None or carrier_kind != "variant" or not is_json_text(value(frame, source)):
         return frame, source
-    rows, name, _ = _parsed(frame, source)
-    return (frame, source) if name == source else (rows.select(*frame.columns, _once(F.col(name)).alias(name)), name)
+    name = _fresh("_payload", frame)
+    rows = frame.select("*", json_array(value(frame, source).column).alias(name + "_"))
+    return rows.select(*frame.columns, _once(first_of(F.col(name + "_"))).alias(name)), name
 
 
 def _once(column: Column) -> Column:
@@ -77,6 +68,30 @@ def _once(column: Column) -> Column:
     return F.explode(F.array(column))
 
 
+def _takes_apart(frame: DataFrame, schema, source: str | None, kind: str) -> bool:
+    """Whether the schema's entries are taken out of JSON text or a VARIANT first."""
+    if source is None or not isinstance(schema, dict) or not schema:
+        return False
+    own = value(frame, source)
+    return isinstance(own, Variant) or kind == "variant" and is_json_text(own)
+
+
+def _in_column(frame: DataFrame, schema, how: dict, body: Callable[[Findings], Column]) -> Column:
+    """`body` of the findings, as one column: JSON text is parsed once, entries are taken out once."""
+    source, kind = how.get("source"), how.get("carrier_kind", "typed")
+    if not _takes_apart(frame, schema, source, kind):
+        return body(findings(frame, schema, **how))
+    rest = {k: v for k, v in how.items() if k not in ("source", "carrier_kind")}
+
+    def inner(own: Variant) -> Column:
+        out = body(compile_schema(schema, own, **rest))
+        if "columnnodeexpression(" in str(out):
+            raise ValidationError("Python functions cannot look into JSON within one column: use with_validation and the like")
+        return out
+
+    return within(value(frame, source), schema, inner, flat=rest.get("dialect") == "flat", rooted=bool(rest.get("strict")))
+
+
 def findings(frame: DataFrame, schema, *, source: str | None = None, carrier_kind: str = "typed", dialect: str = "structure", strict: bool = False, registry: TypeRegistry = DEFAULT) -> Findings:
     key = (frame.schema.json() if source is None else frame.schema[source.split(".")[0] if source not in frame.columns else source].json(), source, carrier_kind)
     return compile_schema(schema, carrier(frame, source, carrier_kind), dialect, strict, registry, key)
@@ -85,26 +100,25 @@ def findings(frame: DataFrame, schema, *, source: str | None = None, carrier_kin
 def _ready(frame: DataFrame, schema, how: dict) -> tuple[DataFrame, Findings, str | None]:
     """Rows to look for findings in, the findings, and the column, if there is one, that tells whether there are none.
 
-    Of a VARIANT, all that the schema names is taken out into columns first, each
+    Of a VARIANT or JSON text, all that the schema names is taken out into columns first, each
     with its kind, in projections that are not folded into those that use them,
     and then tested. What uses these columns should be worked out once only.
     """
     source, kind = how.get("source"), how.get("carrier_kind", "typed")
-    if source is None or kind != "variant" or not isinstance(schema, dict):
+    if entries(schema):
+        rows, own = prepared(frame, source, kind)
+        find = lambda f: Row(f, frame.columns) if source is None else value(f, own)
+        rows, schema = lifted(rows, schema, find, _fresh("_in", rows))
+        if source is None:
+            rest = {k: v for k, v in how.items() if k not in ("source", "carrier_kind")}
+            return rows, compile_schema(schema, find(rows), **rest), None
+        return _ready(rows, schema, how | {"source": own})
+    if not _takes_apart(frame, schema, source, kind):
         return frame, findings(frame, schema, **how), None
-    rows, source, code = _parsed(frame, source)
-    root = value(rows, source)
-    if not isinstance(root, Variant):
-        return rows, findings(rows, schema, **{**how, "source": source}), None
-    name = _fresh("_at", rows)
-    known = [((), root.column)] + [(p, c) for p in places(schema) if (c := root.reach(p)) is not None]
-    rows = rows.select("*", *[c.alias(f"{name}{i}") for i, (_, c) in enumerate(known)])
-    at = [F.col(f"{name}{i}") for i in range(len(known))]
-    rows = rows.select("*", *[(code if code is not None and not i else kind_code(c)).alias(f"{name}k{i}") for i, c in enumerate(at)])
-    taken = {p: (c, F.col(f"{name}k{i}")) for i, ((p, _), c) in enumerate(zip(known, at))}
-    own = Variant(at[0], kind=taken[()][1], taken=taken)
+    name = _fresh("_at", frame)
     rest = {k: v for k, v in how.items() if k not in ("source", "carrier_kind")}
-    found = compile_schema(schema, own, **rest, key=("taken out", name))
+    rows, own = taken_out(frame, schema, value(frame, source), name, flat=rest.get("dialect") == "flat", rooted=bool(rest.get("strict")))
+    found = compile_schema(schema, own, **rest, key=("taken out", name, source, frame.schema.json()))
     return rows.select("*", column(found.valid()).alias(name + "ok")), found, name + "ok"
 
 
@@ -119,8 +133,7 @@ def with_validation(frame: DataFrame, schema, *, valid: str = "is_valid", errors
 
 def check_structure(frame: DataFrame, schema, **how) -> Column:
     """struct(is_valid, errors)."""
-    found = findings(frame, schema, **how)
-    return F.struct(column(found.valid()).alias("is_valid"), found.found().alias("errors"))
+    return _in_column(frame, schema, how, lambda found: F.struct(column(found.valid()).alias("is_valid"), found.found().alias("errors")))
 
 
 def valid_rows(frame: DataFrame, schema, **how) -> DataFrame:
@@ -153,21 +166,25 @@ def error_report(frame: DataFrame, schema, **how) -> DataFrame:
 
 def validate(frame: DataFrame, schema: dict, **how) -> Column:
     """The errors of a flat schema."""
-    return findings(frame, schema, dialect="flat", **how).errors()
-
-
-def _checked(frame: DataFrame, definition, source: str | None, kind: str, registry: TypeRegistry) -> tuple[Column, Column]:
-    """(ok, message) of the first argument of parse: name, names, validator or schema."""
-    if callable(definition):
-        check: Check = definition(carrier(frame, source, kind))
-    elif isinstance(definition, (str, list, tuple)):
-        check = is_type(definition if isinstance(definition, str) else list(definition), carrier(frame, source, kind), registry)
-    elif isinstance(definition, dict):
-        found = findings(frame, definition, source=source, carrier_kind=kind, dialect="parse", registry=registry)
-        return column(found.valid()), F.concat(F.lit("Validation failed:\n  - "), F.array_join(found.errors(), "\n  - "))
-    else:
+    return _in_column(frame, schema, how | {"dialect": "flat"}, Findings.errors)
+
+
+def _checked(frame: DataFrame, definition, source: str | None, kind: str, registry: TypeRegistry, body: Callable[[Column, Column], Column]) -> Column:
+    """`body` of (ok, message) of the first argument of parse: name, names, validator or schema."""
+    if isinstance(definition, dict):
+        how = {"source": source, "carrier_kind": kind, "dialect": "parse", "registry": registry}
+        says = lambda found: F.concat(F.lit("Validation failed:\n  - "), F.array_join(found.errors(), "\n  - "))
+        return _in_column(frame, definition, how, lambda found: body(column(found.valid()), says(found)))
+    if not callable(definition) and not isinstance(definition, (str, list, tuple)):
         raise ValidationError("Invalid first argument to parse(): expected type alias, validator, or schema.")
-    return column(check.ok), column(check.message)
+    names = definition if isinstance(definition, str) or callable(definition) else list(definition)
+    check = lambda own: definition(own) if callable(definition) else is_type(names, own, registry)
+    own = carrier(frame, source) if source is None or not is_json_text(value(frame, source)) else value(frame, source)
+    if kind == "variant" and is_json_text(own):
+        given = let(json_array(own.column), lambda parts: first_of(parts))
+        return let(given, lambda v: body(column((made := check(Variant(v))).ok), column(made.message)))
+    made: Check = check(own)
+    return body(column(made.ok), column(made.message))
 
 
 def _whole(frame: DataFrame, source: str | None) -> Column:
@@ -176,15 +193,15 @@ def _whole(frame: DataFrame, source: str | None) -> Column:
 
 def parse(frame: DataFrame, definition, *, source: str | None = None, carrier_kind: str = "typed", registry: TypeRegistry = DEFAULT) -> Column:
     """The value as it is; the query fails at the first row that does not pass."""
-    ok, message = _checked(frame, definition, source, carrier_kind, registry)
     own = _whole(frame, source)
-    return F.when(ok, own).otherwise(F.raise_error(message))
+    return _checked(frame, definition, source, carrier_kind, registry, lambda ok, message: F.when(ok, own).otherwise(F.raise_error(message)))
 
 
 def safe_parse(frame: DataFrame, definition, *, source: str | None = None, carrier_kind: str = "typed", registry: TypeRegistry = DEFAULT) -> Column:
     """struct(success, data, error)."""
-    ok, message = _checked(frame, definition, source, carrier_kind, registry)
-    return F.struct(ok.alias("success"), F.when(ok, _whole(frame, source)).alias("data"), F.when(~ok, message).alias("error"))
+    own = _whole(frame, source)
+    made = lambda ok, message: F.struct(ok.alias("success"), F.when(ok, own).alias("data"), F.when(~ok, message).alias("error"))
+    return _checked(frame, definition, source, carrier_kind, registry, made)
 
 
 def apply(frame: DataFrame, source: str, validator: Validator) -> Column:

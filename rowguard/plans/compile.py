@@ -12,6 +12,7 @@ names are reported and in "?" within arrays; "flat" has no nesting at all.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -21,7 +22,7 @@ from ..functions.checks import matches_type, of_type
 from ..functions.logic import Text, Truth, both, column, either, joined, negated
 from ..functions.registry import DEFAULT, TypeRegistry
 from ..functions.values import Value
-from .schema import Same, frozen, kind_of_definition, places, type_names
+from .schema import Same, frozen, has_required, kind_of_definition, places, type_names
 
 _NONE = "array<string>"
 
@@ -46,10 +47,18 @@ class Findings:
         elif there is not False and inner.items:
             self.items.append((there, inner, "group"))
 
+    def nest(self, nested: Truth, message: Text, inner: Findings, told: bool) -> None:
+        """What is wrong where there is no object, and what within one. `told`: where there is none, `inner` finds something missing anyway."""
+        if told and nested is not False:
+            self.items += [(negated(nested), message, "told"), (nested, inner, "implied")]
+            return
+        self.add(negated(nested), message)
+        self.group(nested, inner)
+
     def errors(self) -> Column:
         parts = []
         for test, what, kind in self.items:
-            own = F.array(column(what)) if kind == "one" else F.coalesce(what, F.array().cast(_NONE)) if kind == "all" else what.errors()
+            own = F.array(column(what)) if kind in ("one", "told") else F.coalesce(what, F.array().cast(_NONE)) if kind == "all" else what.errors()
             parts.append(own if test is True else F.when(test, own).otherwise(F.array().cast(_NONE)))
         return F.array().cast(_NONE) if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
 
@@ -72,7 +81,9 @@ class Findings:
     def valid(self) -> Truth:
         out: Truth = True
         for test, what, kind in self.items:
-            fine = negated(test) if kind == "one" else F.coalesce(F.size(what) == 0, F.lit(True)) if kind == "all" else either(negated(test), what.valid())
+            if kind == "told":
+                continue
+            fine = what.valid() if kind == "implied" else negated(test) if kind == "one" else F.coalesce(F.size(what) == 0, F.lit(True)) if kind == "all" else either(negated(test), what.valid())
             out = both(out, fine)
         return out
 
@@ -91,9 +102,8 @@ class Compiler:
             out.add(True, "Invalid schema: must be a non-null object")
             return out
         nested = v.is_nested()
-        out.add(negated(nested), joined("Invalid object: must be a non-null object, got ", v.kind_name()))
         self.object(schema, v, "", inner)
-        out.group(nested, inner)
+        out.nest(nested, joined("Invalid object: must be a non-null object, got ", v.kind_name()), inner, v.below_is_missing and has_required(schema))
         return out
 
     def object(self, schema: dict, v: Value, path: Text, out: Findings) -> None:
@@ -159,10 +169,9 @@ class Compiler:
             self.names(definition, v, path, out)
         elif isinstance(definition, dict):
             nested = v.is_nested()
-            out.add(negated(nested), joined('Expected "', path, '" to be an object, got ', v.kind_name()))
             if nested is not False:
                 self.object(definition, v, path, inner)
-                out.group(nested, inner)
+            out.nest(nested, joined('Expected "', path, '" to be an object, got ', v.kind_name()), inner, v.below_is_missing and has_required(definition))
         else:
             array, own = v.is_kind("array"), definition[0]
             out.add(negated(array), joined('Expected "', path, '" to be an array, got ', v.kind_name()))
@@ -208,7 +217,7 @@ def flat(schema: dict, v: Value, registry: TypeRegistry = DEFAULT) -> Findings:
     return out
 
 
-_cache: dict[tuple, Findings] = {}
+_cache: OrderedDict[tuple, Findings] = OrderedDict()
 
 
 def compile_schema(schema, v: Value, dialect: str = "structure", strict: bool = False, registry: TypeRegistry = DEFAULT, key: tuple | None = None) -> Findings:
@@ -218,9 +227,8 @@ def compile_schema(schema, v: Value, dialect: str = "structure", strict: bool =
         found = flat(schema, v, registry) if dialect == "flat" else Compiler(dialect, strict, registry).root(schema, v)
         if full is None:
             return found
-        if len(_cache) > 256:
-            _cache.clear()
         _cache[full] = found
+        if len(_cache) > 256:
+            _cache.popitem(last=False)  # what has not been asked for longest
+    _cache.move_to_end(full)
     return _cache[full]
-
-

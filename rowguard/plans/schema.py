@@ -129,3 +129,8 @@ def places(definition: object, at: tuple[str, ...] = ()) -> list[tuple[str, ...]
     for key, own in definition.items() if isinstance(definition, dict) else ():
         out += [(*at, key), *places(own, (*at, key))]
     return out
+
+
+def has_required(definition: dict) -> bool:
+    """Whether an object without any of the keys has an error for sure."""
+    return any(not callable(own) and not (isinstance(own, str) and own.endswith("?")) for own in definition.values())

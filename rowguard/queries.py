@@ -16,6 +16,7 @@ from .functions.registry import BASES, TypeRegistry
 from .functions.text import json_value
 from .functions.values import value
 from .operators import frame as fr
+from .operators.lookup import in_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -358,6 +359,27 @@ def one_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.one_of_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", known).select("o_orderkey", "ok", "message")
 
 
+_OWNED = """concat('{"owner": {"id": ', o_custkey, '}, "parts": [', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat(o_custkey % 97, ', ', o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN ', "x", null' ELSE '' END) END, '], "by": "', o_orderpriority, '"}')"""
+_NOT_KNOWN = " || ' must be one of the table''s values, is ' || "
+
+
+@query(f"""WITH j AS (SELECT o_orderkey, CAST({_OWNED} AS JSON) AS v FROM orders), found AS (
+      SELECT o_orderkey, 0 AS rule, 0 AS i, 'owner.id' AS path, v -> '$.owner.id' AS x FROM j
+      UNION ALL SELECT o_orderkey, 1, i, 'parts[' || i || ']', x FROM (SELECT o_orderkey, unnest(range(CAST(json_array_length(v, '$.parts') AS BIGINT))) AS i, unnest(json_extract(v, '$.parts[*]')) AS x FROM j)
+      UNION ALL SELECT o_orderkey, 2, 0, 'by', v -> '$.by' FROM j)
+    SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY rule, i) - 1 AS place, 'Validation failed at "' || path || '": ' || t {_NOT_KNOWN} t AS error
+    FROM (SELECT *, coalesce(x ->> '$', 'null') AS t, CASE WHEN json_type(x) NOT IN ('VARCHAR', 'NULL') THEN CAST(x AS BIGINT) END AS n FROM found)
+    WHERE CASE rule WHEN 0 THEN n NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) WHEN 1 THEN json_type(x) <> 'NULL' AND (n IS NULL OR n NOT IN (SELECT p_partkey FROM part)) ELSE t NOT IN (SELECT o_orderpriority FROM orders WHERE o_totalprice > 450000) END""")
+def in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys within nested objects and arrays that have to be in other tables, and words that have to be in this one."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_OWNED).alias("payload"))
+    customers, parts = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey"), table(spark, sf_dir, "part").select("p_partkey")
+    words = table(spark, sf_dir, "orders").filter("o_totalprice > 450000").select("o_orderpriority")
+    schema = {"owner": {"id": in_table(customers)}, "parts": [in_table(parts, nullable=True)], "by": in_table(words)}
+    found = fr.errors_in(rows, schema, source="payload", carrier_kind="variant")
+    return found.select("o_orderkey", F.col("place").cast("long").alias("place"), "error")
+
+
 # Combinators.
 
 
@@ -478,9 +500,9 @@ def parse_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT event_id, event_id % 7 > 3 AS success, CASE WHEN event_id % 7 < 4 THEN 'Validation failed:' || chr(10) || '  - ' || CASE event_id % 7 WHEN 0 THEN 'Expected "k" to be number, got string' WHEN 1 THEN 'Missing required key "k"'
       WHEN 2 THEN 'Expected "k" to be number, got null' ELSE 'Invalid object: must be a non-null object, got array' END END AS error, CASE WHEN event_id % 7 > 3 THEN {_SOILED} END AS data FROM events""")
 def safe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, source = fr.prepared(_payloads(spark, sf_dir), "payload", "variant")
-    found = fr.safe_parse(rows, {"k": "number"}, source=source, carrier_kind="variant")
-    return rows.select("event_id", found["success"].alias("success"), found["error"].alias("error"), F.when(found["success"], F.col("payload")).alias("data"))
+    rows = _payloads(spark, sf_dir)
+    found = rows.select("event_id", fr.safe_parse(rows, {"k": "number"}, source="payload", carrier_kind="variant").alias("found"))
+    return found.select("event_id", "found.success", "found.error", "found.data")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Expected \"c_name\" to be of type string, got object;' ELSE '' END || 'Expected \"c_acctbal\" to be of type string,boolean, got number;Expected \"gone\" to be of type number, got undefined' AS errors FROM customer")

@@ -307,3 +307,54 @@ def test_built_ins_first(spark):
         registry = TypeRegistry(builtins_first=first)
         registry.register("string", c.is_integer, override=True)
         assert rows.select(fr.is_(rows, "v", "string", registry)).first()[0] == first
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_is_parsed_once(spark):
+    """However many entries a schema has, and in whichever front end."""
+    rows = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}, "e": [1]}',), ("[]",), ("no",)], "j string")
+    schema = {"a": "number", "b": {"c": "string", "d": "number?"}, "e": ["number"], "f": "string|null"}
+    how = {"source": "j", "carrier_kind": "variant"}
+    plans = [
+        rows.select(fr.check_structure(rows, schema, **how)), rows.select(fr.safe_parse(rows, schema, **how)), rows.select(fr.parse(rows, schema, **how)),
+        rows.select(fr.validate(rows, {"a": "number", "b": ["string", "object"]}, **how)), rows.select(fr.safe_parse(rows, ["number", "string"], **how)),
+        fr.with_validation(rows, schema, **how), fr.valid_rows(rows, schema, **how), fr.with_validation(rows, schema, **how).filter("is_valid"),
+    ]
+    assert [plan_of(p).count("parseJson") for p in plans] == [1] * len(plans)
+    assert plan_of(plans[0]).count("try_variant_get") <= 16
+    found = rows.select(fr.check_structure(rows, schema, **how).alias("r")).select("r.*").collect()
+    assert [r.errors for r in found] == [['Missing required key "f"'], ["Invalid object: must be a non-null object, got array"], ["Invalid object: must be a non-null object, got undefined"]]
+    assert [r.errors for r in fr.with_validation(rows, schema, **how).collect()] == [r.errors for r in found]
+
+
+def test_what_is_no_json_passes_nothing(spark):
+    """Text that goes on after a value is no JSON, even where the first value would pass."""
+    rows = spark.createDataFrame([('{"a": 1},{"b": 2}',), ('{"a": 1} x',), ('{"a": 1}',), ('{"A": 1}',), ('{"a.b": 1, "a": 2}',), (None,)], "j string")
+    how = {"source": "j", "carrier_kind": "variant"}
+    assert [r.j for r in fr.valid_rows(rows, {"a": "number"}, **how).collect()] == ['{"a": 1}', '{"a.b": 1, "a": 2}']
+    assert [r.j for r in fr.valid_rows(rows, {"a": "number?", "A": "number?"}, **how).collect()] == ['{"a": 1}', '{"A": 1}', '{"a.b": 1, "a": 2}']
+    odd = {'q"x': "number?", "b`c": {"d e": "number?"}}
+    named = spark.createDataFrame([('{"q\\"x": 1, "b`c": {"d e": 2}}',), ('{"q\\"x": "s", "b`c": {}}',), ('{"b`c": {"d e": "s"}}',)], "j string")
+    assert [r.errors for r in fr.with_validation(named, odd, **how).collect()] == [[], ['Expected "q"x" to be number, got string'], ['Expected "b`c.d e" to be number, got string']]
+    assert [r.errors for r in fr.invalid_rows(rows, {}, **how).collect()] == [["Invalid object: must be a non-null object, got undefined"]] * 3
+
+
+def test_only_what_a_schema_names_is_read(spark, tmp_path):
+    """Of a shredded VARIANT, and nothing of the root where something has to be there."""
+    rows = spark.range(50).select("id", F.parse_json(F.format_string('{"a": %d, "b": {"c": "x", "z": "%s"}, "e": [1], "big": "%s"}', "id", F.lit("y" * 50), F.lit("y" * 200))).alias("v"))
+    rows.write.parquet(str(tmp_path / "v"))
+    read = spark.read.parquet(str(tmp_path / "v"))
+    schema = {"a": c.in_range(10, 20), "b": {"c": "string"}, "e": ["number"]}
+    kept = fr.valid_rows(read, schema, source="v", carrier_kind="variant").select("id")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    asked = plan[plan.index("ReadSchema"):]
+    assert "big" not in asked and asked.count("variant") == 3 and "v:variant" not in asked
+    assert [r.id for r in kept.collect()] == list(range(10, 21))
+    other = spark.createDataFrame([(1, '{"a": 12, "b": [], "e": [1]}'), (2, "[1]"), (3, "null"), (4, None), (5, "{}")], "id long, j string").select("id", F.parse_json("j").alias("v"))
+    both = read.unionByName(other)
+    found = {r.id: r.errors for r in fr.invalid_rows(both.filter("id < 10"), schema, source="v", carrier_kind="variant").filter("id > 0").collect() if r.id in (1, 2, 3, 4, 5)}
+    assert len(found) == 5
+    assert [r.errors for r in fr.invalid_rows(other, schema, source="v", carrier_kind="variant").orderBy("id").collect()][1:4] == [[f"Invalid object: must be a non-null object, got {k}"] for k in ("array", "null", "undefined")]
