@@ -32,6 +32,7 @@ class Findings:
     """What may be wrong, in order: a condition with a message, a column of messages, or more findings."""
 
     items: list[tuple[Truth, Text | Column | Findings, str]] = field(default_factory=list)
+    of: Value | None = None  # the value that was looked at, for the outermost ones
 
     def add(self, bad: Truth, message: Text) -> None:
         if bad is not False:
@@ -225,6 +226,7 @@ def compile_schema(schema, v: Value, dialect: str = "structure", strict: bool =
     full = None if key is None else (frozen(schema), dialect, strict, Same(registry), registry.version, key)
     if full is None or full not in _cache:
         found = flat(schema, v, registry) if dialect == "flat" else Compiler(dialect, strict, registry).root(schema, v)
+        found.of = v
         if full is None:
             return found
         _cache[full] = found

@@ -16,7 +16,9 @@ from .functions.registry import BASES, TypeRegistry
 from .functions.text import json_value
 from .functions.values import value
 from .operators import frame as fr
+from .operators.levels import Ref, errors_by_schema
 from .operators.lookup import in_table
+from .operators.typed import with_parsed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -505,6 +507,72 @@ def safe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "found.success", "found.error", "found.data")
 
 
+_KEYED = """concat('{"id": ', CASE WHEN value < 30 THEN 'null' ELSE CAST(event_id AS VARCHAR) END, ', "f', user_id % 200 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END, '": ', CASE WHEN event_id % 3 = 0 THEN '7' ELSE '"s"' END, ', "deep": {"', event_type, '": [', CASE WHEN value > 80 THEN '1, true' ELSE '2' END, ']}}')"""
+_NAME = "CASE WHEN event_id % 13 = 0 THEN 'none' ELSE concat(event_type, '-', user_id % 200) END"
+
+
+@query(f"""WITH j AS (SELECT event_id, event_type, user_id % 200 AS k, {_NAME} AS name, CAST({_KEYED} AS JSON) AS v FROM events), found AS (
+      SELECT event_id, 0 AS rule, 0 AS i, 'Unknown schema: none' AS error FROM j WHERE name = 'none'
+      UNION ALL SELECT event_id, 1, 0, 'Expected "id" to be number, got null' FROM j WHERE name <> 'none' AND json_type(v, '$.id') = 'NULL'
+      UNION ALL SELECT event_id, 2, 0, CASE WHEN json_type(v, '$.f' || k) IS NULL THEN 'Missing required key "f' || k || '"' ELSE 'Expected "f' || k || '" to be one of [string, boolean], got number' END
+        FROM j WHERE name <> 'none' AND coalesce(json_type(v, '$.f' || k), '') <> 'VARCHAR'
+      UNION ALL SELECT event_id, 3, i, 'Expected "deep.' || event_type || '[' || i || ']" to be number, got boolean'
+        FROM (SELECT event_id, event_type, name, unnest(range(CAST(json_array_length(v -> 'deep' -> event_type) AS BIGINT))) AS i, unnest(json_extract(v -> 'deep' -> event_type, '$[*]')) AS x FROM j) WHERE name <> 'none' AND json_type(x) = 'BOOLEAN')
+    SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY rule, i) - 1 AS place, error FROM found""")
+def schema_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that each name one of a thousand schemas, in one pass."""
+    events = table(spark, sf_dir, "events")
+    rows = events.select("event_id", F.expr(_NAME).alias("name"), F.expr(_KEYED.replace("VARCHAR", "STRING")).alias("payload"))
+    kinds = [r.event_type for r in events.select("event_type").distinct().collect()]  # a handful
+    schemas = {f"{kind}-{k}": {"id": "number", f"f{k}": "string|boolean", "deep": {kind: ["number"]}} for kind in kinds for k in range(200)}
+    return errors_by_schema(rows, schemas, by="name", source="payload", keep=["event_id"])
+
+
+_DEEP = """concat(repeat('{"name": "a", "kids": [{"name": null, "kids": []}, ', CAST(c_custkey % 9 AS INT)), CASE WHEN c_custkey % 2 = 0 THEN '{"name": "z", "kids": 1}' ELSE '{"kids": [5], "of": null}' END, repeat(']}', CAST(c_custkey % 9 AS INT)))"""
+
+
+@query("""WITH found AS (
+      SELECT c_custkey, i, 0 AS rule, 'Expected "' || repeat('kids[1].', i) || 'kids[0].name" to be string, got null' AS error FROM (SELECT c_custkey, unnest(range(c_custkey % 9)) AS i FROM customer)
+      UNION ALL SELECT c_custkey, 99, 1, 'Expected "' || repeat('kids[1].', c_custkey % 9) || 'kids" to be an array, got number' FROM customer WHERE c_custkey % 2 = 0
+      UNION ALL SELECT c_custkey, 99, 1, 'Missing required key "' || repeat('kids[1].', c_custkey % 9) || 'name"' FROM customer WHERE c_custkey % 2 = 1
+      UNION ALL SELECT c_custkey, 99, 2, 'Expected "' || repeat('kids[1].', c_custkey % 9) || 'kids[0]" to be an object, got number' FROM customer WHERE c_custkey % 2 = 1)
+    SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY i, rule) - 1 AS place, error FROM found""")
+def schema_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of a depth that only the rows know, against a schema that refers to itself."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("tree").alias("name"), F.expr(_DEEP).alias("payload"))
+    tree = {"name": "string", "kids": [Ref("tree")], "of": Ref("tree", optional=True)}
+    return errors_by_schema(rows, {"tree": tree}, by="name", source="payload", keep=["c_custkey"])
+
+
+_ORDER = """concat('{"key": ', o_orderkey, ', "price": ', CASE WHEN o_orderkey % 7 = 0 THEN '"none"' ELSE CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) END, ', "who": {"id": ', o_custkey, ', "note": ', CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE concat('"n', o_custkey, '"') END,
+    '}, "big": 90071992547409', o_orderkey % 100, ', "tags": [{"n": "', o_orderpriority, '", "w": 0.5}', CASE WHEN o_orderkey % 2 = 0 THEN ', {"n": "x"}' ELSE '' END, '], "any": [1, "two"], "more": true}')"""
+_ORDER_SCHEMA = {"key": "number", "price": "number", "who": {"id": "number", "note": "string|null"}, "big": "number", "tags": [{"n": "string", "w": "number?"}], "any": "array", "gone": "boolean?"}
+
+
+@query(f"""SELECT o_orderkey, CAST(v ->> '$.key' AS DOUBLE) AS key, CAST(v ->> '$.price' AS DOUBLE) AS price, CAST(v ->> '$.who.id' AS DOUBLE) AS id, v ->> '$.who.note' AS note, CAST(v ->> '$.big' AS DOUBLE) AS big,
+      array_to_string(list_transform(json_extract(v, '$.tags[*]'), lambda t: (t ->> '$.n') || coalesce(t ->> '$.w', '-')), ';') AS tags, json_array_length(v, '$.any') AS n_any, (v -> '$.gone') IS NULL AS gone
+    FROM (SELECT o_orderkey, CAST({_ORDER} AS JSON) AS v FROM orders) WHERE json_type(v, '$.price') <> 'VARCHAR'""")
+def parsed_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that pass as typed columns, nested ones and arrays of objects too."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER.replace("VARCHAR", "STRING")).alias("payload"))
+    found = with_parsed(rows, _ORDER_SCHEMA, source="payload", carrier_kind="variant").filter("is_valid")
+    tags = F.array_join(F.transform("data.tags", lambda t: F.concat(t["n"], F.coalesce(t["w"].cast("string"), F.lit("-")))), ";")
+    return found.select("o_orderkey", "data.key", "data.price", "data.who.id", "data.who.note", "data.big", tags.alias("tags"), F.size("data.any").cast("long").alias("n_any"), F.col("data.gone").isNull().alias("gone"))
+
+
+_AMOUNT = """concat('{"n": ', CASE o_orderkey % 4 WHEN 0 THEN concat('9007199254740993', o_orderkey % 10) WHEN 1 THEN CAST(o_orderkey AS VARCHAR) WHEN 2 THEN concat('0.1234567890123456', o_orderkey % 10, '7') ELSE concat(o_orderkey, '.25') END, ', "xs": [', o_orderkey, ', 9007199254740993]}')"""
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND CAST(CAST(t AS DOUBLE) AS HUGEINT) <> CAST(t AS HUGEINT) OR o_orderkey % 4 = 2 AND CAST(CAST(CAST(t AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)) <> CAST(t AS DECIMAL(38, 18)) THEN 'Number at "n" is ' || t ELSE '' END AS of_n,
+      'Number at "xs[1]" is 9007199254740993' AS of_xs FROM (SELECT o_orderkey, json({_AMOUNT}) ->> '$.xs[0]' AS _, regexp_extract({_AMOUNT}, '"n": ([0-9.]+)', 1) AS t FROM orders)""")
+def parsed_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that a double does not hold exactly."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_AMOUNT.replace("VARCHAR", "STRING")).alias("payload"))
+    found = with_parsed(rows, {"n": "number", "xs": ["number"]}, source="payload", carrier_kind="variant")
+    one = lambda at: F.coalesce(F.regexp_extract(F.array_join(F.filter("losses", lambda x: x.contains(at)), ";"), "^(.*), kept", 1), F.lit(""))
+    return found.select("o_orderkey", one('"n"').alias("of_n"), one('"xs').alias("of_xs"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Expected \"c_name\" to be of type string, got object;' ELSE '' END || 'Expected \"c_acctbal\" to be of type string,boolean, got number;Expected \"gone\" to be of type number, got undefined' AS errors FROM customer")
 def validate_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("c_name", F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")))
