@@ -16,17 +16,21 @@ prefix, and the longest prefix within a budget, are sums over it.
 
 Null and empty texts have no tokens and an empty table. Repeated rows give
 repeated results; other columns of the input are neither read nor returned.
-Words that hold a special token, or that normalising changes in length, are
-counted prefix by prefix by the library: exact, in the square of the length of
-such a word.
+What the normaliser takes for a blank parts words. Where normalising puts letters
+together or apart, counts are taken over what it makes of each group of letters
+that go together; prefixes that end within a group are branches of the same
+table. A special token counts as one where it is whole. So the work grows with
+the length of a text, whatever is in it.
 """
 
 from __future__ import annotations
 
 import gc
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -52,6 +56,36 @@ def sizes_by_tail(tokens: frozenset[str]) -> dict[str, tuple[int, ...]]:
     return {tail: (*sorted(sizes, reverse=True), 2, 1) for tail, sizes in out.items()}
 
 
+@cache
+def _joining() -> frozenset[str]:
+    """Characters that normalising may put together with what is before: marks, second parts of composed letters, Hangul vowels and finals."""
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for code in range(0x110000):
+        char = chr(code)
+        if unicodedata.combining(char):
+            out.add(char)
+        parts = unicodedata.decomposition(char).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
+
+
+def groups_of_letters(word: str) -> list[str]:
+    """The word in groups that are normalised apart from each other."""
+    if word.isascii():
+        return list(word)
+    joining, out = _joining(), []
+    starts = [i for i, c in enumerate(word) if not i or c not in joining]
+    for a, b in zip(starts, [*starts[1:], len(word)]):
+        out.append(word[a:b])
+    return out
+
+
+def spread(sizes: Iterable[int]) -> list[int]:
+    """Where each piece starts."""
+    return [0, *accumulate(sizes)]
+
+
 class PrefixCounter(dict):
     """word -> one signed byte for each code point: the change of the count there."""
 
@@ -66,6 +100,8 @@ class PrefixCounter(dict):
         self.longest = max(map(len, self.vocab))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in json.loads(self.tokenizer.to_str())["model"]["merges"]]
         self.inner = BPE(vocab=self.vocab, merges=merges)
+        added = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        self.specials = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         cores = frozenset(t.removesuffix(self.end) for t in self.vocab if self.end and t.endswith(self.end)) if self.end else frozenset(self.vocab)
         self.tokens = frozenset(self.vocab), cores
         self.sizes = tuple(map(sizes_by_tail, self.tokens))
@@ -105,21 +141,22 @@ class PrefixCounter(dict):
                 raise ValueError(f"no token ends {s!r}")
         return found[0], found[1], found[3]
 
-    def run(self, s: str) -> list[int]:
-        """closed(i) for i = 1..len(s), `s` being one pre-token in the byte alphabet."""
-        states, out, cache = [("", 0, 0)], [], self.states
+    def run(self, s: str, states: list[tuple] | None = None) -> list[int]:
+        """closed(i) for i = 1..len(s), `s` being one pre-token in the byte alphabet; `states`, if given, gets the state of each prefix."""
+        states, out, seen = [] if states is None else states, [], self.states
+        states.append(("", 0, 0))
         for i in range(1, len(s) + 1):
             if i <= 32:
                 part = s[:i]
-                state = cache.get(part)
+                state = seen.get(part)
                 if state is None:
-                    state = cache[part] = self.state(part, states)
+                    state = seen[part] = self.state(part, states)
             else:
                 state = self.state(s[max(0, i - self.longest) : i], states[max(0, i - self.longest) :])
             states.append(state)
             out.append(state[2])
-        if len(cache) > CACHED_PREFIXES:
-            cache.clear()
+        if len(seen) > CACHED_PREFIXES:
+            seen.clear()
         return out
 
     def kind(self, char: str) -> tuple[str, str]:
@@ -127,7 +164,7 @@ class PrefixCounter(dict):
         if (known := self.kinds.get(char)) is None:
             form = self.tokenizer.normalizer.normalize_str(char)
             kind = "?"
-            if len(form) == 1 and not form.isspace():
+            if len(form) == 1 and form != " ":
                 cut = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s))
                 kind = "L" if cut(f"a{form}a") == 1 else "N" if cut(form * 2) == 2 else "P"
             known = self.kinds[char] = form, kind
@@ -135,26 +172,89 @@ class PrefixCounter(dict):
 
     def counts(self, word: str) -> list[int]:
         """The count of tokens of each prefix of `word`."""
-        kinds = [self.kind(c) for c in word]
-        if any(k == "?" for _, k in kinds) or self.has_special(word) or not unicodedata.is_normalized("NFC", word):
-            return [len(self.tokenizer.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)]
-        form = "".join(f for f, _ in kinds)
-        out, base, i = [], 0, 0
+        out, start = [], 0
+        for i, char in enumerate(word + " "):
+            if i == len(word) or self.kind(char)[0] == " ":
+                base = out[-1] if out else 0
+                out += [base + c for c in self.between_blanks(word[start:i])]
+                out += [out[-1] if out else 0] * (i < len(word))
+                start = i + 1
+        return out
+
+    def between_blanks(self, word: str) -> list[int]:
+        out, start = [], 0
+        for match in self.specials.finditer(word) if self.has_special(word) else ():
+            base = out[-1] if out else 0
+            own = self.between_specials(word[start : match.end() - 1])
+            before = match.start() - start
+            out += [base + c for c in own] + [base + (own[before - 1] if before else 0) + 1]
+            start = match.end()
+        base = out[-1] if out else 0
+        return out + [base + c for c in self.between_specials(word[start:])]
+
+    def between_specials(self, word: str) -> list[int]:
+        groups = groups_of_letters(word)
+        forms = [self.form(g) for g in groups]
+        form = "".join(forms)
+        after, branches = spread(map(len, forms)), {}
+        for group, at in zip(groups, after):
+            if len(group) > 1:
+                branches.setdefault(at, []).extend(self.form(group[:k]) for k in range(1, len(group)))
+        known, branched = self.of_form(form, branches)
+        out: list[int] = []
+        for group, own, at in zip(groups, forms, after):
+            out += branched.get(at, []) if len(group) > 1 else []
+            out.append(known[at + len(own)])
+        return out
+
+    def form(self, group: str) -> str:
+        """What the normaliser makes of letters that go together."""
+        return self.kind(group)[0] if len(group) == 1 else self.tokenizer.normalizer.normalize_str(group)
+
+    def of_form(self, form: str, branches: dict[int, list[str]]) -> tuple[list[int], dict[int, list[int]]]:
+        """Of normalised text: the counts of its prefixes from the empty one on, and of those that go on otherwise at some places."""
+        kinds = [self.kind(c)[1] for c in form]
+        known, branched, i, quote = [0], {}, 0, False  # quote: whether all that is before i since the last pre-token is a quote
+        if 0 in branches:
+            branched[0] = [self.library(b) for b in branches[0]]
         while i < len(form):
-            kind, j = kinds[i][1], i + 1
+            kind, j, base = kinds[i], i + 1, known[-1]
             size = next((len(c) for c in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d") if form.startswith(c, i)), 0)  # fixed values of the vocabulary's pattern
+            states: list[tuple] = []
             if size:
-                own = [len(self.tokenizer.encode(form[i : i + k], add_special_tokens=False).ids) for k in range(1, size + 1)]
                 j = i + size
+                own = [self.library(form[i : i + k]) for k in range(1, size + 1)]
             else:
-                while kind != "N" and j < len(form) and kinds[j][1] == kind:
+                while kind != "N" and j < len(form) and kinds[j] == kind:
                     j += 1
-                ends = np.cumsum([len(c.encode()) for c in form[i:j]])
-                run = self.run(letters(form[i:j]))
+                ends = list(accumulate(len(c.encode()) for c in form[i:j]))
+                spelt = letters(form[i:j])
+                run = self.run(spelt, states)
                 own = [run[e - 1] for e in ends]
-            out += [base + c for c in own]
-            base, i = out[-1], j
-        return out
+            known += [base + c for c in own]
+            for at in range(i + 1, j + 1):
+                if at in branches:
+                    if at - i <= 64:
+                        first = i - quote  # with what goes on otherwise it may be a contraction
+                        branched[at] = [known[first] + self.library(form[first:at] + b) for b in branches[at]]
+                    else:
+                        end = ends[at - i - 1]
+                        branched[at] = [base + self.branch(spelt[max(0, end - self.longest) : end], states[max(0, end - self.longest) : end + 1], own[at - i - 1], kind, b) for b in branches[at]]
+            quote = form[i:j] == "'"
+            i = j
+        return known, branched
+
+    def branch(self, spelt: str, states: list[tuple], count: int, kind: str, more: str) -> int:
+        """The count of a long pre-token, of whose end `spelt` and `states` tell, that goes on with `more`."""
+        same = next((k for k, c in enumerate(more) if self.kind(c)[1] != kind), len(more)) if kind != "N" else 0
+        states = list(states)
+        for letter in letters(more[:same]):
+            spelt += letter
+            states.append(self.state(spelt[-self.longest :], states[-min(len(spelt), self.longest) :]))
+        return (states[-1][2] if same else count) + self.library(more[same:])
+
+    def library(self, form: str) -> int:
+        return len(self.tokenizer.encode(form, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)

@@ -1,5 +1,6 @@
 """Tokens, token files and prefix counts against the library."""
 
+import time
 import zlib
 
 import numpy as np
@@ -164,3 +165,22 @@ def test_queries_equal_the_library(spark, sf_dir, library):
         assert end <= 2048
     bound = -(-sum(r.length for r in pieces) // 2048)
     assert len(bins) <= bound * 1.01 + 1
+
+
+@pytest.mark.parametrize("text", [
+    "col\tval\t" * 30, "日本語" * 40 + "\u3000" + "日本" * 3, "e\u0301" * 40 + "z", "a" * 100 + "\u0301" + "c" * 90 + "e\u0301.", "x\u0323\u0301 \u1100\u1161\u11a8\uf900", "<|endoftext|>!<|endof<|endoftext|>a",
+    "'re\u0301 it's 'r", "t\x85\x1c'ré\u200d\x1c", "İSß" * 30, "!'s..'s" * 20,
+])
+def test_prefixes_of_odd_words(library, text):
+    """Every prefix, whatever the normaliser does with its letters."""
+    width, changes = token_counts.PrefixCounter().table(text)
+    got = np.cumsum(token_counts.changes_of(width, changes)).tolist()
+    assert got == [len(ids_by_library(library, text[:i])) for i in range(1, len(text) + 1)]
+
+
+@pytest.mark.parametrize("text", ["col\tval\t" * 25_000, "日本語中文字" * 16_000 + "\u3000", "e\u0301" * 100_000, "vie\u0323\u0302t " * 30_000, "<|endoftext|>" * 15_000])
+def test_long_odd_words_are_not_counted_in_the_square_of_their_length(library, text):
+    began = time.perf_counter()
+    width, changes = token_counts.PrefixCounter().table(text)
+    assert time.perf_counter() - began < 60
+    assert token_counts.changes_of(width, changes).sum() == len(ids_by_library(library, text))
