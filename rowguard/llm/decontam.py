@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, keep_only, kept, named, numbered, slices, spans, stored, texts_of
+from .common import cut, keep_only, kept, named, numbered, slices, spans, texts_of
 
 WINDOW = 10
 GROUP_BYTES = 4 << 20
@@ -249,6 +249,7 @@ class Search:
 
 def groups_of(bench: DataFrame, window: int) -> Iterator[Callable[[], Search]]:
     """How to send out each group of items, of about GROUP_BYTES of text; one item is never parted."""
+    bench = bench.select("item_id", "text").distinct()  # so that a group is no larger because a row is repeated
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // GROUP_BYTES) or 1
     number = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n))
@@ -311,17 +312,35 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose texts hold no window of the benchmark."""
+    """The rows of `docs`, with all their columns, whose texts hold no window of the benchmark.
+
+    With several groups each pass only writes the numbers of the rows that are hit; these go at the end, all at once.
+    """
     groups = list(groups_of(bench, window))
-    for k, group in enumerate(groups):
-        search = group()
+    if len(groups) == 1:
+        search = groups[0]()
 
-        def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep_only("powers", "benchmark")
             for batch in slices(batches, "text", SLICE_BYTES):
                 yield batch.filter(pa.array([not runs for runs in search.texts(texts_of(batch))[1]]))
 
-        docs = docs.mapInArrow(run, docs.schema)
-        if k < len(groups) - 1:
-            docs = stored(docs, "clean")  # else all groups would be in memory at once
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    rows, name = numbered(docs)
+    hit = None
+    for group in groups:
+        own = cut(_hit(rows.select(named(name).alias("row"), "text"), group()))
+        hit = own if hit is None else hit.union(own)
+    return rows.join(hit.distinct().withColumnRenamed("row", name), name, "left_anti").select(*map(named, docs.columns))
+
+
+def _hit(rows: DataFrame, search: Search) -> DataFrame:
+    """The numbers of the rows whose texts hold a window of the group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("powers", "benchmark")
+        for batch in slices(batches, "text", SLICE_BYTES):
+            hit = pa.array([bool(runs) for runs in search.texts(texts_of(batch))[1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit)], names=["row"])
+
+    return rows.mapInArrow(run, "row long")
