@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +44,11 @@ def number_text(number: Column, floating: bool) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, and stands in the plan once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def json_array(text: Column) -> Column:
     """The text between brackets with a last element that only the writer knows: trailing garbage cannot pass."""
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{EOF}"]')))
@@ -96,7 +105,7 @@ def base64_pattern(url_safe: bool = False, require_padding: bool = True) -> str:
 
 
 def is_url(text: Column) -> Column:
-    """The URL standard's parser without a base, but for internationalised hosts, which pass as they are.
+    """The URL standard's parser without a base.
 
     Control characters and blanks at the ends and tabs and line ends anywhere go first.
     Plain web addresses pass by one pattern, text without a colon fails without any.
@@ -105,7 +114,7 @@ def is_url(text: Column) -> Column:
 
 
 #: http or https, names that end in letters, a short port, and anything printable after it.
-PLAIN_URL = rf"^https?://(?:[A-Za-z0-9_-]{{1,63}}\.){{1,20}}[A-Za-z]{{2,20}}(?::[0-9]{{1,4}})?(?:[/?#][!-~]*)?{END}"
+PLAIN_URL = rf"^https?://(?![^/?#]*[xX][nN]--)(?:[A-Za-z0-9_-]{{1,63}}\.){{1,20}}[A-Za-z]{{2,20}}(?::[0-9]{{1,4}})?(?:[/?#][!-~]*)?{END}"
 
 
 def _is_any_url(text: Column) -> Column:
@@ -117,17 +126,83 @@ def _is_any_url(text: Column) -> Column:
     host_port = F.regexp_replace(authority, r"^.*@", "")
     bracketed = host_port.startswith("[")
     host = F.when(bracketed, F.regexp_extract(host_port, r"^\[([^\]]*)\](?::[0-9]*)?\z", 1)).otherwise(F.regexp_extract(host_port, r"^([^:]*)(?::[0-9]*)?\z", 1))
+    odd = F.when(~bracketed & host.rlike(r"[^\x00-\x7F]|%|(?i)xn--"), F.coalesce(ascii_host(host), F.lit(""))).otherwise(host)
+    special_ok = F.when(special, let(odd, lambda h: _host_and_port(h, host_port, bracketed)))
+    slashes = rest.startswith("//")
+    other_host = F.regexp_replace(F.regexp_extract(rest, r"^//([^/?#]*)", 1), r"^.*@", "")
+    other_ok = ~slashes | (scheme == "file") | ((other_host == "") | other_host.rlike(r'^(?:[^\x00\x09\x0A\x0D #/:<>?@\[\\\]^|]*|\[[0-9A-Fa-f:.]+\])(?::[0-9]{0,5})?\z'))
+    return F.when(scheme == "", F.lit(False)).when(special, special_ok).otherwise(other_ok)
+
+
+def _host_and_port(host: Column, host_port: Column, bracketed: Column) -> Column:
+    """Whether the host, in ASCII, and the port of a web address are some."""
     port = F.regexp_extract(host_port, r"(?:^|\]|[^:]):([0-9]*)\z", 1)
     port_ok = (port == "") | (F.regexp_replace(port, "^0+", "").rlike(r"^(?:|[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])\z"))
     last = F.regexp_extract(host, r"([^.]*)\.?\z", 1)
     numeric = last.rlike(r"^(?:[0-9]+|0[xX][0-9A-Fa-f]*)\z")
     numbers_ok = ~numeric | host.rlike(rf"^(?:{IPV4}|[0-9]{{1,9}}|0[xX][0-9A-Fa-f]{{0,8}}|(?:{_OCTET}\.){{1,2}}{_OCTET})\.?\z")
     plain = (host != "") & ~host.rlike(r'[\x00-\x20"#%/:<>?@\[\\\]^`{|}\x7F]') & numbers_ok
-    special_ok = F.when(bracketed, (host != "") & host.rlike(f"^(?:{ipv6_pattern()})" + END)).otherwise(plain) & port_ok
-    slashes = rest.startswith("//")
-    other_host = F.regexp_replace(F.regexp_extract(rest, r"^//([^/?#]*)", 1), r"^.*@", "")
-    other_ok = ~slashes | (scheme == "file") | ((other_host == "") | other_host.rlike(r'^(?:[^\x00\x09\x0A\x0D #/:<>?@\[\\\]^|]*|\[[0-9A-Fa-f:.]+\])(?::[0-9]{0,5})?\z'))
-    return F.when(scheme == "", F.lit(False)).when(special, special_ok).otherwise(other_ok)
+    return F.when(bracketed, (host != "") & host.rlike(f"^(?:{ipv6_pattern()})" + END)).otherwise(plain) & port_ok
+
+
+def _letter(codes: Column) -> Column:
+    """Code points as text."""
+    return F.array_join(F.transform(codes, lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")), "")
+
+
+def punycode(label: Column) -> Column:
+    """What follows "xn--" in a label as the letters that it stands for, null where it stands for none.
+
+    Fixed values: base 36, t from 1 to 26, skew 38, damp 700, first bias 72, first code point 128.
+    """
+    low = F.lower(label)
+    plain = F.when(low.contains("-"), F.regexp_extract(low, r"^(.*)-[^-]*\z", 1)).otherwise("")
+    rest = F.regexp_extract(low, r"([^-]*)\z", 1)
+    start = F.struct(
+        F.lit(128).cast("long").alias("n"), F.lit(0).cast("long").alias("i"), F.lit(72).cast("long").alias("bias"), F.lit(0).cast("long").alias("old"),
+        F.lit(1).cast("long").alias("w"), F.lit(36).cast("long").alias("k"), F.when(plain == "", F.array().cast("array<long>")).otherwise(F.transform(F.split(plain, ""), lambda c: F.ascii(c).cast("long"))).alias("out"),
+        F.lit(True).alias("ok"),
+    )
+
+    def adapted(delta: Column, points: Column, first: Column) -> Column:
+        halved = F.when(first, F.floor(delta / 700)).otherwise(F.floor(delta / 2))
+        start = F.struct((halved + F.floor(halved / points)).alias("d"), F.lit(0).cast("long").alias("k"))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, lambda a, _: F.when(a["d"] > 455, F.struct(F.floor(a["d"] / 35).alias("d"), (a["k"] + 36).alias("k"))).otherwise(a))
+        return F.aggregate(F.array(end), F.lit(0).cast("long"), lambda _, a: a["k"] + F.floor(36 * a["d"] / (a["d"] + 38)))
+
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        digit = F.when(code.between(97, 122), code - 97).when(code.between(48, 57), code - 22)
+        i = a["i"] + digit * a["w"]
+        t = F.when(a["k"] <= a["bias"], 1).when(a["k"] >= a["bias"] + 26, 26).otherwise(a["k"] - a["bias"])
+        size = F.size(a["out"]) + 1
+        at = i % size
+        done = F.struct(
+            (a["n"] + F.floor(i / size)).alias("n"), (at + 1).alias("i"), adapted(i - a["old"], size, a["old"] == 0).alias("bias"), (at + 1).alias("old"), F.lit(1).cast("long").alias("w"), F.lit(36).cast("long").alias("k"),
+            F.concat(F.slice(a["out"], F.lit(1), at.cast("int")), F.array(a["n"] + F.floor(i / size)), F.slice(a["out"], at.cast("int") + 1, size)).alias("out"), (a["n"] + F.floor(i / size) <= 0x10FFFF).alias("ok"),
+        )
+        on = F.struct(a["n"], i.alias("i"), a["bias"], a["old"], (a["w"] * (36 - t)).alias("w"), (a["k"] + 36).alias("k"), a["out"], (a["w"] < 1 << 40).alias("ok"))
+        return F.when(~a["ok"] | digit.isNull(), a.withField("ok", F.lit(False))).when(digit < t, done).otherwise(on)
+
+    end = F.aggregate(F.split(rest, ""), start, step, lambda a: F.when(a["ok"] & (a["w"] == 1), a["out"]))
+    return F.when((rest != "") & (F.length(rest) < 64), _letter(end))
+
+
+def ascii_host(host: Column) -> Column:
+    """A host as ASCII, null where it has no such form: percent signs decoded, letters mapped, labels as Punycode.
+
+    Labels that are Punycode already have to stand for letters that stay as they are
+    when they are mapped. The mapping is the JVM's (of IDNA 2003, letters assigned later let through).
+    """
+    decoded = F.when(host.contains("%"), F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B")))).otherwise(host)
+    mapped = lambda label: F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), label, F.lit(1))
+
+    def one(label: Column) -> Column:
+        fine = lambda letters: letters.rlike(r"[^\x00-\x7F]") & (F.lower(letters) == letters) & mapped(letters).isNotNull()
+        return F.when(F.lower(label).startswith("xn--"), F.when(let(punycode(F.substring(label, 5, 1 << 20)), fine), label)).when(label.rlike(r"^[\x00-\x7F]*\z"), label).otherwise(mapped(label))
+
+    labels = F.transform(F.split(decoded, r"[.\x{3002}\x{FF0E}\x{FF61}]"), one)
+    return F.when(~F.exists(labels, lambda x: x.isNull()), F.array_join(labels, "."))
 
 
 def iso_timestamp(text: Column) -> Column:
@@ -204,4 +279,20 @@ def java_pattern(pattern: str, flags: str = "") -> str:
         else:
             out += c
         i += 1
-    return ("(?iu)" if "i" in flags else "") + out
+    if "i" not in flags:
+        return out
+    # without u no letter beyond ASCII is the same as one of ASCII: not the Kelvin sign as k, nor the dotless i as i
+    return ("(?i)" if "u" not in flags and pattern.isascii() and not re.search(r"\\[ux]", pattern) else "(?iu)") + out
+
+
+def compiled(java: str) -> str:
+    """The pattern, if Java takes it; ValueError otherwise. Without a running JVM it is only looked through for unbounded lookbehind."""
+    context = SparkContext._active_spark_context
+    if context is not None and context._jvm is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        except (IllegalArgumentException, Py4JJavaError) as error:
+            raise ValueError(f"no pattern for rows: {error}") from None
+    elif re.search(r"\(\?<[=!](?:[^()\\]|\\.)*[*+]", java):
+        raise ValueError("no pattern for rows: it looks behind without a bound")
+    return java

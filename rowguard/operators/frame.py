@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 from ..functions.checks import Check, Validator, is_type, matches_type
 from ..functions.logic import column, negated
 from ..functions.registry import DEFAULT, TypeRegistry
-from ..functions.text import first_of, json_array, json_value
+from ..functions.text import first_of, json_array, json_value, let
 from ..functions.values import Row, Typed, Value, Variant, value
 from ..plans.compile import Findings, compile_schema
 from .lookup import entries, lifted
-from .taking import is_json_text, let, taken_out, within
+from .taking import is_json_text, taken_out, within
 
 log = logging.getLogger("rowguard")
 

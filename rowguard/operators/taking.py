@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_of, is_whole, json_array
+from ..functions.text import first_of, is_whole, json_array, let
 from ..functions.values import Typed, Value, Variant, kind_code, kind_code_of_json
 
 Keys = tuple[str, ...]
@@ -135,11 +135,6 @@ def taken_out(frame: DataFrame, schema: dict, own: Value, name: str, flat: bool
     return rows, plan.value(F.col)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def within(own: Value, schema: dict, body: Callable[[Variant], Column], flat: bool = False, rooted: bool = False) -> Column:
     """`body` of the value that is made of what the schema names in `own`, all in one column."""
     plan = Plan(schema, own, "v", flat, rooted)

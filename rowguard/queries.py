@@ -138,6 +138,19 @@ def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", *own)
 
 
+_GUARDS = {"string": "a string", "number": "a number", "boolean": "a boolean", "array": "an array", "object": "a non-array object"}
+
+
+@query("SELECT event_id, " + ", ".join(
+    f"CASE WHEN NOT ({_IS[b]}) THEN 'None of the types matched for ' || t || ': ' || t || ' must be {what}, is ' || " + ("CASE WHEN json_type(v) = 'ARRAY' THEN 'array' ELSE o END" if b == "object" else "o") + f" END AS not_{b}" for b, what in _GUARDS.items()
+) + f" FROM (SELECT event_id, v, {_V_TEXT} AS t, {_V_TYPEOF} AS o FROM (SELECT event_id, CAST({_JSON} AS JSON) AS v FROM events))")
+def guard_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What as_string and the like would fail with, on values of every kind."""
+    rows = _values(spark, sf_dir)
+    checks = {"string": c.as_string, "number": c.as_number, "boolean": c.as_boolean, "array": c.as_array, "object": c.as_object}
+    return rows.select("event_id", *[fr.apply(rows, "v", check)["message"].alias(f"not_{b}") for b, check in checks.items()])
+
+
 @query("""SELECT c_custkey, n IS NOT NULL AS is_instance, CASE WHEN n IS NULL THEN 'null must be an instance of StringType.' END AS instance_message, false AS is_promise, coalesce(n, 'null') || ' must be a Promise.' AS promise_message
     FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS n FROM customer)""")
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,15 +171,26 @@ def assert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(seen.get["failed"], n)], "failed long, rows long")
 
 
-@query("SELECT name, base FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for b, own in BASES.items() for a in own if b != "dom") + ", ('even', NULL)) AS t(name, base)")
+_REGISTERED = ", ".join(f"('{a}', '{b}')" for b, own in BASES.items() for a in own if b != "dom") + ", ('even', NULL)"
+
+
+@query(f"""SELECT name, base, CASE WHEN name = 'even' THEN (SELECT count(*) FROM customer WHERE c_acctbal % 2 = 0) WHEN base = 'number' THEN (SELECT count(*) FROM customer) ELSE 0 END AS balances,
+      CASE WHEN base IN ('string') THEN (SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0) WHEN base IN ('null') THEN (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0)
+        WHEN base = 'object' THEN (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) ELSE 0 END AS names
+    FROM (VALUES {_REGISTERED}) AS t(name, base)""")
 def registry_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The types after some are removed, one is added and the list has gone out and in as JSON."""
+    """The types after some are removed, one is added and the list has gone out and in as JSON, and how many customers' balances and names are of each."""
     registry = TypeRegistry()
     for name in ("dom", " DomEl ", "domelement"):
         registry.unregister(name)
-    registry.register("Even", c.is_integer)
+    registry.register("Even", lambda v: c.Check(F.coalesce(v.number() % 2 == 0, F.lit(False)) if v.is_kind("number") is not False else False, "must be even", v))
     registry.import_types(registry.export_types())
-    return registry.to_df(spark)
+    rows = table(spark, sf_dir, "customer").select("c_acctbal", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"))
+    types = registry.list_types()
+    each = lambda column: [F.count_if(fr.is_(rows, column, t, registry)).alias(f"{column}{i}") for i, t in enumerate(types)]
+    counts = rows.agg(*each("c_acctbal"), *each("name"))
+    found = F.explode(F.array(*[F.struct(F.lit(t).alias("name"), F.lit(b if isinstance(b := registry.resolve(t), str) else None).cast("string").alias("base"), F.col(f"c_acctbal{i}").alias("balances"), F.col(f"name{i}").alias("names")) for i, t in enumerate(types)]))
+    return counts.select(found.alias("one")).select("one.*")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events")
@@ -183,10 +207,10 @@ def _no_tenths(x) -> None:
         raise ValueError(f"{x} has tenths")
 
 
-@query("SELECT l_orderkey, l_linenumber, q = round(q) AS ok, CASE WHEN q <> round(q) THEN CAST(q AS VARCHAR) || ' has tenths' END AS message FROM (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_linenumber = 2 THEN 0.5 ELSE 0 END AS q FROM lineitem WHERE l_linenumber < 4)")
+@query("SELECT l_orderkey, l_linenumber, q = round(q) AS ok, CASE WHEN q <> round(q) THEN CAST(q AS VARCHAR) || ' has tenths' END AS message FROM (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_linenumber = 2 THEN 0.5 ELSE 0 END AS q FROM lineitem)")
 def python_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A validator that is a Python function."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber < 4").select(*_LINE, (F.col("l_quantity") + F.when(F.col("l_linenumber") == 2, 0.5).otherwise(0.0)).alias("q"))
+    rows = table(spark, sf_dir, "lineitem").select(*_LINE, (F.col("l_quantity") + F.when(F.col("l_linenumber") == 2, 0.5).otherwise(0.0)).alias("q"))
     return checked(rows, _LINE, "q", c.python_validator(_no_tenths))
 
 
@@ -269,6 +293,24 @@ _on_tokens(
 )
 
 
+_PHONE_SHAPE = r"regexp_full_match(v, '(\+?[1-9][0-9]{0,3})?[\s\-.]?(\(?[0-9]{1,4}\)?[\s\-.]?)?[0-9\s\-.()]{6,}')"
+_DIGITS = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
+_PHONE_OK = f"({_PHONE_SHAPE} AND {_DIGITS} BETWEEN 7 AND 15 AND NOT contains(v, '..') AND NOT contains(v, '--'))"
+_SAID_OF_ALL = "md5(coalesce(string_agg({0}, chr(10) ORDER BY {0}), ''))"
+
+
+@query(rf"""SELECT doc_id, {_SAID_OF_ALL.format('email')} AS email, {_SAID_OF_ALL.format('ipv4')} AS ipv4, {_SAID_OF_ALL.format('phone')} AS phone FROM (
+      SELECT doc_id, CASE WHEN NOT regexp_full_match(v, '[^\s@]+@[^\s@]+\.[^\s@]+') THEN v || ' must be a valid email address.' END AS email, CASE WHEN NOT {_IPV4_SQL} THEN v || ' must be a valid IPv4 address.' END AS ipv4,
+        CASE WHEN NOT {_PHONE_OK} THEN CASE WHEN {_PHONE_SHAPE} AND regexp_matches(v, '[0-9+]') AND NOT {_DIGITS} BETWEEN 7 AND 15 THEN v || ' must be a valid phone number with 7-15 digits.' ELSE v || ' must be a valid phone number.' END END AS phone
+      FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, ' |\n')) AS v FROM documents)) GROUP BY doc_id""")
+def str_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is said of the words of each document that are no address or number."""
+    rows = _tokens(spark, sf_dir)
+    says = {n: fr.apply(rows, "v", validator)["message"] for n, validator in (("email", c.is_email), ("ipv4", c.is_ipv4), ("phone", c.is_phone_number))}
+    all_of = lambda n: F.md5(F.array_join(F.array_sort(F.collect_list(n)), "\n")).alias(n)
+    return rows.select("doc_id", *[m.alias(n) for n, m in says.items()]).groupBy("doc_id").agg(*[all_of(n) for n in says])
+
+
 def _on_events(name: str, source: str, validator: c.Validator, ok: str, says: str | None = None) -> None:
     """Strings made from the numbers of events."""
 
@@ -611,4 +653,27 @@ def valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.valid_rows(rows, schema).select("o_orderkey", "o_custkey")
 
 
+def _shipping(quantity, flag):
+    """Text for large orders, an error for some flags: what a guard is for."""
+    if flag == "R":
+        raise ValueError("returned")
+    return f"{quantity:.0f} by ship" if quantity > 40 else None if quantity < 3 else quantity * 0.5
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN e IS NULL THEN q * 0.5 END AS value, e AS error FROM (SELECT *, CASE
+      WHEN q IS NULL THEN 'None of the types matched for null: null must be a number, is object' WHEN f = 'R' THEN 'returned'
+      WHEN q > 40 THEN 'Return type mismatch: None of the types matched for ' || CAST(q AS INT) || ' by ship: ' || CAST(q AS INT) || ' by ship must be a number, is string'
+      WHEN q < 3 THEN 'Return type mismatch: None of the types matched for null: null must be a number, is object' END AS e
+    FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 6 THEN l_quantity END AS q, l_returnflag AS f FROM lineitem))""")
+def expect_python_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function with a signature: arguments that fail never reach it, results that fail and what it raises are told."""
+    from .operators.guard import expect_python
+
+    rows = table(spark, sf_dir, "lineitem").select(*_LINE, F.when(F.col("l_linenumber") != 6, F.col("l_quantity")).alias("q"), F.col("l_returnflag").alias("f"))
+    priced = expect_python(_shipping, {"paramTypes": ["number", "string"], "returnType": "number"}, "double", report=True)
+    return rows.select(*_LINE, priced(rows, "q", "f").alias("found")).select(*_LINE, "found.value", "found.error")
+
 
+_HOST = """CASE event_id % 10 WHEN 0 THEN concat('https://bücher', event_id, '.de/') WHEN 1 THEN concat('http://日本', event_id, '.jp') WHEN 2 THEN concat('http://a%zz', event_id, '/') WHEN 3 THEN concat('http://h%4', event_id % 9 + 1, '.org/x')
+    WHEN 4 THEN concat('http://ｗｗｗ.h', event_id, '.org') WHEN 5 THEN 'http://xn--bcher-kva.de/' WHEN 6 THEN 'http://xn--/' WHEN 7 THEN concat('http://a％', event_id, '/') WHEN 8 THEN concat('http://xn--a.', event_id, 'h/') ELSE concat('http://１０.0.0.', event_id % 300, '/') END"""
+_on_events("str_url_hosts", _HOST, c.is_url, "CASE event_id % 10 WHEN 2 THEN false WHEN 6 THEN false WHEN 7 THEN false WHEN 8 THEN false WHEN 9 THEN event_id % 300 < 256 ELSE true END", " must be a valid URL.")
