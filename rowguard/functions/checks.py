@@ -7,7 +7,6 @@ on rows that fail. Validators that take options return the validator.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,16 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .logic import Text, Truth, both, cases, column, either, joined, negated
+from .logic import Text, Truth, both, cases, column, either, joined, negated, said
 from .registry import DEFAULT, TypeRegistry
 from .values import Typed, Value
 
 
-@dataclass
 class Check:
-    ok: Truth
-    message: Text
-    value: Value | Column
+    """Whether a value passes, what is said if not, and the value. A message given as a function is only built where it is asked for."""
+
+    def __init__(self, ok: Truth, message: Text | Callable[[], Text], value: Value | Column):
+        self.ok, self._message, self.value = ok, message, value
+
+    @property
+    def message(self) -> Text:
+        self._message = said(self._message)
+        return self._message
 
     def column(self) -> Column:
         """struct(ok, message), the message null where ok."""
@@ -73,7 +77,7 @@ def of_type(name: str, v: Value, registry: TypeRegistry = DEFAULT) -> Check:
     """One registered type, with the type's own message."""
     found = registry.resolve(name)
     if isinstance(found, str):
-        return Check(v.is_base(found), base_message(found, v), v)
+        return Check(v.is_base(found), lambda: base_message(found, v), v)
     return found(v)
 
 
@@ -91,8 +95,8 @@ def matches_type(types: str | list[str], v: Value, registry: TypeRegistry = DEFA
 def is_type(types: str | list[str], v: Value, registry: TypeRegistry = DEFAULT) -> Check:
     names = [types] if isinstance(types, str) else types
     found = [of_type(n, v, registry) for n in names]
-    says = [p for c in found for p in (", ", c.message)][1:]
-    return Check(either(*[c.ok for c in found]), joined("None of the types matched for ", v.text(), ": ", *says), v)
+    says = lambda: joined("None of the types matched for ", v.text(), ": ", *[p for c in found for p in (", ", c.message)][1:])
+    return Check(either(*[c.ok for c in found]), says, v)
 
 
 def type_check(types: str | list[str], registry: TypeRegistry = DEFAULT) -> Validator:
@@ -109,9 +113,9 @@ as_string, as_number, as_boolean, as_array, as_object = map(_guard, ("string", "
 def _then(first: Check, v: Value, test: Callable[[], Truth], message: Callable[[], Text], value: Value | Column | None = None) -> Check:
     """`test` where `first` holds, with its own message there."""
     if first.ok is False:
-        return Check(False, first.message, v)
+        return Check(False, lambda: first.message, v)
     ok = test()
-    own = cases((negated(first.ok), first.message), otherwise=message())
+    own = lambda: cases((negated(first.ok), first.message), otherwise=message())
     return Check(both(first.ok, ok if isinstance(ok, bool) else F.coalesce(ok, F.lit(False))), own, v if value is None else value)
 
 
@@ -126,10 +130,9 @@ def _number(says: Callable[[Value], Text] | str, test: Callable[[Value, Column],
     def run(v: Value) -> Check:
         first = as_number(v)
         if first.ok is False:
-            return Check(False, first.message, v)
-        message = says if isinstance(says, str) else says(v)
+            return Check(False, lambda: first.message, v)
         ok = test(v, v.number())
-        own = cases((negated(first.ok), first.message), otherwise=joined(v.text(), message))
+        own = lambda: cases((negated(first.ok), first.message), otherwise=joined(v.text(), says if isinstance(says, str) else says(v)))
         return Check(both(first.ok, ok if isinstance(v, Typed) and type(v) is Typed else column(F.coalesce(column(ok), F.lit(False)))), own, v)
 
     return run
@@ -182,7 +185,7 @@ def is_phone_number(v: Value) -> Check:
     shaped = s.rlike(tx.PHONE) & s.rlike("[0-9+]")
     counted = digits.between(7, 15)
     plain = ~s.contains("..") & ~s.contains("--") & ~s.contains("  ")
-    says = cases((negated(first.ok), first.message), (shaped & ~counted, joined(v.text(), " must be a valid phone number with 7-15 digits.")), otherwise=joined(v.text(), " must be a valid phone number."))
+    says = lambda: cases((negated(first.ok), first.message), (shaped & ~counted, joined(v.text(), " must be a valid phone number with 7-15 digits.")), otherwise=joined(v.text(), " must be a valid phone number."))
     return Check(both(first.ok, F.coalesce(shaped & counted & plain, F.lit(False))), says, v)
 
 
@@ -220,7 +223,7 @@ def array_of(types: str | list[str], registry: TypeRegistry = DEFAULT) -> Valida
     def run(v: Value) -> Check:
         first = as_array(v)
         if first.ok is False:
-            return Check(False, first.message, v)
+            return Check(False, lambda: first.message, v)
         wrong = v.each(lambda x, i: F.when(column(negated(matches_type(types, x, registry))), column(is_type(types, x, registry).message)))
         bad = F.filter(wrong, lambda m: m.isNotNull())
         return _then(first, v, lambda: F.size(bad) == 0, lambda: F.try_element_at(bad, F.lit(1)))
@@ -247,7 +250,7 @@ def one_of(values: list) -> Validator:
             nan = [x for x in own if x != x]
             isin = c.isin(*[x for x in own if x == x])
             tests.append(both(is_kind, F.coalesce(isin | F.isnan(c.cast("double")) if nan else isin, F.lit(False))))
-        return Check(either(*tests), joined(v.text(), f" must be one of [{shown}], is ", v.text()), v)
+        return Check(either(*tests), lambda: joined(v.text(), f" must be one of [{shown}], is ", v.text()), v)
 
     return run
 
@@ -271,7 +274,7 @@ def has_length(least: int | None = None, most: int | None = None) -> Validator:
         short: Truth = False if least is None else F.coalesce(size < least, F.lit(False))
         long: Truth = False if most is None else F.coalesce(size > most, F.lit(False))
         kinds = either(string, array)
-        says = cases(
+        says = lambda: cases(
             (negated(kinds), joined(v.text(), " must be a string or array, is ", v.kind_name())),
             (short, joined(f"length must be >= {least}, is ", size.cast("string"))),
             otherwise=joined(f"length must be <= {most}, is ", size.cast("string")),
@@ -292,7 +295,7 @@ def _emptiness(empty: bool) -> Validator:
         string = sized("string", lambda: tx.is_blank(v.string()))
         rest = {k: sized(k, lambda: v.size() == 0) for k in ("array", "map", "set", "object")}
         names = {"array": "array", "map": "Map", "set": "Set"}
-        message = cases(
+        message = lambda: cases(
             (string[0], f"string {want}"),
             *[(rest[k][0], f"{n} {want}") for k, n in names.items()],
             (rest["object"][0], f"object {says}"),
@@ -309,13 +312,13 @@ is_empty, is_non_empty = _emptiness(True), _emptiness(False)
 def is_plain_object(v: Value) -> Check:
     """A struct or a JSON object; maps, dates and binaries are instances of classes, arrays too."""
     instance = either(v.is_nested(), v.is_kind("array"))
-    says = cases((instance, joined(v.text(), " must be a plain object (no class instances).")), (v.null(), "null must be a plain object, is null"), otherwise=joined(v.text(), " must be a plain object, is ", v.typeof()))
+    says = lambda: cases((instance, joined(v.text(), " must be a plain object (no class instances).")), (v.null(), "null must be a plain object, is null"), otherwise=joined(v.text(), " must be a plain object, is ", v.typeof()))
     return Check(v.is_kind("object"), says, v)
 
 
 def is_promise(v: Value) -> Check:
     """No data is a promise."""
-    return Check(False, joined(v.text(), " must be a Promise."), v)
+    return Check(False, lambda: joined(v.text(), " must be a Promise."), v)
 
 
 def is_instance_of(data_type: type[T.DataType]) -> Validator:
@@ -323,7 +326,7 @@ def is_instance_of(data_type: type[T.DataType]) -> Validator:
 
     def run(v: Value) -> Check:
         own = isinstance(v, Typed) and isinstance(v.type, data_type)
-        return Check(v.column.isNotNull() if own else False, joined(v.text(), f" must be an instance of {data_type.__name__}."), v)
+        return Check(v.column.isNotNull() if own else False, lambda: joined(v.text(), f" must be an instance of {data_type.__name__}."), v)
 
     return run
 
@@ -334,7 +337,7 @@ def is_instance_of(data_type: type[T.DataType]) -> Validator:
 def nullable(validator: Validator) -> Validator:
     def run(v: Value) -> Check:
         inner = validator(v)
-        return Check(either(v.null(), inner.ok), inner.message, inner.value)
+        return Check(either(v.null(), inner.ok), lambda: inner.message, inner.value)
 
     return run
 
@@ -342,7 +345,7 @@ def nullable(validator: Validator) -> Validator:
 def optional(validator: Validator) -> Validator:
     def run(v: Value) -> Check:
         inner = validator(v)
-        return Check(either(v.missing(), inner.ok), inner.message, inner.value)
+        return Check(either(v.missing(), inner.ok), lambda: inner.message, inner.value)
 
     return run
 
@@ -352,13 +355,13 @@ def union_of(*validators: Validator) -> Validator:
 
     def run(v: Value) -> Check:
         found = [validator(v) for validator in validators]
-        says = [p for c in found for p in (", ", c.message)][1:]
+        says = lambda: joined("Value did not match any union variant: ", *[p for c in found for p in (", ", c.message)][1:])
         value: Value | Column = v
         if any(not isinstance(c.value, Value) for c in found):
             value = F.lit(None)
             for c in reversed(found):
                 value = F.when(column(c.ok), c.value_column()).otherwise(value)
-        return Check(either(*[c.ok for c in found]), joined("Value did not match any union variant: ", *says), value)
+        return Check(either(*[c.ok for c in found]), says, value)
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def negated(part: Truth) -> Truth:
     return not part if isinstance(part, bool) else ~part
 
 
+def said(text: Text | Callable[[], Text]) -> Text:
+    """The text, built now if it has not been."""
+    return text if isinstance(text, (str, Column)) else text()
+
+
 def column(part: Truth | Text) -> Column:
     return part if isinstance(part, Column) else F.lit(part)
 

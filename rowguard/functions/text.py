@@ -68,8 +68,12 @@ def json_value(text: Column) -> Column:
     return first_of(json_array(text))
 
 
+#: How JSON begins: most text that is none does not, and Spark's parser is slow to refuse.
+JSON_START = r"^[ \t\n\r]*(?:[\[{\"\-0-9]|true|false|null)"
+
+
 def is_json(text: Column) -> Column:
-    return is_whole(json_array(text))
+    return F.when(text.rlike(JSON_START), let(json_array(text), is_whole)).otherwise(F.lit(False))
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"

@@ -9,6 +9,7 @@ not have is `Absent`, which is what the reference calls undefined.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ def kind_of(data_type: T.DataType, tag: str | None = None) -> str:
     return "null" if isinstance(data_type, T.NullType) else "object"
 
 
+def once(method: Callable) -> Callable:
+    """A method of a value without arguments whose result the value keeps."""
+
+    @wraps(method)
+    def ask(self):
+        kept = self.__dict__.setdefault("_kept", {})
+        if method not in kept:
+            kept[method] = method(self)
+        return kept[method]
+
+    return ask
+
+
 class Value:
     """What validators ask of a value. Truths are total: never null."""
 
@@ -72,15 +86,18 @@ class Value:
             return False if text is False else both(text, is_json(self.string()))
         return self.is_kind(base)
 
+    @once
     def is_nested(self) -> Truth:
         """An object that is not null and no array."""
         return either(*[self.is_kind(k) for k in OBJECTS])
 
+    @once
     def kind_name(self) -> Text:
         """The name of the kind in structural messages."""
         known = [(self.missing(), "undefined"), (self.null(), "null"), *[(self.is_kind(k), k) for k in ("array", "date", "map", "set", "string", "number", "boolean", "bigint")]]
         return cases(*known, otherwise="object")
 
+    @once
     def typeof(self) -> Text:
         known = [(self.missing(), "undefined"), *[(self.is_kind(k), k) for k in ("string", "number", "boolean", "bigint")]]
         return cases(*known, otherwise="object")
@@ -109,6 +126,7 @@ class Value:
         """`per`(element, index) for all elements of an array. `places` of the elements will be asked for."""
         raise NotImplementedError
 
+    @once
     def text(self) -> Text:
         """The value as it reads inside a message."""
         raise NotImplementedError
@@ -121,9 +139,11 @@ class Absent(Value):
     def column(self) -> Column:
         return F.lit(None)
 
+    @once
     def missing(self) -> Truth:
         return True
 
+    @once
     def null(self) -> Truth:
         return False
 
@@ -148,6 +168,7 @@ class Absent(Value):
     def each(self, per, places=()) -> Column:
         return F.array().cast("array<string>")
 
+    @once
     def text(self) -> Text:
         return "undefined"
 
@@ -156,9 +177,11 @@ class Typed(Value):
     def __init__(self, column: Column, data_type: T.DataType, tag: str | None = None):
         self.column, self.type, self.kind = column, data_type, kind_of(data_type, tag)
 
+    @once
     def missing(self) -> Truth:
         return False
 
+    @once
     def null(self) -> Truth:
         return True if self.kind == "null" else self.column.isNull()
 
@@ -202,6 +225,7 @@ class Typed(Value):
     def each(self, per, places=()) -> Column:
         return F.transform(self.column, lambda x, i: per(value_of(x, self.type.elementType), i))
 
+    @once
     def text(self) -> Text:
         return cases((self.null(), "null"), otherwise=self._text())
 
@@ -228,9 +252,11 @@ class Entry(Typed):
         self.there = F.coalesce(F.map_contains_key(of, F.lit(key)), F.lit(False))
         self.inner = Variant(self.column) if isinstance(data_type, T.VariantType) else None
 
+    @once
     def missing(self) -> Truth:
         return ~self.there
 
+    @once
     def null(self) -> Truth:
         return both(self.there, either(self.column.isNull(), self.inner.null() if self.inner else False))
 
@@ -258,6 +284,7 @@ class Entry(Typed):
     def each(self, per, places=()) -> Column:
         return self.inner.each(per, places) if self.inner else super().each(per, places)
 
+    @once
     def text(self) -> Text:
         return cases((self.missing(), "undefined"), (self.null(), "null"), otherwise=self.inner.text() if self.inner else self._text())
 
@@ -340,15 +367,19 @@ class Variant(Value):
         table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
         return F.coalesce(F.try_element_at(table, self.raw_kind), F.when(self.raw_kind.isNull(), "undefined").otherwise("object"))
 
+    @once
     def kind_name(self) -> Text:
         return self._named(self.NAMES)
 
+    @once
     def typeof(self) -> Text:
         return self._named(self.TYPEOF)
 
+    @once
     def missing(self) -> Truth:
         return self.column.isNull()
 
+    @once
     def null(self) -> Truth:
         return F.coalesce(self.raw_kind == "VOID", F.lit(False))
 
@@ -356,6 +387,7 @@ class Variant(Value):
         names = self.KINDS.get(kind)
         return False if names is None else F.coalesce(self.raw_kind.isin(*names), F.lit(False))
 
+    @once
     def is_nested(self) -> Truth:
         return F.coalesce(self.raw_kind.isin("OBJE", "DATE", "TIME", "BINA"), F.lit(False))
 
@@ -399,6 +431,7 @@ class Variant(Value):
         below = lambda s: {p: (s[n], s["k" + n]) for p, n in zip(known, names)}
         return F.transform(kinds, lambda s, i: per(Variant(s["v0"], kind=s["kv0"], taken=below(s)), i))
 
+    @once
     def text(self) -> Text:
         plain = F.when(self.is_kind("number"), number_text(self.number(), True)).otherwise(self.string())
         one = lambda v: F.when(either(v.null(), v.missing()), "").when(v.is_kind("object"), "[object Object]").when(v.is_kind("number"), number_text(v.number(), True)).otherwise(v.string())
@@ -412,9 +445,11 @@ class Row(Value):
     def __init__(self, frame: DataFrame, names: Sequence[str] | None = None):
         self.fields = {f.name: f for f in frame.schema.fields if names is None or f.name in names}
 
+    @once
     def missing(self) -> Truth:
         return False
 
+    @once
     def null(self) -> Truth:
         return False
 
@@ -431,6 +466,7 @@ class Row(Value):
     def size(self) -> Column:
         return F.lit(len(self.fields))
 
+    @once
     def text(self) -> Text:
         return "[object Object]"
 

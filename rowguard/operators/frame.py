@@ -227,6 +227,17 @@ def is_(frame: DataFrame, source: str, types: str | list[str], registry: TypeReg
     return column(matches_type(types, value(frame, source), registry))
 
 
+def with_types(frame: DataFrame, source: str, tests: dict[str, str | list[str]], registry: TypeRegistry = DEFAULT) -> DataFrame:
+    """The rows with a column for each test, by name: whether the value is of any of its types. The kind of a VARIANT is found out once."""
+    own = value(frame, source)
+    if not isinstance(own, Variant):
+        return frame.select("*", *[column(matches_type(types, own, registry)).alias(n) for n, types in tests.items()])
+    name = _fresh("_kind", frame)
+    rows = frame.select("*", own.raw_kind.alias(name))
+    known = Variant(own.column, kind=F.col(name))
+    return rows.select(*frame.columns, *[column(matches_type(types, known, registry)).alias(n) for n, types in tests.items()])
+
+
 def as_type(frame: DataFrame, source: str, types: str | list[str], registry: TypeRegistry = DEFAULT) -> Column:
     """The value, or the query fails with the message of `is_type`."""
     own = value(frame, source)

@@ -49,7 +49,7 @@ class InTable:
 
     def check(self, v: Value, known: Column) -> Check:
         ok = either(known, v.null() if self.nullable else False, v.missing() if self.optional else False)
-        return Check(ok, joined(v.text(), " must be one of the table's values, is ", v.text()), v)
+        return Check(ok, lambda: joined(v.text(), " must be one of the table's values, is ", v.text()), v)
 
     def __call__(self, v: Value) -> Check:
         raise TypeError("membership in a table is a join: use with_validation, valid_rows, invalid_rows, errors_in or error_report")

@@ -13,13 +13,14 @@ names are reported and in "?" within arrays; "flat" has no nesting at all.
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.checks import matches_type, of_type
-from ..functions.logic import Text, Truth, both, column, either, joined, negated
+from ..functions.logic import Text, Truth, both, column, either, joined, negated, said
 from ..functions.registry import DEFAULT, TypeRegistry
 from ..functions.values import Value
 from .schema import Same, frozen, has_required, kind_of_definition, places, type_names
@@ -31,10 +32,10 @@ _NONE = "array<string>"
 class Findings:
     """What may be wrong, in order: a condition with a message, a column of messages, or more findings."""
 
-    items: list[tuple[Truth, Text | Column | Findings, str]] = field(default_factory=list)
+    items: list[tuple[Truth, Text | Column | Callable | Findings, str]] = field(default_factory=list)
     of: Value | None = None  # the value that was looked at, for the outermost ones
 
-    def add(self, bad: Truth, message: Text) -> None:
+    def add(self, bad: Truth, message: Text | Callable[[], Text]) -> None:
         if bad is not False:
             self.items.append((bad, message, "one"))
 
@@ -48,7 +49,7 @@ class Findings:
         elif there is not False and inner.items:
             self.items.append((there, inner, "group"))
 
-    def nest(self, nested: Truth, message: Text, inner: Findings, told: bool) -> None:
+    def nest(self, nested: Truth, message: Callable[[], Text], inner: Findings, told: bool) -> None:
         """What is wrong where there is no object, and what within one. `told`: where there is none, `inner` finds something missing anyway."""
         if told and nested is not False:
             self.items += [(negated(nested), message, "told"), (nested, inner, "implied")]
@@ -59,7 +60,7 @@ class Findings:
     def errors(self) -> Column:
         parts = []
         for test, what, kind in self.items:
-            own = F.array(column(what)) if kind in ("one", "told") else F.coalesce(what, F.array().cast(_NONE)) if kind == "all" else what.errors()
+            own = F.array(column(said(what))) if kind in ("one", "told") else F.coalesce(what, F.array().cast(_NONE)) if kind == "all" else what.errors()
             parts.append(own if test is True else F.when(test, own).otherwise(F.array().cast(_NONE)))
         return F.array().cast(_NONE) if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
 
@@ -104,7 +105,7 @@ class Compiler:
             return out
         nested = v.is_nested()
         self.object(schema, v, "", inner)
-        out.nest(nested, joined("Invalid object: must be a non-null object, got ", v.kind_name()), inner, v.below_is_missing and has_required(schema))
+        out.nest(nested, lambda: joined("Invalid object: must be a non-null object, got ", v.kind_name()), inner, v.below_is_missing and has_required(schema))
         return out
 
     def object(self, schema: dict, v: Value, path: Text, out: Findings) -> None:
@@ -129,13 +130,13 @@ class Compiler:
             out.add(True, wrong)
             return
         optional = isinstance(definition, str) and definition.endswith("?")
-        missing = v.missing()
-        if not optional:
-            out.add(missing, joined('Missing required key "', path, '"'))
-        present = negated(either(missing, v.null()) if optional else missing)
-        inner = Findings()
+        missing, inner = v.missing(), Findings()
         self.element(definition[:-1] if optional and not self.parse else definition, v, path, inner)
-        out.group(present, inner)
+        if optional:
+            out.group(negated(either(missing, v.null())), inner)
+            return
+        told = isinstance(definition, dict) and v.below_is_missing and has_required(definition)
+        out.nest(negated(missing), lambda: joined('Missing required key "', path, '"'), inner, told)
 
     def definition_error(self, definition, path: Text) -> Text | None:
         """What is wrong with a definition whatever the value."""
@@ -161,7 +162,7 @@ class Compiler:
         """A value that is there, or an element of an array."""
         if callable(definition):
             check = definition(v)
-            out.add(negated(check.ok), joined('Validation failed at "', path, '": ', check.message))
+            out.add(negated(check.ok), lambda: joined('Validation failed at "', path, '": ', check.message))
             return
         wrong, inner = self.definition_error(definition, path), Findings()
         if wrong is not None:
@@ -172,10 +173,10 @@ class Compiler:
             nested = v.is_nested()
             if nested is not False:
                 self.object(definition, v, path, inner)
-            out.nest(nested, joined('Expected "', path, '" to be an object, got ', v.kind_name()), inner, v.below_is_missing and has_required(definition))
+            out.nest(nested, lambda: joined('Expected "', path, '" to be an object, got ', v.kind_name()), inner, v.below_is_missing and has_required(definition))
         else:
             array, own = v.is_kind("array"), definition[0]
-            out.add(negated(array), joined('Expected "', path, '" to be an array, got ', v.kind_name()))
+            out.add(negated(array), lambda: joined('Expected "', path, '" to be an array, got ', v.kind_name()))
             if not isinstance(own, (str, dict)) and not callable(own):
                 inner.add(True, joined('Array element type must be a string at "', path, '"'))
             elif array is not False:
@@ -194,7 +195,7 @@ class Compiler:
             definition = definition[:-1]
         names = type_names(definition)
         wanted = names[0] if len(names) == 1 else f"one of [{', '.join(names)}]"
-        says: Text = joined('Expected "', path, f'" to be {wanted}, got ', v.kind_name())
+        says: Text | Callable[[], Text] = lambda: joined('Expected "', path, f'" to be {wanted}, got ', v.kind_name())
         ok: Truth = False
         for name in names:
             if not self.registry.knows(name):

