@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_of, is_whole, json_array, json_value
-from ..operators.frame import invalid_rows, valid_rows
+from ..operators.frame import with_validation
 
 
 def allow_duplicate_keys(spark: SparkSession) -> None:
@@ -25,6 +25,11 @@ def with_payload(frame: DataFrame, text: str, payload: str = "payload") -> DataF
 
 
 def write_split(frame: DataFrame, schema, path: str, quarantine: str, **how) -> None:
-    """Valid rows to `path`, the others with their errors to `quarantine`, both as Parquet."""
-    valid_rows(frame, schema, **how).write.parquet(path)
-    invalid_rows(frame, schema, **how).write.parquet(quarantine)
+    """Valid rows to `path`, the others with their errors to `quarantine`, both as Parquet. Rows are read and checked once."""
+    flag = "_is_valid"
+    while flag in frame.columns:
+        flag += "_"
+    checked = with_validation(frame, schema, valid=flag, **how).persist()
+    checked.filter(flag).drop(flag, "errors").write.parquet(path)
+    checked.filter(f"NOT {flag}").drop(flag).write.parquet(quarantine)
+    checked.unpersist()
