@@ -113,6 +113,10 @@ class Templates:
             low, high = int(first[text]), int(first[text + 1])
             for t, place in self.keys[int(ids[p])]:
                 own = self.words[t]
+                a = p - place
+                if a >= low and a + len(own) <= high and ids[a : a + len(own)].tolist() == own:
+                    found[text][(t, a, a + len(own))] = 1.0, len(own), 1.0
+                    continue
                 slack = len(own) // 4 + 2
                 while slack >= 0:  # less and less of what stands around: of copies in a row no word is unique in the whole
                     a, b = max(low, p - place - slack), min(high, p - place + len(own) + slack)
@@ -131,11 +135,12 @@ class Templates:
                         break
         out = []
         for text, own in enumerate(found):
-            kept: list[tuple] = []
+            kept: list[tuple] = []  # by begin; none overlaps another
             for (t, begin, end), (agree, n, coverage) in sorted(own.items(), key=lambda x: (-x[1][1] * x[1][0], -x[1][0], x[0])):
-                if all(end <= b or begin >= e for _, b, e, _ in kept):
-                    kept.append((t, begin, end, coverage))
-            out.append([(self.names[t], b - int(first[text]), e - b, c) for t, b, e, c in sorted(kept, key=lambda x: x[1])])
+                spot = bisect_left(kept, (begin,))
+                if (spot == len(kept) or kept[spot][0] >= end) and (not spot or kept[spot - 1][1] <= begin):
+                    kept.insert(spot, (begin, end, t, coverage))
+            out.append([(self.names[t], b - int(first[text]), e - b, c) for b, e, t, c in kept])
         return out
 
 
