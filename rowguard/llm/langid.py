@@ -22,7 +22,9 @@ moving the limit, and more rows do not raise it. A language none of whose learni
 rows is predicted as such has no limit. Null texts and texts
 without a letter get `und`, score 0, and are rejected. Ties go to the language
 that sorts first. With nothing to learn from all are `und`. Repeated rows are
-each scored; rows with null language are scored, not learned from.
+each scored; rows with null language are scored, not learned from. Texts are read
+whole, however long; an empty table has no rows. Only the text, the language and
+the columns to keep are read.
 """
 
 from __future__ import annotations

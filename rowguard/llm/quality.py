@@ -9,7 +9,8 @@ of the two log densities (squared Mahalanobis lengths by that inverse, and the
 factors' log determinants) plus that of the log shares of the classes.
 
 Null and empty texts have the statistics of no text and are scored like any
-other. Repeated rows are each scored; of repeated labels each counts. Rows
+other. Texts are read whole, however long; an empty table has no rows; of a
+document only doc_id and text are read. Repeated rows are each scored; of repeated labels each counts. Rows
 without a label only get scores. With one class only, its share (0 or 1)
 is the score of all; with no labels it is 0.5.
 """

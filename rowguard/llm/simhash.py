@@ -24,7 +24,8 @@ Finding the links, exactly:
   no link either. No pairs are written out there, only links that join sets.
 
 Null and empty texts have fingerprint 0 and link like any other. Rows repeated
-are all returned, in one group. Only doc_id and text are read. Rows with null
+are all returned, in one group. Texts are read whole, however long; an empty
+table has no rows. Only doc_id and text are read. Rows with null
 doc_id get a group of their least doc_id that is not null, if there is one.
 """
 

@@ -317,3 +317,14 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0
+
+
+def test_many_notices_in_one_text(spark):
+    """As many as there are, in order; other columns and empty tables do no harm."""
+    name, notice = min(licenses.NOTICES.items(), key=lambda x: len(x[1]))
+    rows = spark.createDataFrame([(1, (notice + " and then ") * 1500, 5, "x"), (2, None, 6, "y")], "doc_id long, text string, found int, license string")
+    got = {r.doc_id: r.found for r in licenses.scan(rows).collect()}
+    size = got[1][0].n_words
+    assert [(f.license, f.n_words) for f in got[1]] == [(name, size)] * 1500 and got[2] == []
+    assert [f.first_word for f in got[1]] == [i * (size + 2) for i in range(1500)]
+    assert licenses.scan(rows.limit(0)).collect() == []
