@@ -471,6 +471,11 @@ def structure_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _errors(_payloads(spark, sf_dir), {"k": "number"})
 
 
+#: Kinds of JSON values as messages name them.
+_NAMED = "CASE {0} WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
+_TYPE_OF = lambda path: f"json_type(v, '$.{path}')"
+
+
 _NESTED = """CASE event_id % 6 WHEN 0 THEN '{"user": {"name": "n", "age": 3}, "ok": true}' WHEN 1 THEN '{"user": {"age": "x"}, "ok": 1}' WHEN 2 THEN '{"user": [], "ok": null}'
     WHEN 3 THEN '{"ok": false}' WHEN 4 THEN '{"user": {"name": null, "age": null}, "ok": true}' ELSE '{"user": null}' END"""
 _NESTED_SCHEMA = {"user": {"name": "string", "age": "number?"}, "ok": "boolean|null"}
@@ -482,35 +487,35 @@ def _table_of(errors: dict[int, list[str]], modulus: int) -> str:
     return f"SELECT event_id, CAST(place AS BIGINT) AS place, error FROM events JOIN (VALUES {rows}) AS e(k, place, error) ON event_id % {modulus} = k"
 
 
-@query(_table_of({
-    1: ['Missing required key "user.name"', 'Expected "user.age" to be number, got string', 'Expected "ok" to be one of [boolean, null], got number'],
-    2: ['Expected "user" to be an object, got array'], 3: ['Missing required key "user"'], 4: ['Expected "user.name" to be string, got null'],
-    5: ['Expected "user" to be an object, got null', 'Missing required key "ok"'],
-}, 6))
+@query(f"""WITH j AS (SELECT event_id, v, {_TYPE_OF('user')} AS u, {_TYPE_OF('user.name')} AS n, {_TYPE_OF('user.age')} AS a, {_TYPE_OF('ok')} AS ok FROM (SELECT event_id, CAST({_NESTED} AS JSON) AS v FROM events)), found AS (
+      SELECT event_id, 1 AS rule, CASE WHEN u IS NULL THEN 'Missing required key "user"' WHEN u <> 'OBJECT' THEN 'Expected "user" to be an object, got ' || {_NAMED.format('u')} END AS error FROM j
+      UNION ALL SELECT event_id, 2, CASE WHEN n IS NULL THEN 'Missing required key "user.name"' WHEN n <> 'VARCHAR' THEN 'Expected "user.name" to be string, got ' || {_NAMED.format('n')} END FROM j WHERE u = 'OBJECT'
+      UNION ALL SELECT event_id, 3, CASE WHEN {_NAMED.format('a')} <> 'number' THEN 'Expected "user.age" to be number, got ' || {_NAMED.format('a')} END FROM j WHERE u = 'OBJECT' AND coalesce(a, 'NULL') <> 'NULL'
+      UNION ALL SELECT event_id, 4, CASE WHEN ok IS NULL THEN 'Missing required key "ok"' WHEN ok NOT IN ('BOOLEAN', 'NULL') THEN 'Expected "ok" to be one of [boolean, null], got ' || {_NAMED.format('ok')} END FROM j)
+    SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY rule) - 1 AS place, error FROM found WHERE error IS NOT NULL""")
 def structure_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _errors(_payloads(spark, sf_dir, _NESTED), _NESTED_SCHEMA)
 
 
 _ARRAYS = """CASE event_id % 5 WHEN 0 THEN '{"xs": [1, "two", 3, null], "os": [{"n": "a"}, {}, 5]}' WHEN 1 THEN '{"xs": [], "os": []}' WHEN 2 THEN '{"xs": {}, "os": "o"}' WHEN 3 THEN '{}' ELSE '{"xs": [1.5], "os": [{"n": "a"}]}' END"""
-_ARRAY_ERRORS = {
-    0: ['Expected "xs[1]" to be number, got string', 'Expected "xs[3]" to be number, got null', 'Missing required key "os[1].n"', 'Expected "os[2]" to be an object, got number'],
-    2: ['Expected "xs" to be an array, got object', 'Expected "os" to be an array, got string'],
-    3: ['Missing required key "xs"', 'Missing required key "os"'],
-}
+_ELEMENTS = "unnest(range(CAST(json_array_length(v, '$.{0}') AS BIGINT))) AS i, json_type(unnest(json_extract(v, '$.{0}[*]'))) AS x, json_type(unnest(json_extract(v, '$.{0}[*]')), '$.n') AS n"
 
 
-@query(_table_of(_ARRAY_ERRORS, 5))
+@query(f"""WITH j AS (SELECT event_id, v, {_TYPE_OF('xs')} AS xs, {_TYPE_OF('os')} AS os FROM (SELECT event_id, CAST({_ARRAYS} AS JSON) AS v FROM events)), found AS (
+      SELECT event_id, 1 AS rule, 0 AS i, CASE WHEN xs IS NULL THEN 'Missing required key "xs"' WHEN xs <> 'ARRAY' THEN 'Expected "xs" to be an array, got ' || {_NAMED.format('xs')} END AS error FROM j
+      UNION ALL SELECT event_id, 1, i, CASE WHEN {_NAMED.format('x')} <> 'number' THEN 'Expected "xs[' || i || ']" to be number, got ' || {_NAMED.format('x')} END FROM (SELECT event_id, {_ELEMENTS.format('xs')} FROM j WHERE xs = 'ARRAY')
+      UNION ALL SELECT event_id, 2, 0, CASE WHEN os IS NULL THEN 'Missing required key "os"' WHEN os <> 'ARRAY' THEN 'Expected "os" to be an array, got ' || {_NAMED.format('os')} END FROM j
+      UNION ALL SELECT event_id, 2, i, CASE WHEN x <> 'OBJECT' THEN 'Expected "os[' || i || ']" to be an object, got ' || {_NAMED.format('x')} WHEN n IS NULL THEN 'Missing required key "os[' || i || '].n"' WHEN n <> 'VARCHAR' THEN 'Expected "os[' || i || '].n" to be string, got ' || {_NAMED.format('n')} END
+        FROM (SELECT event_id, {_ELEMENTS.format('os')} FROM j WHERE os = 'ARRAY'))
+    SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY rule, i) - 1 AS place, error FROM found WHERE error IS NOT NULL""")
 def structure_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _errors(_payloads(spark, sf_dir, _ARRAYS), {"xs": ["number"], "os": [{"n": "string"}]})
 
 
-#: Kinds of JSON values as messages name them.
-_NAMED = "CASE {0} WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
 _EVENT = """concat('{"id": ', event_id, CASE WHEN user_id % 5 = 0 THEN '' ELSE concat(', "type": ', CASE WHEN user_id % 7 = 0 THEN '17' ELSE concat('"', event_type, '"') END) END,
     ', "value": ', CASE WHEN value < 20 THEN 'null' WHEN value < 60 THEN concat('"', event_type, '"') ELSE '2.5' END, ', "props": ', CASE WHEN event_type = 'error' THEN '[]' WHEN event_type = 'click' THEN '{}' ELSE props END,
     ', "tags": [', CASE WHEN value > 100 THEN '"a", ' WHEN value > 50 THEN 'true, ' ELSE '' END, CASE WHEN user_id % 2 = 0 THEN '"b"' ELSE 'null' END, ']}')"""
 _EVENT_SCHEMA = {"id": "number", "type": "string", "value": "number|null", "props": {"k": "number"}, "tags": ["string"]}
-_TYPE_OF = lambda path: f"json_type(v, '$.{path}')"
 
 
 @query(f"""WITH j AS (SELECT event_id, CAST({_EVENT} AS JSON) AS v FROM events), found AS (
