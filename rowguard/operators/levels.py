@@ -13,6 +13,8 @@ errors are, once, to be put in order: depth first, as the schemas have them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,11 +31,11 @@ STEPS_AT_ONCE = 4  # between two checkpoints
 _STATE = "array<struct<order:array<int>,path:string,node:int,v:variant,error:string>>"
 
 
-def _step(state: DataFrame, nodes: DataFrame, checks: list) -> DataFrame:
-    """From values to errors and to the values below them."""
+def _stepper(nodes: DataFrame, checks: list) -> Callable[[DataFrame], DataFrame]:
+    """What goes from values to errors and to the values below them; its columns are built once for all steps."""
     has = F.col("v").isNotNull()
     code = F.when(F.col("kind") == "array", kind_code(F.col("v"), first=F.try_variant_get("v", "$[0]", "variant"))).otherwise(kind_code(F.col("v")))
-    known = state.join(nodes, "node", "left").withColumns({"code": code, "entries": F.when(F.col("kind") == "object", F.try_variant_get("v", "$", "map<string,variant>"))})
+    entries = F.when(F.col("kind") == "object", F.try_variant_get("v", "$", "map<string,variant>"))
     v = Variant(F.col("v"), kind=F.when(F.col("entries").isNotNull(), "OBJE").otherwise(F.col("code")))
     got, path = column(v.kind_name()), F.col("path")
     nested, is_array = v.is_nested(), v.is_kind("array")
@@ -61,9 +63,14 @@ def _step(state: DataFrame, nodes: DataFrame, checks: list) -> DataFrame:
     )
     none = F.array().cast(_STATE)
     error = lambda says: F.array(F.struct(F.col("order"), F.col("path"), F.lit(None).cast("int").alias("node"), F.lit(None).cast("variant").alias("v"), says.alias("error")))
-    known = known.withColumn("found", found)
     out = F.when(F.col("node").isNull(), error(F.col("error"))).when(F.col("found").isNotNull(), error(F.col("found"))).otherwise(F.coalesce(F.when(has & ~column(v.null()), below), none))
-    return known.select("row", "keep", F.explode(out).alias("at")).select("row", "keep", "at.*")
+    at_once = F.explode(out).alias("at")
+
+    def step(state: DataFrame) -> DataFrame:
+        known = state.join(nodes, "node", "left").withColumns({"code": code, "entries": entries}).withColumn("found", found)
+        return known.select("row", "keep", at_once).select("row", "keep", "at.*")
+
+    return step
 
 
 def _found(frame: DataFrame, schemas: dict[str, dict], by: str, source: str, keep: Column, marks: bool, registry: TypeRegistry) -> DataFrame:
@@ -86,7 +93,7 @@ def _found(frame: DataFrame, schemas: dict[str, dict], by: str, source: str, kee
         state = rows.select("row", F.explode(F.array(F.struct(F.col("keep"), mark.alias("at")), F.struct(F.lit(None).alias("keep"), first.alias("at")))).alias("one")).select("row", "one.keep", "one.at.*")
     else:
         state = rows.select("row", "keep", first.alias("at")).select("row", "keep", "at.*")
-    step = lambda s: _step(s, table, nodes.checks)
+    step = _stepper(table, nodes.checks)
     if not nodes.recursive:
         for _ in range(nodes.depth + 1):
             state = step(state)
