@@ -7,8 +7,10 @@ they are. All rows take the same steps, whichever of the schemas they name, so
 the plan is as long as the deepest schema. Where schemas refer to each other the
 depth is known by no plan: steps go on, cut off by checkpoints, until no values are left.
 
-Values are not shuffled while the table of nodes is small enough for Spark to broadcast;
-errors are, once, to be put in order: depth first, as the schemas have them.
+Values are not shuffled: the table of nodes, which the driver makes of the schemas, is
+broadcast. Errors are, once, to be put in order: depth first, as the schemas have them.
+Where schemas refer to each other, rows are dealt out over all cores first: a small file
+may hold many deep values, and each would stay in the task that read it until the last step.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logic import column
 from ..functions.registry import DEFAULT, TypeRegistry
+from ..functions.text import first_of, json_array
 from ..functions.values import Typed, Variant, kind_code, value
 from ..plans.nodes import PATH, Nodes, Ref
 from ..sources.shared import cut
@@ -28,15 +31,18 @@ from ..sources.shared import cut
 __all__ = ["Ref", "errors_by_schema", "with_validation_by_schema"]
 
 STEPS_AT_ONCE = 4  # between two checkpoints
-_STATE = "array<struct<order:array<int>,path:string,node:int,v:variant,error:string>>"
+TASKS_A_CORE = 3  # that rows are dealt out to, as some are deeper than others
+_ITEMS = "array<struct<at:int,key:string,node:int,v:variant>>"
 
 
 def _stepper(nodes: DataFrame, checks: list) -> Callable[[DataFrame], DataFrame]:
     """What goes from values to errors and to the values below them; its columns are built once for all steps."""
     has = F.col("v").isNotNull()
-    code = F.when(F.col("kind") == "array", kind_code(F.col("v"), first=F.try_variant_get("v", "$[0]", "variant"))).otherwise(kind_code(F.col("v")))
     entries = F.when(F.col("kind") == "object", F.try_variant_get("v", "$", "map<string,variant>"))
-    v = Variant(F.col("v"), kind=F.when(F.col("entries").isNotNull(), "OBJE").otherwise(F.col("code")))
+    elements = F.when(F.col("kind") == "array", F.try_variant_get("v", "$", "array<variant>"))
+    # What could be taken apart is known by that: to tell the type of a value, Spark walks through all that lies below.
+    code = F.when(F.col("entries").isNotNull(), "OBJE").when(F.col("elements").isNotNull(), "ARRA").otherwise(kind_code(F.col("v")))
+    v = Variant(F.col("v"), kind=F.col("code"))
     got, path = column(v.kind_name()), F.col("path")
     nested, is_array = v.is_nested(), v.is_kind("array")
     accepted = F.coalesce(F.array_contains("codes", F.col("code")), F.lit(False)) | F.when(F.col("json"), column(v.is_base("json"))).otherwise(False)
@@ -53,22 +59,25 @@ def _stepper(nodes: DataFrame, checks: list) -> Callable[[DataFrame], DataFrame]
         .when((F.col("kind") == "object") & ~nested, no_object)
         .when((F.col("kind") == "array") & ~is_array, expected(F.lit("an array")))
     )
-    at = lambda order, where, node, own: F.struct(order.alias("order"), where.alias("path"), node.alias("node"), own.alias("v"), F.lit(None).cast("string").alias("error"))
-    below = F.when(
-        F.col("kind") == "object",
-        F.transform("children", lambda c: at(F.array_append("order", c["at"]), F.when(path == "", c["key"]).otherwise(F.concat(path, F.lit("."), c["key"])), c["node"], F.try_element_at("entries", c["key"]))),
-    ).when(
-        F.col("kind") == "array",
-        F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: at(F.array_append("order", i), F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), F.col("element"), x)),
+    item = lambda at, key, node, own: F.struct(at.cast("int").alias("at"), key.cast("string").alias("key"), node.cast("int").alias("node"), own.cast("variant").alias("v"))
+    nothing = F.lit(None)
+    below = F.when(F.col("kind") == "object", F.transform("children", lambda c: item(c["at"], c["key"], c["node"], F.try_element_at("entries", c["key"])))).when(
+        F.col("kind") == "array", F.transform("elements", lambda x, i: item(i, nothing, F.col("element"), x))
     )
-    none = F.array().cast(_STATE)
-    error = lambda says: F.array(F.struct(F.col("order"), F.col("path"), F.lit(None).cast("int").alias("node"), F.lit(None).cast("variant").alias("v"), says.alias("error")))
-    out = F.when(F.col("node").isNull(), error(F.col("error"))).when(F.col("found").isNotNull(), error(F.col("found"))).otherwise(F.coalesce(F.when(has & ~column(v.null()), below), none))
-    at_once = F.explode(out).alias("at")
+    ends = F.col("node").isNull() | F.col("found").isNotNull()
+    items = F.when(ends, F.array(item(nothing, nothing, nothing, nothing))).when(has & ~column(v.null()), below)
+    error = F.when(F.col("node").isNull(), F.col("error")).otherwise(F.col("found")).alias("error")
+    # Of a bare column, Spark would ask for the size before it explodes, and for that work it out twice.
+    each = F.explode(F.coalesce("items", F.array().cast(_ITEMS))).alias("item")
+    # Here, not in the transforms above, which are not compiled.
+    at, key = F.col("item.at"), F.col("item.key")
+    order = F.when(at.isNull(), F.col("order")).otherwise(F.array_append("order", at)).alias("order")
+    where = F.when(at.isNull(), path).when(key.isNull(), F.concat(path, F.lit("["), at.cast("string"), F.lit("]"))).when(path == "", key).otherwise(F.concat(path, F.lit("."), key)).alias("path")
 
     def step(state: DataFrame) -> DataFrame:
-        known = state.join(nodes, "node", "left").withColumns({"code": code, "entries": entries}).withColumn("found", found)
-        return known.select("row", "keep", at_once).select("row", "keep", "at.*")
+        known = state.join(F.broadcast(nodes), "node", "left").withColumns({"entries": entries, "elements": elements}).withColumn("code", code).withColumn("found", found)
+        taken = known.select("row", "keep", "order", "path", error, items.alias("items"))
+        return taken.select("row", "keep", "order", "path", "error", each).select("row", "keep", order, where, "item.node", "item.v", "error")
 
     return step
 
@@ -77,15 +86,15 @@ def _found(frame: DataFrame, schemas: dict[str, dict], by: str, source: str, kee
     """row, keep, order, path, error; with `marks` each row has one without an error as well."""
     spark, nodes = frame.sparkSession, Nodes(schemas, registry)
     table, own = nodes.table(spark), value(frame, source)
-    payload = own.column
-    if isinstance(own, Typed):
-        if own.kind != "string":
-            raise TypeError(f"{source} is neither JSON text nor a VARIANT")
-        from ..functions.text import json_value
-
-        payload = json_value(own.column)
+    if isinstance(own, Typed) and own.kind != "string":
+        raise TypeError(f"{source} is neither JSON text nor a VARIANT")
     name = value(frame, by).column.cast("string")
-    rows = frame.select(F.monotonically_increasing_id().alias("row"), keep.alias("keep"), name.alias("name"), payload.alias("v")).join(nodes.root_table(spark), "name", "left")
+    rows = frame.select(F.monotonically_increasing_id().alias("row"), keep.alias("keep"), name.alias("name"), own.column.alias("v"))
+    if nodes.recursive:
+        rows = rows.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "row")
+    if isinstance(own, Typed):
+        rows = rows.withColumn("v", json_array(F.col("v"))).withColumn("v", first_of(F.col("v")))
+    rows = rows.join(F.broadcast(nodes.root_table(spark)), "name", "left")
     unknown = F.when(F.col("root").isNull(), F.concat(F.lit("Unknown schema: "), F.coalesce("name", F.lit("null"))))
     first = F.struct(F.array().cast("array<int>").alias("order"), F.lit("").alias("path"), F.col("root").alias("node"), F.col("v"), unknown.alias("error"))
     if marks:  # the row itself goes along once, without being looked at

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from rowguard.functions import checks as c
 from rowguard.functions.text import ascii_host, is_url, punycode
 from rowguard.operators import frame as fr
+from rowguard.operators import levels
 from rowguard.operators.guard import expect_python
 from rowguard.operators.levels import Ref, errors_by_schema, with_validation_by_schema
 from rowguard.operators.lookup import in_table
@@ -162,6 +163,34 @@ def test_recursive_schemas(spark):
     assert errors_by_schema(rows.limit(0), schemas, by="schema", source="j", keep=["id"]).count() == 0
 
 
+def test_recursive_schemas_use_all_cores(spark, monkeypatch):
+    """Of rows that lie in one partition too; and neither values nor their schemas' names are dealt out by what all have in common."""
+    tasks, cut = [], levels.cut
+    monkeypatch.setattr(levels, "cut", lambda frame: (tasks.append(frame.groupBy(F.spark_partition_id()).count().count()), cut(frame))[1])
+    text = """concat(repeat('{"n": 1, "kids": [', CAST(id % 7 AS INT)), '{"n": "x", "kids": []}', repeat(']}', CAST(id % 7 AS INT)))"""
+    rows = spark.range(0, 700, 1, 1).select("id", F.lit("t").alias("schema"), F.expr(text).alias("j"))
+    found = errors_by_schema(rows, {"t": {"n": "number", "kids": [Ref("t")]}}, by="schema", source="j", keep=["id"])
+    says = lambda n: f'Expected "{"kids[0]." * n}n" to be number, got string'
+    assert {(r.id, r.place, r.error) for r in found.collect()} == {(i, 0, says(i % 7)) for i in range(700)}
+    assert min(tasks[:-1]) >= spark.sparkContext.defaultParallelism
+    flat = errors_by_schema(rows, {"t": {"n": "number", "kids": [{"n": "number"}]}}, by="schema", source="j", keep=["id"])
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(node" not in plan and "hashpartitioning(name" not in plan
+
+
+def test_values_of_all_kinds_level_by_level(spark):
+    """What is told by taking a value apart: empty ones, nulls and other kinds in the place of objects and arrays."""
+    schemas = {"t": {"kids": [Ref("t")], "xs": ["number"], "up": Ref("t", optional=True)}}
+    given = [{}, [], None, 5, "s", True]
+    rows = spark.createDataFrame([(i, "t", json.dumps({"kids": [], "xs": [], "up": None} | {k: v})) for k in ("kids", "xs", "up") for i, v in enumerate(given)], "id int, schema string, j string").withColumn("id", F.monotonically_increasing_id())
+    found = with_validation_by_schema(rows, schemas, by="schema", source="j")
+    named = ["object", "array", "null", "number", "string", "boolean"]
+    array = lambda key: [[] if n == "array" else [f'Expected "{key}" to be an array, got {n}'] for n in named]
+    missing = ['Missing required key "up.kids"', 'Missing required key "up.xs"']
+    up = [missing if n == "object" else [] if n == "null" else [f'Expected "up" to be an object, got {n}'] for n in named]
+    assert [r.errors for r in sorted(found.collect(), key=lambda r: r.id)] == [*array("kids"), *array("xs"), *up]
+
+
 # Guards of Python functions.
 
 
