@@ -1,5 +1,6 @@
 """Membership in tables, typed results, schemas named by rows and recursive ones, guards of Python functions, streams, hosts, patterns."""
 
+import hashlib
 import json
 
 import pytest
@@ -15,6 +16,7 @@ from rowguard.operators.levels import Ref, errors_by_schema, with_validation_by_
 from rowguard.operators.lookup import in_table
 from rowguard.operators.typed import parsed_rows, with_parsed
 from rowguard.plans.nodes import Nodes
+from rowguard.queries import QUERIES, said_of_words
 from rowguard.streaming.validate import Assertions, BatchCount, asserted
 
 TEXT = {"source": "j", "carrier_kind": "variant"}
@@ -191,6 +193,21 @@ def test_values_of_all_kinds_level_by_level(spark):
     assert [r.errors for r in sorted(found.collect(), key=lambda r: r.id)] == [*array("kids"), *array("xs"), *up]
 
 
+def test_messages_on_words_are_not_shuffled(spark, sf_dir):
+    """Words of a text go together, once; texts of one doc_id count as one, as the SQL has it, and empty words and texts as well."""
+    texts = [(1, "a@b.co  a@b.co\n1.2.3.4 "), (1, "x a@b.co"), (2, ""), (3, None), (4, "1.2.3.4"), (5, " \n"), (None, "x"), (6, "a@b.co")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = said_of_words(docs, {"email": c.is_email, "ipv4": c.is_ipv4})
+    md5 = lambda words, what: hashlib.md5("\n".join(sorted(f"{w} must be a valid {what}." for w in words)).encode()).hexdigest()
+    want = {1: (["", "1.2.3.4", "x"], ["", "a@b.co", "x"]), 2: ([""], [""]), 4: (["1.2.3.4"], []), 5: ([""], [""]), None: (["x"], ["x"]), 6: ([], ["a@b.co"])}
+    assert {r.doc_id: (r.email, r.ipv4) for r in found.collect()} == {k: (md5(e, "email address"), md5(i, "IPv4 address")) for k, (e, i) in want.items()}
+    for name in ("str_messages", "str_email"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        below = plan[plan.index("Exchange hashpartitioning") :]
+        assert ("Generate" in below) == (name == "str_email") and "must be" not in below
+
+
 # Guards of Python functions.
 
 
